@@ -108,3 +108,36 @@ def date_text_sql() -> str:
         f"('lit{i}', {('NULL' if v is None else repr(v))})" for i, v in enumerate(DATE_LITERALS))
     return ("SELECT cast(event_id AS varchar) AS key, strftime(ts, '%Y-%m-%d %H:%M') AS txt "
             f"FROM events UNION ALL SELECT * FROM (VALUES {vals}) t(key, txt)")
+
+
+def folds_sql(base_sql: str, n_bins: int = 5, k: int = 5, seed: int = 42,
+              y: str = "y", key: str = "key") -> str:
+    """DuckDB text of the stratified fold assignment (V1 + V2) over
+    ``base_sql``: adds ``bin`` and ``fold``. Bin and fold counts are the
+    values the rules give for the fixture (checked by the Spark side)."""
+    probs = ", ".join(str(i / n_bins) for i in range(n_bins + 1))
+    return f"""(WITH b0 AS ({base_sql}),
+e0 AS (SELECT list_sort(list_distinct(quantile_cont({y}, [{probs}]))) AS ed FROM b0),
+b1 AS (SELECT b0.*, CAST(len(list_filter(ed, lambda v, i: i > 1 AND i < len(ed) AND v < {y}))
+                         AS INTEGER) AS bin FROM b0, e0)
+SELECT *, CAST((row_number() OVER (PARTITION BY bin ORDER BY
+        md5(concat('{seed}|', cast({key} AS varchar))), {key}) - 1) % {k} AS INTEGER) AS fold
+FROM b1)"""
+
+
+def dt_valid_sql(col: str) -> str:
+    """DuckDB expression: TRUE when ``col`` is a valid date-time text by the
+    X2 rule (RE2 has no back-reference, so the separators are an
+    alternation)."""
+    r = (r"^([0-9]{4})(?:-([0-9]{2})-([0-9]{2})|/([0-9]{2})/([0-9]{2}))"
+         r"(?:[ T]?([0-9]{2}):([0-9]{2})(?::([0-9]{2}))?)?$")
+    s = f"trim({col})"
+    m = (f"try_cast(coalesce(nullif(regexp_extract({s}, '{r}', 2), ''), "
+         f"regexp_extract({s}, '{r}', 4)) AS INTEGER)")
+    d = (f"try_cast(coalesce(nullif(regexp_extract({s}, '{r}', 3), ''), "
+         f"regexp_extract({s}, '{r}', 5)) AS INTEGER)")
+    hh = f"coalesce(try_cast(nullif(regexp_extract({s}, '{r}', 6), '') AS INTEGER), 0)"
+    mi = f"coalesce(try_cast(nullif(regexp_extract({s}, '{r}', 7), '') AS INTEGER), 0)"
+    return (f"coalesce(regexp_matches({s}, '{r}') AND {m} BETWEEN 1 AND 12 AND {d} BETWEEN 1 "
+            f"AND 31 AND {hh} <= 23 AND {mi} <= 59 AND "
+            f"{d} <= [31,29,31,30,31,30,31,31,30,31,30,31][{m}], false)")

@@ -247,8 +247,10 @@ def target_corr(df: DataFrame, cols, target: str) -> DataFrame:
         v = finite_or_null(F.col(x).cast("double"))
         both = v.isNotNull() & y.isNotNull()
         vx, vy = F.when(both, v), F.when(both, y)
+        # ANSI corr raises on a zero variance: covariance / stds, try_divide
+        r = F.try_divide(F.covar_pop(vx, vy), F.stddev_pop(vx) * F.stddev_pop(vy))
         aggs += [F.count(vx).alias(f"n{i}"), F.stddev_pop(vx).alias(f"sx{i}"),
-                 F.stddev_pop(vy).alias(f"sy{i}"), F.corr(vx, vy).alias(f"r{i}")]
+                 F.stddev_pop(vy).alias(f"sy{i}"), r.alias(f"r{i}")]
     wide = df.agg(*aggs)
     parts = ", ".join(f"'{x.replace(chr(39), chr(39) * 2)}', {i}, n{i}, sx{i}, sy{i}, r{i}"
                       for i, x in enumerate(cols))
