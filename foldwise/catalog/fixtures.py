@@ -141,3 +141,10 @@ def dt_valid_sql(col: str) -> str:
     return (f"coalesce(regexp_matches({s}, '{r}') AND {m} BETWEEN 1 AND 12 AND {d} BETWEEN 1 "
             f"AND 31 AND {hh} <= 23 AND {mi} <= 59 AND "
             f"{d} <= [31,29,31,30,31,30,31,31,30,31,30,31][{m}], false)")
+
+
+def sig_sql(x: str, sig: int = 10) -> str:
+    """DuckDB twin of ``round_sig``: rounding to significant digits for large
+    statistics whose last bits differ between engines (summation order)."""
+    e = f"pow(10.0, floor(log10(abs({x}))))"
+    return f"(CASE WHEN {x} = 0 OR {x} IS NULL THEN {x} ELSE round(({x}) / {e}, {sig - 1}) * {e} END)"
