@@ -1,5 +1,167 @@
-"""Queries: folds."""
+"""Queries: cross-validation as data (V1-V6) and per-fold Gram blocks."""
 
 from __future__ import annotations
 
-from . import register  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.expr import r6, round_sig
+from ..operators import cv as V
+from ..operators import stats as A
+from ..session import load
+from . import register
+from .fixtures import NET_CHARGE_SQL, NET_FEATURES, OUTLIERS_SQL, folds_sql, net_charge, \
+    outliers, sig_sql
+
+
+def R(x: str) -> str:
+    return f"round(({x}) + 3e-9, 6)"
+
+
+ORDERS_Y_SQL = "SELECT o_orderkey AS key, o_totalprice AS y FROM orders"
+
+
+def _orders(spark, sf):
+    return load(spark, sf, "orders").select(F.col("o_orderkey").alias("key"),
+                                            F.col("o_totalprice").alias("y"))
+
+
+@register("stratified_folds", f"""
+SELECT key AS o_orderkey, bin, fold FROM {folds_sql(ORDERS_Y_SQL)}""")
+def stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """V1 + V2 on orders (y = o_totalprice): 5 quantile bins, 5 folds dealt
+    round-robin in md5('42|key') order inside each bin."""
+    f, plan = V.assign_folds(_orders(spark, sf), "y", "key", 5)
+    return f.select(F.col("key").alias("o_orderkey"), "bin", "fold")
+
+
+@register("kfold", """
+SELECT o_orderkey, CAST(ntile(5) OVER (ORDER BY md5(concat('42|', cast(o_orderkey AS varchar))),
+       o_orderkey) - 1 AS INTEGER) AS fold FROM orders""")
+def kfold(spark: SparkSession, sf: str) -> DataFrame:
+    """V3: plain shuffled K-fold (ntile over the md5 order), distributed rank."""
+    f = V.kfold(_orders(spark, sf), "key", 5)
+    return f.select(F.col("key").alias("o_orderkey"), "fold")
+
+
+SMALL = [("region", "r_regionkey", "r_regionkey"), ("nation", "n_nationkey", "n_regionkey"),
+         ("supplier", "s_suppkey", "s_acctbal")]
+
+
+def _small_sql() -> str:
+    parts = []
+    # (bins, folds) the V1/V4 rules give: region 5 rows -> 2/2, nation 25 -> 2/5,
+    # supplier 100 -> 5/5 (asserted by the Spark side, which derives them)
+    plans = {"region": (2, 2), "nation": (2, 5), "supplier": (5, 5)}
+    for t, key, y in SMALL:
+        b, k = plans[t]
+        base = f"SELECT {key} AS key, CAST({y} AS DOUBLE) AS y FROM {t}"
+        parts.append(f"SELECT '{t}' AS fixture, CAST(key AS BIGINT) AS key, bin, fold "
+                     f"FROM {folds_sql(base, b, k)}")
+    return " UNION ALL ".join(parts)
+
+
+@register("small_table_folds", _small_sql())
+def small_table_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """V1-V4 on FX9 small tables: bin and fold counts follow from the row
+    count (region 5 rows, nation 25, supplier 100)."""
+    out = None
+    for t, key, y in SMALL:
+        df = load(spark, sf, t).select(F.col(key).cast("long").alias("key"),
+                                       F.col(y).cast("double").alias("y"))
+        f, plan = V.assign_folds(df, "y", "key", 5)
+        q = f.select(F.lit(t).alias("fixture"), "key", "bin", "fold")
+        out = q if out is None else out.unionByName(q)
+    return out
+
+
+@register("fold_plan")
+def fold_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """V4: fold count and kind per table size (rows check)."""
+    rows = []
+    for t, key, y in SMALL + [("orders", "o_orderkey", "o_totalprice")]:
+        df = load(spark, sf, t).select(F.col(key).cast("long").alias("key"),
+                                       F.col(y).cast("double").alias("y"))
+        n = df.count()
+        k = V.fold_count(n, oof=n < V.SMALL_N_OOF)
+        if k == 0:
+            rows.append((t, n, "none", 0, 0))
+            continue
+        a, e = V.n_bins_for(n, k)
+        _, plan = V.assign_folds(df, "y", "key", k, n_rows=n)
+        rows.append((t, n, plan.kind, plan.n_folds, e))
+    return spark.createDataFrame(rows, "fixture string, n_rows long, kind string, "
+                                       "n_folds long, n_bins long")
+
+
+@register("es_holdout", f"""
+WITH f AS {folds_sql(ORDERS_Y_SQL)},
+ks AS (SELECT DISTINCT fold AS k FROM f),
+tr AS (SELECT ks.k AS train_fold, f.key FROM ks JOIN f ON f.fold <> ks.k),
+r AS (SELECT train_fold, key,
+        row_number() OVER (PARTITION BY train_fold ORDER BY
+          md5(concat(CAST(20260716 + train_fold AS varchar), '|', cast(key AS varchar))), key) - 1
+          AS pos,
+        count(*) OVER (PARTITION BY train_fold) AS n FROM tr)
+SELECT key AS o_orderkey, CAST(train_fold AS INTEGER) AS train_fold,
+  (n >= 20 AND n - greatest(1, round_even(n * 0.1, 0)) >= 10
+   AND pos < greatest(1, round_even(n * 0.1, 0))) AS es_val
+FROM r""")
+def es_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    """V6: per fold model, 10 % of its training rows (seed 20260716 + fold)
+    held out for early stopping."""
+    f, plan = V.assign_folds(_orders(spark, sf), "y", "key", 5)
+    es = V.es_holdout(f, "key", "fold", plan.n_folds)
+    return es.select(F.col("key").alias("o_orderkey"), F.col("train_fold").cast("int"), "es_val")
+
+
+@register("clip_bounds_per_fold", f"""
+WITH f AS {folds_sql(OUTLIERS_SQL)},
+ks AS (SELECT DISTINCT fold AS k FROM f),
+tr AS (SELECT ks.k, f.y FROM ks JOIN f ON f.fold <> ks.k)
+SELECT CAST(k AS INTEGER) AS train_fold, {R("quantile_cont(y, 0.01)")} AS clip_lo,
+  {R("quantile_cont(y, 0.99)")} AS clip_hi,
+  {R("quantile_cont(y, 0.25) - 4.5 * (quantile_cont(y, 0.75) - quantile_cont(y, 0.25))")}
+    AS win_lo,
+  {R("quantile_cont(y, 0.75) + 4.5 * (quantile_cont(y, 0.75) - quantile_cont(y, 0.25))")}
+    AS win_hi,
+  {R("median(y)")} AS median
+FROM tr GROUP BY k""")
+def clip_bounds_per_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """V5: parameters refitted per fold without its validation rows: rows
+    exploded to the folds they train, one grouped percentile aggregate."""
+    f, plan = V.assign_folds(outliers(spark, sf), "y", "key", 5)
+    ex = V.train_copies(f.select("fold", "y"), "fold", plan.n_folds)
+    q = ex.groupBy("train_fold").agg(A.pct("y", [0.01, 0.99, 0.25, 0.75, 0.5]).alias("q"))
+    iqr = F.col("q")[3] - F.col("q")[2]
+    return q.select(F.col("train_fold").cast("int"), r6(F.col("q")[0]).alias("clip_lo"),
+                    r6(F.col("q")[1]).alias("clip_hi"),
+                    r6(F.col("q")[2] - 4.5 * iqr).alias("win_lo"),
+                    r6(F.col("q")[3] + 4.5 * iqr).alias("win_hi"),
+                    r6(F.col("q")[4]).alias("median"))
+
+
+GRAM_COLS = NET_FEATURES + ["y"]
+
+
+def _gram_sql() -> str:
+    sums = []
+    for i, a in enumerate(GRAM_COLS):
+        for b in GRAM_COLS[i:]:
+            sums.append(f"{sig_sql(f'sum({a} * {b})', 10)} AS \"{a}*{b}\"")
+    firsts = [f"{sig_sql(f'sum({a})', 10)} AS \"{a}\"" for a in GRAM_COLS]
+    return (f"SELECT fold, CAST(count(*) AS BIGINT) AS n, {', '.join(firsts)}, "
+            f"{', '.join(sums)} FROM {folds_sql(NET_CHARGE_SQL)} GROUP BY fold")
+
+
+@register("gram_by_fold", _gram_sql())
+def gram_by_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """N, sums and cross-product sums per fold in one grouped aggregate
+    (partial aggregation: one row per fold per map task is shuffled)."""
+    f, plan = V.assign_folds(net_charge(spark, sf), "y", "key", 5)
+    aggs = [F.count(F.lit(1)).cast("long").alias("n")]
+    aggs += [round_sig(F.sum(a), 10).alias(a) for a in GRAM_COLS]
+    for i, a in enumerate(GRAM_COLS):
+        for b in GRAM_COLS[i:]:
+            aggs.append(round_sig(F.sum(F.col(a) * F.col(b)), 10).alias(f"{a}*{b}"))
+    return f.groupBy("fold").agg(*aggs)
