@@ -166,7 +166,11 @@ def ridge_cv(df: DataFrame, features, y: str, key: str, fold: str = "fold",
                 for v in qs[t]] for t in qs}
 
     # inner folds: balanced inside each outer fold, md5 order with seed 42
-    ranked = hash_rank(base, key, INNER_SEED, partition_cols=[fold], out="_ip", n_rows=n)
+    # (a single alpha needs no inner CV: skip the ranking pass)
+    if len(alphas) > 1:
+        ranked = hash_rank(base, key, INNER_SEED, partition_cols=[fold], out="_ip", n_rows=n)
+    else:
+        ranked = base.withColumn("_ip", F.lit(0))
     names = ["_one"] + [f"_a{i}" for i in range(d)] + \
         [f"_n{i}" for i in range(d) if has_null[i]] + ["_ys"]
     gv = ranked.select(
