@@ -66,5 +66,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``foldwise`` importable in Python workers (Arrow / pandas
+    functions reference its helpers): zip the package once on the driver and
+    add it with ``addPyFile``, as ``--py-files`` does at submit time."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="foldwise-pkg-", dir="/tmp")
+    archive = shutil.make_archive(os.path.join(out, "foldwise"), "zip",
+                                  root_dir=os.path.dirname(pkg), base_dir="foldwise")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

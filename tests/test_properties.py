@@ -155,3 +155,30 @@ def test_decisions(spark, q):
     else:
         kept = {r[0]: r[1] for r in rows}
         assert kept["l_quantity"] and not kept["q2"] and not kept["big_b"]
+
+
+def test_mlp_matches_numpy_full_batch(spark):
+    from foldwise.catalog.fixtures import net_charge
+    from foldwise.operators import mlp as M
+    from foldwise.operators.cv import assign_folds
+    df = net_charge(spark, SF_SMALL)
+    feats = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    f, plan = assign_folds(df, "y", "key", 5)
+    f = f.cache()
+    models = M.mlp_fit_folds(f, feats, "y", "fold", 5, max_epochs=5)
+    pdf = f.toPandas()
+    X, yv = pdf[feats].values.astype(float), pdf["y"].values
+    m = models[-1]                      # final model: all rows
+    Z = (X - np.array(m.x_mean)) / np.array(m.x_std)
+    v = (yv - m.y_mean) / m.y_std
+    W, b = M.init_params(m.sizes)
+    th = M._flat(W, b)
+    ms, vs = np.zeros_like(th), np.zeros_like(th)
+    for ep in range(1, 6):
+        Wc, bc = M._unflat(th, m.sizes)
+        _, g = M.grad_sums(Z, v, Wc, bc, 2.0 / len(v))
+        g = g + M._flat([1e-4 / len(v) * w for w in Wc], [np.zeros_like(x) for x in bc])
+        ms = 0.9 * ms + 0.1 * g
+        vs = 0.999 * vs + 0.001 * g * g
+        th = th - 0.01 * (ms / (1 - 0.9 ** ep)) / (np.sqrt(vs / (1 - 0.999 ** ep)) + 1e-8)
+    assert np.allclose(th, np.asarray(m.params), rtol=1e-6, atol=1e-9)
