@@ -20,7 +20,7 @@ def register(name: str, sql: str | None = None):
 
 def _load_all():
     from . import (core, scalars, selection, encoding, folds, fitting,  # noqa: F401
-                   profiles, blending, scoring, trees, training)
+                   profiles, blending, scoring, trees, training, ingest)
 
 
 def queries() -> dict[str, Callable]:
