@@ -73,11 +73,12 @@ def md5_order_sql(key_sql_text: str, seed) -> str:
 
 def salt_digits(n_rows: int | None, rows_per_bucket: int = 500_000) -> int:
     """Hex digits of md5 used as salt so that a bucket holds about
-    ``rows_per_bucket`` rows (at least 2 digits, at most 8)."""
+    ``rows_per_bucket`` rows (2 to 6 digits: at most 16.7 M buckets, so the
+    per-(group, bucket) offset table stays far smaller than the data)."""
     if not n_rows or n_rows <= 0:
         return 3
     need = max(1.0, n_rows / rows_per_bucket)
-    return int(min(8, max(2, math.ceil(math.log(need, 16)) + 1)))
+    return int(min(6, max(2, math.ceil(math.log(need, 16)))))
 
 
 def hash_rank(df: DataFrame, key: str, seed, partition_cols=(), out: str = "rn",

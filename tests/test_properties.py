@@ -182,3 +182,17 @@ def test_mlp_matches_numpy_full_batch(spark):
         vs = 0.999 * vs + 0.001 * g * g
         th = th - 0.01 * (ms / (1 - 0.9 ** ep)) / (np.sqrt(vs / (1 - 0.999 ** ep)) + 1e-8)
     assert np.allclose(th, np.asarray(m.params), rtol=1e-6, atol=1e-9)
+
+
+def test_select_position_refines_and_handles_hot_value(spark):
+    from foldwise.operators.profile import select_position
+    df = spark.range(30000).select(
+        F.col("id").cast("string").alias("k"),
+        F.when(F.col("id") % 3 == 0, F.lit(5.0)).otherwise(F.rand(11) * 10).alias("v")).cache()
+    h = F.md5(F.concat(F.lit("42|"), F.col("k")))
+    ranked = df.select("k", (F.row_number().over(Window.orderBy("v", h, "k")) - 1).alias("r"))
+    truth = {r["r"]: r["k"] for r in ranked.filter(F.col("r").isin(3, 14999, 15000, 29990))
+             .collect()}
+    for pos, k in truth.items():
+        got = select_position(df, "v", "k", pos, 30000, max_bucket_rows=500, buckets=20).collect()
+        assert [r["k"] for r in got] == [k]
