@@ -22,6 +22,7 @@ ES_VAL_FRAC = 0.1
 ES_MIN_TRAIN_ROWS = 20
 MIN_ROWS_FOR_SPLIT = 10
 SMALL_N_OOF = 50
+INNER_K = 5          # inner CV folds of the ridge alpha search
 # ----------------------
 
 
@@ -47,11 +48,12 @@ def bin_of(y: str, edges: Column) -> Column:
 
 def quantile_bins(df: DataFrame, y: str, n_bins: int, exact: bool = True,
                   out: str = "bin") -> DataFrame:
-    """V1: quantile bin column; edges are one aggregate joined back as a
-    one-row frame (bounded size)."""
-    edges = df.agg(bin_edges_col(y, n_bins, exact))
-    return df.crossJoin(F.broadcast(edges)).withColumn(out, bin_of(y, F.col("_edges"))) \
-             .drop("_edges")
+    """V1: quantile bin column. The <= n_bins + 1 edges are computed once and
+    enter the plan as literals (no lazily repeated percentile aggregate)."""
+    edges = df.agg(bin_edges_col(y, n_bins, exact)).first()["_edges"] or []
+    lit = F.array(*[F.lit(float(e)) for e in edges]) if edges else \
+        F.array().cast("array<double>")
+    return df.withColumn(out, bin_of(y, lit))
 
 
 @dataclass
@@ -76,8 +78,13 @@ def assign_folds(df: DataFrame, y: str, key: str, k: int = 5, seed=FOLD_SEED,
     g = min(a, smallest)
     if g >= 2:
         ranked = hash_rank(binned, key, seed, partition_cols=["bin"], out="_pos", n_rows=n)
-        out = ranked.withColumn("fold", F.pmod(F.col("_pos"), F.lit(g)).cast("int")) \
-                    .drop("_pos", "_pos_n")
+        # inner folds for nested CV come free from the same rank: inside a
+        # bin, the rows of fold f in md5 order are those with pos = f mod g,
+        # so pos // g deals them round-robin again (balanced per bin x fold)
+        out = ranked.withColumns({
+            "fold": F.pmod(F.col("_pos"), F.lit(g)).cast("int"),
+            "ifold": F.pmod(F.floor(F.col("_pos") / g), F.lit(INNER_K)).cast("int")}) \
+            .drop("_pos", "_pos_n")
         return out, FoldPlan("stratified", g, n)
     kk = max(2, min(a, n))
     return kfold(binned, key, kk, seed, n_rows=n), FoldPlan("kfold", kk, n)
@@ -97,7 +104,8 @@ def kfold(df: DataFrame, key: str, k: int, seed=FOLD_SEED, n_rows=None,
           out: str = "fold") -> DataFrame:
     """V3: shuffled contiguous near-equal pieces = ntile over the md5 order."""
     ranked = hash_rank(df, key, seed, out="_pos", n_rows=n_rows)
-    return ranked.withColumn(out, ntile_of(F.col("_pos"), F.col("_pos_n"), k)) \
+    return ranked.withColumns({out: ntile_of(F.col("_pos"), F.col("_pos_n"), k),
+                               "ifold": F.pmod(F.col("_pos"), F.lit(INNER_K)).cast("int")}) \
                  .drop("_pos", "_pos_n")
 
 

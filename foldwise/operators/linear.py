@@ -128,25 +128,29 @@ def ridge_cv(df: DataFrame, features, y: str, key: str, fold: str = "fold",
     alpha CV; plus the final model on all rows (M13 train R^2, M10 shares)."""
     features = list(features)
     d = len(features)
-    base = df.select(key, fold, F.col(y).cast("double").alias("_y"),
+    has_inner = "ifold" in df.columns
+    base = df.select(key, fold, *(["ifold"] if has_inner else []),
+                     F.col(y).cast("double").alias("_y"),
                      *[F.col(x).cast("double").alias(x) for x in features])
-    st = base.agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("ybar"),
-                  *[F.count(x).alias(f"c_{i}") for i, x in enumerate(features)],
-                  *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(features)],
-                  *[F.stddev_pop(x).alias(f"s_{i}") for i, x in enumerate(features)]).first()
-    n = int(st["n"]) if n_rows is None else n_rows
-    ex = use_exact(df, exact, n)
     if k is None:
         k = base.agg(F.max(fold)).first()[0] + 1
-    ybar = float(st["ybar"])
-    c0 = [float(st[f"m_{i}"] or 0.0) for i in range(d)]
-    s0 = [max(float(st[f"s_{i}"] or 0.0), 1e-12) or 1.0 for i in range(d)]
-    has_null = [st[f"c_{i}"] < st["n"] for i in range(d)]
-
-    # per training set t (t = -1: all rows) medians / quartiles (V5 explode)
-    copies = train_copies(base.select(fold, *features), fold, k, include_all=fit_all)
+    ex = exact if exact is not None else (n_rows is None or n_rows <= 20_000_000)
+    # ONE pass over rows exploded to the training sets they belong to
+    # (t = -1: all rows): per-set quartiles (fill / robust scale, V5) and,
+    # from the t = -1 group, the global centring statistics
+    copies = train_copies(base.select(fold, "_y", *features), fold, k, include_all=True)
     q = copies.groupBy("train_fold").agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_ybar"),
+        *[F.count(x).alias(f"_c{i}") for i, x in enumerate(features)],
+        *[F.avg(x).alias(f"_m{i}") for i, x in enumerate(features)],
+        *[F.stddev_pop(x).alias(f"_s{i}") for i, x in enumerate(features)],
         *[pct(x, [0.25, 0.5, 0.75], ex).alias(x) for x in features]).collect()
+    st = next(r for r in q if r["train_fold"] == -1)
+    n = int(st["_n"]) if n_rows is None else n_rows
+    ybar = float(st["_ybar"])
+    c0 = [float(st[f"_m{i}"] or 0.0) for i in range(d)]
+    s0 = [max(float(st[f"_s{i}"] or 0.0), 1e-12) or 1.0 for i in range(d)]
+    has_null = [st[f"_c{i}"] < st["_n"] for i in range(d)]
     qs = {r["train_fold"]: [r[x] for x in features] for r in q}
     fills = {t: [0.0 if v is None or v[1] is None else float(v[1]) for v in qs[t]] for t in qs}
     if any(has_null):
@@ -165,12 +169,15 @@ def ridge_cv(df: DataFrame, features, y: str, key: str, fold: str = "fold",
     iqrs = {t: [max(float(v[2] - v[0]), SCALE_FLOOR) if v and v[0] is not None else 1.0
                 for v in qs[t]] for t in qs}
 
-    # inner folds: balanced inside each outer fold, md5 order with seed 42
-    # (a single alpha needs no inner CV: skip the ranking pass)
-    if len(alphas) > 1:
-        ranked = hash_rank(base, key, INNER_SEED, partition_cols=[fold], out="_ip", n_rows=n)
-    else:
+    # inner folds: the ``ifold`` column of assign_folds when present, else
+    # balanced inside each outer fold by md5 order (seed 42); a single alpha
+    # needs no inner CV at all
+    if len(alphas) <= 1:
         ranked = base.withColumn("_ip", F.lit(0))
+    elif has_inner:
+        ranked = base.withColumn("_ip", F.col("ifold"))
+    else:
+        ranked = hash_rank(base, key, INNER_SEED, partition_cols=[fold], out="_ip", n_rows=n)
     names = ["_one"] + [f"_a{i}" for i in range(d)] + \
         [f"_n{i}" for i in range(d) if has_null[i]] + ["_ys"]
     gv = ranked.select(
@@ -225,6 +232,50 @@ def ridge_cv(df: DataFrame, features, y: str, key: str, fold: str = "fold",
     return RidgeCVResult(oof, fold_fits, final, float(train_r2), imp)
 
 
+def ridge_fit(df: DataFrame, features, y: str, alpha: float = 1.0,
+              exact: bool | None = True) -> LinearFit:
+    """One ridge fit on all rows at a fixed alpha (median fill, robust scale,
+    centred): one statistics pass and one Gram pass, no folds."""
+    feats = list(features)
+    d = len(feats)
+    base = df.select(F.col(y).cast("double").alias("_y"),
+                     *[F.col(x).cast("double").alias(x) for x in feats])
+    st = base.agg(F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_ybar"),
+                  *[F.count(x).alias(f"_c{i}") for i, x in enumerate(feats)],
+                  *[F.avg(x).alias(f"_m{i}") for i, x in enumerate(feats)],
+                  *[F.stddev_pop(x).alias(f"_s{i}") for i, x in enumerate(feats)],
+                  *[pct(x, [0.25, 0.5, 0.75], exact is not False).alias(x) for x in feats]
+                  ).first()
+    c0 = [float(st[f"_m{i}"] or 0.0) for i in range(d)]
+    s0 = [max(float(st[f"_s{i}"] or 0.0), 1e-12) for i in range(d)]
+    has_null = [st[f"_c{i}"] < st["_n"] for i in range(d)]
+    if any(has_null):      # quartiles of the filled values need the fills first
+        fill0 = {x: float(st[x][1]) if st[x] else 0.0 for x in feats}
+        st2 = base.agg(*[pct(F.coalesce(F.col(x), F.lit(fill0[x])), [0.25, 0.5, 0.75],
+                             exact is not False).alias(x) for x in feats]).first()
+        q = {x: st2[x] for x in feats}
+    else:
+        fill0 = {x: float(st[x][1]) for x in feats}
+        q = {x: st[x] for x in feats}
+    med = [float(q[x][1]) for x in feats]
+    iqr = [max(float(q[x][2] - q[x][0]), SCALE_FLOOR) for x in feats]
+    ybar = float(st["_ybar"])
+    names = ["_one"] + [f"_a{i}" for i in range(d)] + \
+        [f"_n{i}" for i in range(d) if has_null[i]] + ["_ys"]
+    gv = base.select(F.lit(0).alias("_g"), F.lit(1.0).alias("_one"),
+                     *[F.coalesce((F.col(x) - c0[i]) / s0[i], F.lit(0.0)).alias(f"_a{i}")
+                       for i, x in enumerate(feats)],
+                     *[F.col(x).isNull().cast("double").alias(f"_n{i}")
+                       for i, x in enumerate(feats) if has_null[i]],
+                     (F.col("_y") - ybar).alias("_ys"))
+    g = gram_blocks(gv, names, by=["_g"])[(0,)]
+    tm = _transform(d, has_null, s0, c0, [fill0[x] for x in feats], med, iqr, ybar)
+    c_, b = fit_from_gram(tm @ g @ tm.T, alpha)
+    w = {x: float(b[i] / iqr[i]) for i, x in enumerate(feats)}
+    icpt = ybar + c_ - sum(b[i] * med[i] / iqr[i] for i in range(d))
+    return LinearFit(float(icpt), w, fill0, float(alpha), {x: float(b[i]) for i, x in enumerate(feats)})
+
+
 def coef_importance(coef: dict) -> list:
     """Share of absolute (scaled) coefficients, percent, 1 decimal,
     descending (stable for ties)."""
