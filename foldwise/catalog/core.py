@@ -16,8 +16,8 @@ from .fixtures import NET_CHARGE_SQL, NET_FEATURES, net_charge
 def ridge_report(spark: SparkSession, sf: str, features=NET_FEATURES, alphas=None,
                  k: int = 5) -> DataFrame:
     df = net_charge(spark, sf)
-    n = df.count()
-    folded, plan = assign_folds(df, "y", "key", k, n_rows=n)
+    folded, plan = assign_folds(df, "y", "key", k)      # counts rows in its first pass
+    n = plan.n_rows
     folded = folded.cache()
     kw = {} if alphas is None else {"alphas": alphas}
     res = ridge_cv(folded, features, "y", "key", "fold", k=plan.n_folds, n_rows=n, **kw)

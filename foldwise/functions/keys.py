@@ -82,7 +82,7 @@ def salt_digits(n_rows: int | None, rows_per_bucket: int = 500_000) -> int:
 
 
 def hash_rank(df: DataFrame, key: str, seed, partition_cols=(), out: str = "rn",
-              n_rows: int | None = None) -> DataFrame:
+              n_rows: int | None = None, return_counts: bool = False):
     """Add ``out`` = 0-based position of each row inside ``partition_cols``
     in the order (md5(seed|key), key). Also adds ``<out>_n`` = group size.
 
@@ -92,9 +92,14 @@ def hash_rank(df: DataFrame, key: str, seed, partition_cols=(), out: str = "rn",
     part = list(partition_cols)
     digits = salt_digits(n_rows)
     h = md5_order(key, seed)
+    # non-nullable salt: no inferred IS NOT NULL filter re-hashing every key
     d = (df.withColumn("_h", h)
-           .withColumn("_salt", F.conv(F.substring("_h", 1, digits), 16, 10).cast("long")))
+           .withColumn("_salt", F.coalesce(
+               F.conv(F.substring("_h", 1, digits), 16, 10).cast("long"), F.lit(0).cast("long"))))
     counts = d.groupBy(*part, "_salt").agg(F.count(F.lit(1)).alias("_cnt"))
+    if return_counts:      # callers reuse the per-(group, bucket) counts: write
+        from ..session import cut_lineage     # them once (reliable checkpoint)
+        counts = cut_lineage(counts)
     w = (Window.partitionBy(*part).orderBy("_salt") if part
          else Window.orderBy("_salt"))
     offsets = counts.select(
@@ -107,4 +112,4 @@ def hash_rank(df: DataFrame, key: str, seed, partition_cols=(), out: str = "rn",
     res = (d.join(offsets, on=[*part, "_salt"], how="inner")
              .withColumn(out, (F.col("_off") + F.row_number().over(wb) - 1).cast("long"))
              .drop("_h", "_salt", "_off"))
-    return res
+    return (res, counts) if return_counts else res

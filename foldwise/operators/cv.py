@@ -67,17 +67,32 @@ def assign_folds(df: DataFrame, y: str, key: str, k: int = 5, seed=FOLD_SEED,
                  exact: bool | None = None, n_rows: int | None = None):
     """V1-V3: stratified folds over quantile bins of y, else plain K-fold.
 
-    Returns (frame with ``bin`` and ``fold`` columns, FoldPlan). Decisions use
-    two small aggregates (row count, per-bin counts)."""
-    n = n_rows if n_rows is not None else df.count()
+    Returns (frame with ``bin``, ``fold`` and ``ifold`` columns, FoldPlan).
+    Three passes over the input: row count + bin edges (one aggregate; the
+    edges are recomputed only when fewer than 50 rows change the bin count),
+    per-(bin, md5 bucket) counts (which also give the bin sizes), and the
+    ranking itself."""
+    a0, e0 = n_bins_for(max(n_rows or 10 ** 9, 50), k)
+    probs = [i / e0 for i in range(e0 + 1)]
+    first = df.agg(F.count(F.lit(1)).alias("n"),
+                   F.array_distinct(pct(y, probs, True if exact is None else exact))
+                   .alias("_edges")).first()
+    n = n_rows if n_rows is not None else int(first["n"])
     ex = use_exact(df, exact, n)
     a, e = n_bins_for(n, k)
-    binned = quantile_bins(df, y, e, ex)
-    counts = binned.groupBy("bin").count().collect()
-    smallest = min(r["count"] for r in counts) if counts else 0
+    if e != e0 or ex != (True if exact is None else exact):
+        binned = quantile_bins(df, y, e, ex)
+    else:
+        edges = first["_edges"] or []
+        lit = F.array(*[F.lit(float(v)) for v in edges]) if edges else \
+            F.array().cast("array<double>")
+        binned = df.withColumn("bin", bin_of(y, lit))
+    ranked, cnt = hash_rank(binned, key, seed, partition_cols=["bin"], out="_pos", n_rows=n,
+                            return_counts=True)
+    sizes = [r["s"] for r in cnt.groupBy("bin").agg(F.sum("_cnt").alias("s")).collect()]
+    smallest = min(sizes) if sizes else 0
     g = min(a, smallest)
     if g >= 2:
-        ranked = hash_rank(binned, key, seed, partition_cols=["bin"], out="_pos", n_rows=n)
         # inner folds for nested CV come free from the same rank: inside a
         # bin, the rows of fold f in md5 order are those with pos = f mod g,
         # so pos // g deals them round-robin again (balanced per bin x fold)
