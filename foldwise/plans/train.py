@@ -37,7 +37,10 @@ from .fitted import FittedPlan
 # ---- fixed values ----
 WINSOR_MULT = {"thorough": 3.0, "quick": 4.5, "instant": 4.5}
 WINSOR_MIN_TRAIN_ROWS = 20
+KERNEL_MIN_ROWS = 10
+MLP_MIN_ROWS = 30
 # ----------------------
+MLP_EPOCHS = 60      # Spark build default (each epoch is one distributed pass)
 
 
 @dataclass
@@ -55,8 +58,9 @@ def _row_key(df: DataFrame, cols) -> F.Column:
 
 
 def train(df: DataFrame, target: str | None = None, mode: str = "quick",
-          key: str | None = None, models=("ridge", "gbt"), work_dir: str | None = None,
-          exact: bool | None = None) -> TrainResult:
+          key: str | None = None, models=("ridge", "gbt", "kernel", "mlp"),
+          work_dir: str | None = None, exact: bool | None = None,
+          mlp_epochs: int = MLP_EPOCHS) -> TrainResult:
     spark = df.sparkSession
     if work_dir is None:     # model folders live in the shared checkpoint folder
         base = ensure_checkpoint_dir(spark)
@@ -203,6 +207,24 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
                               model={"type": "linear", "intercept": fits[-1].intercept,
                                      "weights": fits[-1].weights},
                               importance=_shares(fits[-1].scaled_coef))
+    skipped = {}
+    if "kernel" in models and model_feats and n >= KERNEL_MIN_ROWS:
+        from ..operators.kernel import rbf_long
+        oof, kmodel, ktr2 = rbf_long(Lc, model_feats, key, exact=exact is not False)
+        cands["kernel"] = dict(oof=oof.withColumn("pred", yt.inverse("pred")), train_r2=ktr2,
+                               type="kernel", model=kmodel, importance=[])
+    if "mlp" in models and model_feats:
+        if n < MLP_MIN_ROWS:
+            skipped["mlp"] = "min_rows"
+        else:
+            from ..operators.mlp import mlp_long
+            try:
+                oof, mmodel = mlp_long(Lc, model_feats, key, max_epochs=mlp_epochs,
+                                       exact=exact is not False)
+                cands["mlp"] = dict(oof=oof.withColumn("pred", yt.inverse("pred")),
+                                    train_r2=None, type="mlp", model=mmodel, importance=[])
+            except Exception:  # noqa: BLE001 - reported as a skipped candidate
+                skipped["mlp"] = "failed"
     tree_kinds = [m for m in models if m in ("gbt", "rf", "xt")]
     if mode == "thorough":
         tree_kinds += [m for m in ("rf", "xt") if m not in tree_kinds]
@@ -258,6 +280,7 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
                  "importance": best.get("importance", []), "dropped": dropped})
     cand_rows = [(nm, c.get("r2"), c["type"], nm == chosen,
                   c.get("train_r2")) for nm, c in cands.items()]
+    cand_rows += [(nm, None, f"skipped:{why}", False, None) for nm, why in skipped.items()]
     candidates = spark.createDataFrame(cand_rows, "name string, r2 double, type string, "
                                                   "is_best boolean, train_r2 double")
     warn = []
