@@ -93,7 +93,8 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
                if f.name not in (target, key) and not S.is_numeric_type(f.dataType)]
     decisions = {}
     if non_num:
-        for r in S.triage_columns(df, target, non_num).collect():
+        exact_lv = n <= A.EXACT_ROW_LIMIT if exact is None else exact
+        for r in S.triage_columns(df, target, non_num, exact_levels=exact_lv).collect():
             decisions[r["column"]] = r["decision"]
     numeric_text = [c for c, d in decisions.items() if d == "numeric"]
     dt_cols = [c for c, d in decisions.items() if d == "datetime"]
@@ -153,12 +154,15 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
     else:
         enc, plan = assign_folds(enc, target, key, k, n_rows=n, exact=exact)
         k_eff, eval_kind = plan.n_folds, ("oof" if oof_eval else "val")
+    # persist the 1x folded table; the (k + 1)x long frame is re-exploded
+    # map-side by each per-model aggregate instead of being stored
+    enc = enc.persist()
     L = LF.long_frame(enc, "fold", k_eff)
     if eval_kind == "val":
         L = L.filter(F.col(LF.MODEL).isin(0, -1))
     if eval_kind == "train":
         L = L.filter(F.col(LF.MODEL) == -1).withColumn(LF.VAL, F.lit(False))
-    L = L.withColumn("_yraw", F.col(target)).cache()
+    L = L.withColumn("_yraw", F.col(target))
 
     # ---- winsorizing (A4/A5, V9) ----
     mult = WINSOR_MULT.get(mode, 4.5)
@@ -195,7 +199,6 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
             te_maps[c] = {"map": {r["_lv"]: float(r["_te"]) for r in mp.collect()},
                           "default": float(g_all["_g"])}
     model_feats = feats + te_cols
-    Lc = Lc.cache()
 
     # ---- models ----
     cands = {}

@@ -196,3 +196,26 @@ def test_select_position_refines_and_handles_hot_value(spark):
     for pos, k in truth.items():
         got = select_position(df, "v", "k", pos, 30000, max_bucket_rows=500, buckets=20).collect()
         assert [r["k"] for r in got] == [k]
+
+
+def test_triage_hybrid_levels_same_decisions(spark):
+    from foldwise.catalog.selection import TRIAGE_COLS, triage_fixture
+    from foldwise.operators.select import triage_columns
+    df = triage_fixture(spark, SF_CHECK).cache()
+    a = {r["column"]: r["decision"] for r in
+         triage_columns(df, "o_totalprice", TRIAGE_COLS).collect()}
+    b = {r["column"]: r["decision"] for r in
+         triage_columns(df, "o_totalprice", TRIAGE_COLS, exact_levels=False).collect()}
+    assert a == b
+
+
+def test_train_quick_end_to_end(spark):
+    from foldwise.plans.train import predict, train
+    from foldwise.session import load
+    c = load(spark, SF_SMALL, "customer")
+    r = train(c, target="c_acctbal", mode="quick", models=("ridge",))
+    names = {row["name"] for row in r.candidates.collect()}
+    assert "ridge" in names
+    scored = predict(r.plan, c)
+    assert scored.columns == c.columns
+    assert scored.count() == c.count()
