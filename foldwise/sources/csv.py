@@ -62,8 +62,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv",
     encoder sources stay text: every CSV cell is read as text anyway."""
     if fmt == "parquet":
         return normalize_missing(spark.read.parquet(path))
-    if spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    allow_java_charsets(spark)
     enc = detect_encoding(spark, path)
     names = header_line(spark, path, enc)
     check_duplicate_headers(names)
@@ -76,6 +75,15 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv",
     return normalize_missing(df)
 
 
+def allow_java_charsets(spark: SparkSession) -> None:
+    """Shift-JIS (``windows-31j``) needs Spark's legacy Java charset switch
+    (a runtime SQL setting)."""
+    if spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     """Text sink used by tests and the scored-table writer."""
+    if encoding.upper() not in ("UTF-8", "UTF8"):
+        allow_java_charsets(df.sparkSession)
     df.write.mode("overwrite").option("header", True).option("encoding", encoding).csv(path)
