@@ -93,7 +93,10 @@ def apply_target_encoder(df: DataFrame, col: str, enc: DataFrame, out: str | Non
     out = out or col
     lv = level_expr if level_expr is not None else level(col)
     m = enc.select(*by, F.col("level").alias("_lv"), F.col("value").alias("_val"))
-    if n_levels is not None and n_levels <= BROADCAST_MAP_ROWS:
+    if n_levels is None:          # size check on the (small) map, not the data
+        n_levels = m.count()
+    if n_levels <= BROADCAST_MAP_ROWS:
+        # broadcast: a level holding a third of the rows cannot skew a task
         m = F.broadcast(m)
     d = enc.select(*by, "default").distinct()
     d = F.broadcast(d)
