@@ -86,6 +86,20 @@ def target_encode_oof(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- X7, X8, J4, J5 ---------------------------------------------------------
 
+# single-candidate fixtures (customer, part) and a three-candidate one
+# (lineitem, no key); the SQL covers the 0, 1 and > 2 candidate cases
+COMPOSITE_DETECT_SQL = """WITH s AS (SELECT 'customer' AS fx, 0 AS pos, 'c_nationkey' AS col, count(*) AS n, count(CAST(c_nationkey AS DOUBLE)) AS nn, count(DISTINCT CAST(c_nationkey AS DOUBLE)) AS d, bool_and(CAST(c_nationkey AS DOUBLE) = round(CAST(c_nationkey AS DOUBLE))) AS w, max(abs(CAST(c_nationkey AS DOUBLE))) AS a, count(DISTINCT CASE WHEN CAST(c_nationkey AS DOUBLE) IS NULL OR isinf(CAST(c_nationkey AS DOUBLE)) OR isnan(CAST(c_nationkey AS DOUBLE)) OR abs(CAST(c_nationkey AS DOUBLE)) >= 1e15 THEN '__NaN__' ELSE CAST(CAST(round(CAST(c_nationkey AS DOUBLE)) AS BIGINT) AS varchar) END) AS g FROM customer UNION ALL SELECT 'customer' AS fx, 1 AS pos, 'c_acctbal' AS col, count(*) AS n, count(CAST(c_acctbal AS DOUBLE)) AS nn, count(DISTINCT CAST(c_acctbal AS DOUBLE)) AS d, bool_and(CAST(c_acctbal AS DOUBLE) = round(CAST(c_acctbal AS DOUBLE))) AS w, max(abs(CAST(c_acctbal AS DOUBLE))) AS a, count(DISTINCT CASE WHEN CAST(c_acctbal AS DOUBLE) IS NULL OR isinf(CAST(c_acctbal AS DOUBLE)) OR isnan(CAST(c_acctbal AS DOUBLE)) OR abs(CAST(c_acctbal AS DOUBLE)) >= 1e15 THEN '__NaN__' ELSE CAST(CAST(round(CAST(c_acctbal AS DOUBLE)) AS BIGINT) AS varchar) END) AS g FROM customer UNION ALL SELECT 'part' AS fx, 0 AS pos, 'p_size' AS col, count(*) AS n, count(CAST(p_size AS DOUBLE)) AS nn, count(DISTINCT CAST(p_size AS DOUBLE)) AS d, bool_and(CAST(p_size AS DOUBLE) = round(CAST(p_size AS DOUBLE))) AS w, max(abs(CAST(p_size AS DOUBLE))) AS a, count(DISTINCT CASE WHEN CAST(p_size AS DOUBLE) IS NULL OR isinf(CAST(p_size AS DOUBLE)) OR isnan(CAST(p_size AS DOUBLE)) OR abs(CAST(p_size AS DOUBLE)) >= 1e15 THEN '__NaN__' ELSE CAST(CAST(round(CAST(p_size AS DOUBLE)) AS BIGINT) AS varchar) END) AS g FROM part UNION ALL SELECT 'part' AS fx, 1 AS pos, 'p_retailprice' AS col, count(*) AS n, count(CAST(p_retailprice AS DOUBLE)) AS nn, count(DISTINCT CAST(p_retailprice AS DOUBLE)) AS d, bool_and(CAST(p_retailprice AS DOUBLE) = round(CAST(p_retailprice AS DOUBLE))) AS w, max(abs(CAST(p_retailprice AS DOUBLE))) AS a, count(DISTINCT CASE WHEN CAST(p_retailprice AS DOUBLE) IS NULL OR isinf(CAST(p_retailprice AS DOUBLE)) OR isnan(CAST(p_retailprice AS DOUBLE)) OR abs(CAST(p_retailprice AS DOUBLE)) >= 1e15 THEN '__NaN__' ELSE CAST(CAST(round(CAST(p_retailprice AS DOUBLE)) AS BIGINT) AS varchar) END) AS g FROM part UNION ALL SELECT 'lineitem' AS fx, 0 AS pos, 'l_linenumber' AS col, count(*) AS n, count(CAST(l_linenumber AS DOUBLE)) AS nn, count(DISTINCT CAST(l_linenumber AS DOUBLE)) AS d, bool_and(CAST(l_linenumber AS DOUBLE) = round(CAST(l_linenumber AS DOUBLE))) AS w, max(abs(CAST(l_linenumber AS DOUBLE))) AS a, count(DISTINCT CASE WHEN CAST(l_linenumber AS DOUBLE) IS NULL OR isinf(CAST(l_linenumber AS DOUBLE)) OR isnan(CAST(l_linenumber AS DOUBLE)) OR abs(CAST(l_linenumber AS DOUBLE)) >= 1e15 THEN '__NaN__' ELSE CAST(CAST(round(CAST(l_linenumber AS DOUBLE)) AS BIGINT) AS varchar) END) AS g FROM lineitem UNION ALL SELECT 'lineitem' AS fx, 1 AS pos, 'l_quantity' AS col, count(*) AS n, count(CAST(l_quantity AS DOUBLE)) AS nn, count(DISTINCT CAST(l_quantity AS DOUBLE)) AS d, bool_and(CAST(l_quantity AS DOUBLE) = round(CAST(l_quantity AS DOUBLE))) AS w, max(abs(CAST(l_quantity AS DOUBLE))) AS a, count(DISTINCT CASE WHEN CAST(l_quantity AS DOUBLE) IS NULL OR isinf(CAST(l_quantity AS DOUBLE)) OR isnan(CAST(l_quantity AS DOUBLE)) OR abs(CAST(l_quantity AS DOUBLE)) >= 1e15 THEN '__NaN__' ELSE CAST(CAST(round(CAST(l_quantity AS DOUBLE)) AS BIGINT) AS varchar) END) AS g FROM lineitem UNION ALL SELECT 'lineitem' AS fx, 2 AS pos, 'l_suppkey' AS col, count(*) AS n, count(CAST(l_suppkey AS DOUBLE)) AS nn, count(DISTINCT CAST(l_suppkey AS DOUBLE)) AS d, bool_and(CAST(l_suppkey AS DOUBLE) = round(CAST(l_suppkey AS DOUBLE))) AS w, max(abs(CAST(l_suppkey AS DOUBLE))) AS a, count(DISTINCT CASE WHEN CAST(l_suppkey AS DOUBLE) IS NULL OR isinf(CAST(l_suppkey AS DOUBLE)) OR isnan(CAST(l_suppkey AS DOUBLE)) OR abs(CAST(l_suppkey AS DOUBLE)) >= 1e15 THEN '__NaN__' ELSE CAST(CAST(round(CAST(l_suppkey AS DOUBLE)) AS BIGINT) AS varchar) END) AS g FROM lineitem),
+c AS (SELECT * FROM s WHERE n >= 30 AND nn > 0 AND d >= 2 AND d / n <= 0.05 AND w AND a < 1e15),
+k AS (SELECT fx, count(*) AS nc, any_value(col) AS col, any_value(g) AS g, any_value(n) AS n
+      FROM c GROUP BY fx),
+f AS (SELECT DISTINCT fx FROM s)
+SELECT f.fx AS fixture,
+  CASE WHEN k.nc = 1 AND k.g >= 2 AND k.g <= k.n * 0.5 THEN concat('__numkey__', k.col) END
+    AS key_name,
+  CAST(CASE WHEN k.nc = 1 AND k.g >= 2 AND k.g <= k.n * 0.5 THEN k.g END AS BIGINT) AS n_groups
+FROM f LEFT JOIN k ON f.fx = k.fx"""
+
+
 @register("composite_key", f"""
 WITH k AS (SELECT c_custkey, c_acctbal,
   CASE WHEN c_nationkey IS NULL OR isinf(CAST(c_nationkey AS DOUBLE))
@@ -112,7 +126,7 @@ def composite_key_query(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("c_custkey", name, r6("key_te").alias("key_te"))
 
 
-@register("composite_key_detect")
+@register("composite_key_detect", COMPOSITE_DETECT_SQL)
 def composite_key_detect(spark: SparkSession, sf: str) -> DataFrame:
     """J4 decisions on FX6: customer (one candidate), part p_size (one),
     lineitem (three candidates: none)."""
