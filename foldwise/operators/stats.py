@@ -142,6 +142,8 @@ def gram_blocks(df: DataFrame, names, by) -> dict:
     driver; partial aggregation keeps the shuffle at one row per group per
     map task."""
     p = len(names)
+    if p > WIDE_GRAM_COLUMNS:
+        return arrow_gram_blocks(df, names, by)
     rows = df.groupBy(*by).agg(*gram_exprs(names)).collect()
     out = {}
     for r in rows:
@@ -154,6 +156,52 @@ def gram_blocks(df: DataFrame, names, by) -> dict:
     return out
 
 
+WIDE_GRAM_COLUMNS = 18     # above this, d(d+1)/2 sum expressions cost more to plan
+
+
+def arrow_gram_blocks(df: DataFrame, names, by) -> dict:
+    """A14 wide: per-partition NumPy Grams of ``names`` per group of ``by``
+    (integer columns) inside ``mapInArrow``, summed with ``reduceByKey``;
+    the shuffle carries one packed triangle per (group, partition)."""
+    import pyarrow as pa
+    from ..session import ship_package
+    ship_package(df.sparkSession)
+    by = list(by)
+    nb, p = len(by), len(names)
+    src = df.select(*[F.col(b).cast("long").alias(f"_b{i}") for i, b in enumerate(by)],
+                    *[F.col(n).cast("double").alias(f"_v{i}") for i, n in enumerate(names)])
+    iu = np.triu_indices(p)
+
+    def part(batches):
+        acc = {}
+        for bt in batches:
+            keys = np.column_stack([bt.column(i).to_numpy(zero_copy_only=False)
+                                    for i in range(nb)]) if nb else np.zeros((bt.num_rows, 0))
+            X = np.column_stack([bt.column(nb + i).to_numpy(zero_copy_only=False).astype(float)
+                                 for i in range(p)])
+            X = np.nan_to_num(X, nan=0.0)     # SQL sum skips NULL products: same result
+            uk, inv = np.unique(keys, axis=0, return_inverse=True)
+            for gi, k in enumerate(uk):
+                Xm = X[inv.ravel() == gi]
+                kk = "|".join(str(int(v)) for v in k)
+                acc[kk] = acc.get(kk, 0.0) + Xm.T @ Xm
+        ks = list(acc)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ks, pa.string()), pa.array([acc[k][iu].tolist() for k in ks],
+                                                  pa.list_(pa.float64()))], names=["g", "packed"])
+
+    red = (src.mapInArrow(part, "g string, packed array<double>").rdd
+           .map(lambda r: (r["g"], np.asarray(r["packed"])))
+           .reduceByKey(lambda a, b: a + b).collectAsMap())
+    out = {}
+    for k, vec in red.items():
+        g = np.zeros((p, p))
+        g[iu] = vec
+        g.T[iu] = vec
+        out[tuple(int(v) for v in k.split("|")) if k else ()] = g
+    return out
+
+
 def smear_factor(df: DataFrame, y: str, pred: str, exact=True) -> float:
     """Median of y / max(pred, 1e-6) over finite ratios, clipped to
     [0.5, 2] (used only when the y-transform is log1p)."""

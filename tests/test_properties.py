@@ -219,3 +219,17 @@ def test_train_quick_end_to_end(spark):
     scored = predict(r.plan, c)
     assert scored.columns == c.columns
     assert scored.count() == c.count()
+
+
+def test_arrow_gram_equals_sql_gram(spark):
+    from foldwise.catalog.fixtures import injected_nulls
+    from foldwise.operators import stats as A
+    from foldwise.operators.cv import assign_folds
+    df = injected_nulls(spark, SF_SMALL)
+    f, _ = assign_folds(df, "y", "key", 5)
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "y"]
+    g1 = A.gram_blocks(f, names, by=["fold", "ifold"])
+    g2 = A.arrow_gram_blocks(f, names, by=["fold", "ifold"])
+    assert set(g1) == set(g2)
+    for k in g1:
+        assert np.allclose(g1[k], g2[k], rtol=1e-10)
