@@ -195,9 +195,17 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
     if te_cols:
         Lc, maps, glob = LF.target_encode_long(Lc, te_cols, "_yw")
         g_all = glob.first()
+        from .fitted import INLINE_MAP_LEVELS
         for c, mp in maps.items():
-            te_maps[c] = {"map": {r["_lv"]: float(r["_te"]) for r in mp.collect()},
-                          "default": float(g_all["_g"])}
+            if mp.count() <= INLINE_MAP_LEVELS:      # small: a literal map in the plan
+                te_maps[c] = {"map": {r["_lv"]: float(r["_te"]) for r in mp.collect()},
+                              "default": float(g_all["_g"])}
+            else:                                     # large: stays a table
+                mpath = os.path.join(work_dir, "maps", "".join(
+                    ch if ch.isalnum() else "_" for ch in c))
+                mp.select(F.col("_lv").alias("level"), F.col("_te").alias("value")) \
+                    .write.mode("overwrite").parquet(mpath)
+                te_maps[c] = {"map": None, "path": mpath, "default": float(g_all["_g"])}
     model_feats = feats + te_cols
 
     # ---- models ----
