@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import hash_rank
 from .cv import train_copies
-from .stats import fold_r2_std, gram_blocks, pct, regression_metrics, use_exact
+from .stats import fold_r2_std, gram_blocks, pct, regression_metrics
 
 # ---- fixed values ----
 ALPHAS = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)

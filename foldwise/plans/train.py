@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import KEY_PREFIX, composite_key, level, to_number
+from ..functions.expr import composite_key, level, to_number
 from ..operators import blend as B
 from ..operators import longfit as LF
 from ..operators import select as S

@@ -233,3 +233,22 @@ def test_arrow_gram_equals_sql_gram(spark):
     assert set(g1) == set(g2)
     for k in g1:
         assert np.allclose(g1[k], g2[k], rtol=1e-10)
+
+
+def test_csv_ingest_fx16(spark):
+    import tempfile
+    from foldwise.operators.select import DataError
+    from foldwise.sources.csv import read_table
+    d = tempfile.mkdtemp(prefix="fx16-", dir="/tmp")
+    open(f"{d}/bom.csv", "wb").write("﻿a,b\n1,NA\n2,x\n".encode("utf-8"))
+    open(f"{d}/sj.csv", "wb").write(" 面積 ,家賃\n10,5.5\n".encode("cp932"))
+    open(f"{d}/dup.csv", "wb").write(" a,a\n1,2\n".encode("utf-8"))
+    open(f"{d}/empty.csv", "wb").write(b"")
+    a = read_table(spark, f"{d}/bom.csv")
+    assert a.columns == ["a", "b"] and [r["b"] for r in a.orderBy("a").collect()] == [None, "x"]
+    b = read_table(spark, f"{d}/sj.csv")
+    assert b.columns == ["面積", "家賃"] and b.first()["家賃"] == "5.5"
+    for name, key in (("dup", "duplicate_headers"), ("empty", "empty_file")):
+        with pytest.raises(DataError) as e:
+            read_table(spark, f"{d}/{name}.csv")
+        assert e.value.key == key
