@@ -358,6 +358,13 @@ def _tree_long(L: DataFrame, feats, key: str, kind: str, yt, n: int, work_dir: s
     final = fitted[-1]
     path = os.path.join(work_dir, f"{kind}_model")
     final.write().overwrite().save(path)
+    bag = []
+    if kind == "gbt":      # M5: fold models kept as an equal-weight bag (B6)
+        for m in models:
+            if m >= 0:
+                p = os.path.join(work_dir, f"{kind}_fold{m}")
+                fitted[m].write().overwrite().save(p)
+                bag.append({"type": kind, "path": p, "features": list(feats)})
     counts = TR.split_counts(final, feats)
     imp = TR.shares_from_counts(counts)
     if preds is None:       # no split: score the training rows
@@ -366,9 +373,10 @@ def _tree_long(L: DataFrame, feats, key: str, kind: str, yt, n: int, work_dir: s
                                                               for x, s in zip(feats, safe)})) \
             .select(key, F.lit(0).alias("fold"), F.col("_yraw").alias("y"),
                     yt.inverse("_p").alias("pred"))
-    return dict(oof=preds, type=kind, train_r2=None, importance=imp,
-                model={"type": kind, "path": path, "features": list(feats),
-                       "feature_cols": safe})
+    model = {"type": kind, "path": path, "features": list(feats), "feature_cols": safe}
+    if bag:
+        model["bag"] = {"type": "bag", "members": bag}
+    return dict(oof=preds, type=kind, train_r2=None, importance=imp, model=model)
 
 
 def predict(plan: FittedPlan, df: DataFrame) -> DataFrame:
