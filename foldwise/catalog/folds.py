@@ -75,7 +75,37 @@ def small_table_folds(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@register("fold_plan")
+def _fold_plan_sql() -> str:
+    parts = []
+    for t, key, y in SMALL + [("orders", "o_orderkey", "o_totalprice")]:
+        parts.append(f"""
+SELECT * FROM (
+WITH b AS (SELECT CAST({y} AS DOUBLE) AS y FROM {t}),
+n AS (SELECT count(*) AS n FROM b),
+r AS (SELECT n.n,
+        CASE WHEN n.n < 10 THEN 0 WHEN n.n < 50 THEN (CASE WHEN n.n < 100 THEN 10 ELSE 5 END)
+             ELSE 5 END AS k FROM n),
+p AS (SELECT n, k, greatest(2, least(k, n // 2)) AS a,
+             least(greatest(2, least(k, n // 2)), greatest(2, n // 10)) AS e FROM r),
+s AS (SELECT y, row_number() OVER (ORDER BY y) - 1 AS rn FROM b),
+q AS (SELECT i, (p.n - 1) * i / p.e AS h FROM p, range(0, 1000) t(i) WHERE i <= p.e),
+ed AS (SELECT q.i, lo.y + (q.h - floor(q.h)) * (coalesce(hi.y, lo.y) - lo.y) AS v
+       FROM q JOIN s lo ON lo.rn = floor(q.h) LEFT JOIN s hi ON hi.rn = floor(q.h) + 1),
+de AS (SELECT DISTINCT v FROM ed),
+inner_e AS (SELECT v FROM de WHERE v > (SELECT min(v) FROM de) AND v < (SELECT max(v) FROM de)),
+bins AS (SELECT (SELECT count(*) FROM inner_e WHERE inner_e.v < b.y) AS bin FROM b),
+sz AS (SELECT min(c) AS smallest FROM (SELECT count(*) AS c FROM bins GROUP BY bin))
+SELECT '{t}' AS fixture, CAST(p.n AS BIGINT) AS n_rows,
+  CASE WHEN p.k = 0 THEN 'none' WHEN least(p.a, sz.smallest) >= 2 THEN 'stratified'
+       ELSE 'kfold' END AS kind,
+  CAST(CASE WHEN p.k = 0 THEN 0 WHEN least(p.a, sz.smallest) >= 2 THEN least(p.a, sz.smallest)
+       ELSE greatest(2, least(p.a, p.n)) END AS BIGINT) AS n_folds,
+  CAST(CASE WHEN p.k = 0 THEN 0 ELSE p.e END AS BIGINT) AS n_bins
+FROM p, sz)""")
+    return " UNION ALL ".join(parts)
+
+
+@register("fold_plan", _fold_plan_sql())
 def fold_plan(spark: SparkSession, sf: str) -> DataFrame:
     """V4: fold count and kind per table size (rows check)."""
     rows = []
