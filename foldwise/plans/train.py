@@ -1,10 +1,11 @@
 """``train`` / ``predict``: the reference's two entry points as Spark jobs.
 
 train: validate the target (F1-F5) -> optional instant cap (F7) -> type
-triage (P6) and encoders (J1, J4, J6) -> screening (P1-P3) -> folds
-(V1-V4) -> long per-model frame (V5) with per-fold winsor (A4/A5, V9),
-y-transform (V10/V11), clip (A3), target encoding (J3) -> models (ridge
-M1/M10/M13, boosted trees M3/M5/M9, forests M6 in thorough mode) -> blend
+triage (P6) and encoders (J1, J4, J6) -> screening (P1-P3) -> derived
+features (E1/E2, thorough) -> folds (V1-V4) -> long per-model frame (V5)
+with per-fold winsor (A4/A5, V9), y-transform (V10/V11), clip (A3), target
+encoding (J3) -> models (ridge M1/M10/M13, boosted trees M3/M5/M9 with the
+fold bag, RBF kernel M7, MLP M8, forests M6 in thorough mode) -> blend
 (B1-B5, thorough) and choice (J8) -> post-processing (A15, A16, B7) ->
 reports (D9-D11) -> FittedPlan (S10).
 
@@ -39,6 +40,8 @@ WINSOR_MULT = {"thorough": 3.0, "quick": 4.5, "instant": 4.5}
 WINSOR_MIN_TRAIN_ROWS = 20
 KERNEL_MIN_ROWS = 10
 MLP_MIN_ROWS = 30
+FE_MIN_ROWS = 50
+FE_MAX_RAW = 12
 # ----------------------
 MLP_EPOCHS = 60      # Spark build default (each epoch is one distributed pass)
 
@@ -145,6 +148,11 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
         walk = S.duplicate_columns(enc, feats, fills)
         feats = [c for c, kept, _ in walk if kept]
 
+    # ---- E1/E2 derived features (thorough, >= 50 rows) ----
+    recipe = []
+    if mode == "thorough" and n >= FE_MIN_ROWS and len(feats) >= 1:
+        enc, recipe, feats = _derived_features(enc, feats, target, st, n)
+
     # ---- folds ----
     oof_eval = mode == "thorough" or n < SMALL_N_OOF
     k = fold_count(n, oof_eval)
@@ -282,7 +290,7 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
         target=target, features=model_feats, raw_columns=[c for c in raw_cols],
         onehot=levels, datetime=dt_cols, numeric_text=numeric_text, target_maps=te_maps,
         composite=composite, x_clip={c: list(b) for c, b in xclip.items()
-                                     if b[0] is not None},
+                                     if b[0] is not None}, recipe=recipe,
         medians=meds, y_transform={"kind": yt.kind, "lam": yt.lam},
         postprocess={"smear": pp.smear, "y_lo": pp.y_lo, "y_hi": pp.y_hi,
                      "round_output": pp.round_output},
@@ -318,6 +326,41 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
     return TrainResult(plan_obj, candidates, final_oof, warnings, summary)
 
 
+def _derived_features(enc: DataFrame, feats, target: str, st, n: int):
+    """E1 + E2: candidates over <= 12 raw features (the 12 with the largest
+    |r| with the target when there are more), products of pairs, squares,
+    sign(a) when a takes both signs; drop non-finite or constant ones (one
+    aggregate); keep <= 15 with split importance > 0 from a boosted model on
+    raw + candidates. Selected on all rows (the reference refits per fold)."""
+    from ..operators.encode import apply_recipe, candidate_recipe, candidate_stats
+    from ..operators.select import top_k_by_corr
+    raw = [c for c in feats if "==" not in c and "__" not in c]
+    if len(raw) > FE_MAX_RAW:
+        raw = top_k_by_corr(enc, raw, target, FE_MAX_RAW)
+    if not raw:
+        return enc, [], feats
+    signs = {c: (st[f"{c}__min"] is not None and st[f"{c}__min"] < 0 < st[f"{c}__max"])
+             for c in raw}
+    cands = [r for r in candidate_recipe(raw, signs) if r[0] not in enc.columns]
+    if not cands:
+        return enc, [], feats
+    cs = {r["feature"]: r for r in candidate_stats(enc, cands).collect()}
+    ok = [r for r in cands if cs[r[0]]["n_finite"] and cs[r[0]]["std"] is not None
+          and cs[r[0]]["std"] >= 1e-12]
+    if not ok:
+        return enc, [], feats
+    safe = {r[0]: f"_d{i}" for i, r in enumerate(ok)}
+    tmp = apply_recipe(enc, ok).select(
+        target, *[F.col(f"`{c}`").alias(f"_r{i}") for i, c in enumerate(raw)],
+        *[F.col(f"`{nm}`").alias(safe[nm]) for nm in safe])
+    kept_safe = TR.engineered_features(tmp, [f"_r{i}" for i in range(len(raw))],
+                                       list(safe.values()), target, n_rows=n)
+    back = {v: k for k, v in safe.items()}
+    kept = [back[s] for s in kept_safe]
+    recipe = [r for r in ok if r[0] in kept]
+    return apply_recipe(enc, recipe), [list(r) for r in recipe], feats + kept
+
+
 def _shares(coef: dict) -> list:
     tot = max(sum(abs(v) for v in coef.values()), 1e-9)
     return sorted([(k, round(abs(v) / tot * 100, 1)) for k, v in coef.items()],
