@@ -285,10 +285,10 @@ def coef_importance(coef: dict) -> list:
 
 
 def oof_metrics(oof: DataFrame, y: str = "y", pred: str = "pred", fold: str = "fold"):
-    """A10-A12 over an OOF table: one row n_rows, r2, rmse, mae, r2_std."""
-    m = regression_metrics(oof, y, pred)
-    s = fold_r2_std(oof, y, pred, fold)
-    return m.crossJoin(s)
+    """A10-A12 over an OOF table: one row n_rows, r2, rmse, mae, r2_std,
+    from one pass (additive per-fold sums)."""
+    from .stats import metrics_with_fold_spread
+    return metrics_with_fold_spread(oof, y, pred, fold)
 
 
 def poly_columns(cols) -> list:
