@@ -221,14 +221,11 @@ def candidate_table(spark: SparkSession, sf: str) -> DataFrame:
     long = folded.select("y", "fold", F.explode(F.array(*[
         F.struct(F.lit(m).alias("name"), F.lit(i).alias("ord"), F.col(m).alias("pred"))
         for i, m in enumerate(MODELS)])).alias("c")).select("y", "fold", "c.*")
-    allm = A.regression_metrics(long, "y", "pred", by=["name"])
-    per = A.regression_metrics(long, "y", "pred", by=["name", "fold"]).filter(F.col("n_rows") >= 2)
-    sd = per.groupBy("name").agg(F.when(F.count(F.lit(1)) >= 2, F.stddev_pop("r2"))
-                                 .otherwise(F.lit(0.0)).alias("r2_std"))
+    allm = A.metrics_with_fold_spread(long, "y", "pred", "fold", by=["name"]).cache()
     scores = [(r["name"], r["r2"]) for r in allm.collect()]
     scores.sort(key=lambda t: MODELS.index(t[0]))
     best = B.pick_model(scores, None)
-    return allm.join(sd, "name").select(
+    return allm.select(
         "name", r6("r2").alias("r2"), F.lit("synthetic").alias("type"),
         (F.col("name") == best).alias("is_best"), r6("r2_std").alias("r2_std"),
         r2_words(r6("r2")).alias("words"))

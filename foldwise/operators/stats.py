@@ -125,23 +125,25 @@ def fold_r2_std(df: DataFrame, y: str, pred: str, fold: str = "fold") -> Column:
                    .otherwise(F.lit(0.0)).alias("r2_std"))
 
 
-def metrics_with_fold_spread(df: DataFrame, y: str, pred: str, fold: str = "fold"
-                             ) -> DataFrame:
+def metrics_with_fold_spread(df: DataFrame, y: str, pred: str, fold: str = "fold",
+                             by=()) -> DataFrame:
     """A10-A12 in ONE pass over the rows: additive per-fold sums (n, sum y,
     sum y^2, SSE, sum |e|) give the per-fold R^2 and, summed over the small
     per-fold table, the overall n, R^2, RMSE and MAE."""
     err = F.col(y) - F.col(pred)
-    per = df.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"),
+    by = list(by)
+    per = df.groupBy(*by, fold).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"),
                                F.sum(F.col(y) * F.col(y)).alias("syy"),
                                F.sum(err * err).alias("sse"), F.sum(F.abs(err)).alias("sae"))
     sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     per = per.withColumn("r2", r2_from_sums(F.col("sse"), sst))
-    tot = per.agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"),
-                  F.sum("sse").alias("sse"), F.sum("sae").alias("sae"),
-                  F.when(F.count(F.when(F.col("n") >= 2, 1)) >= 2,
-                         F.stddev_pop(F.when(F.col("n") >= 2, F.col("r2"))))
-                  .otherwise(F.lit(0.0)).alias("r2_std"))
-    return tot.select(F.col("n").alias("n_rows"),
+    aggs = [F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"),
+            F.sum("sse").alias("sse"), F.sum("sae").alias("sae"),
+            F.when(F.count(F.when(F.col("n") >= 2, 1)) >= 2,
+                   F.stddev_pop(F.when(F.col("n") >= 2, F.col("r2"))))
+            .otherwise(F.lit(0.0)).alias("r2_std")]
+    tot = per.groupBy(*by).agg(*aggs) if by else per.agg(*aggs)
+    return tot.select(*by, F.col("n").alias("n_rows"),
                       r2_from_sums(F.col("sse"), sst).alias("r2"),
                       F.sqrt(F.col("sse") / F.col("n")).alias("rmse"),
                       (F.col("sae") / F.col("n")).alias("mae"), "r2_std")
