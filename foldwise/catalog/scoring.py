@@ -80,7 +80,28 @@ def preview_query(spark: SparkSession, sf: str) -> DataFrame:
     return preview(scored, "key", 500)
 
 
-@register("missing_columns")
+MISSING_COLUMNS_SQL = f"""
+WITH t AS ({NET_CHARGE_SQL}),
+q AS (SELECT quantile_cont(l_extendedprice, [0.25, 0.5, 0.75]) AS qe,
+             quantile_cont(l_quantity, [0.25, 0.5, 0.75]) AS qq,
+             min(y) - (max(y) - min(y)) * 0.05 AS lo, max(y) + (max(y) - min(y)) * 0.05 AS hi
+      FROM t),
+z AS (SELECT (l_extendedprice - qe[2]) / greatest(qe[3] - qe[1], 1e-8) AS z1,
+             (l_quantity - qq[2]) / greatest(qq[3] - qq[1], 1e-8) AS z2, y FROM t, q),
+m AS (SELECT avg(z1) AS m1, avg(z2) AS m2, avg(y) AS my,
+             covar_pop(z1, z1) * count(*) + 1.0 AS a11, covar_pop(z1, z2) * count(*) AS a12,
+             covar_pop(z2, z2) * count(*) + 1.0 AS a22, covar_pop(z1, y) * count(*) AS c1,
+             covar_pop(z2, y) * count(*) AS c2 FROM z),
+b AS (SELECT (a22 * c1 - a12 * c2) / (a11 * a22 - a12 * a12) AS b1,
+             (a11 * c2 - a12 * c1) / (a11 * a22 - a12 * a12) AS b2, m1, m2, my FROM m),
+p AS (SELECT b.my - b.b1 * b.m1 - b.b2 * b.m2 + b.b1 * z.z1 AS raw, q.lo, q.hi FROM z, b, q),
+c AS (SELECT CASE WHEN raw < lo THEN lo WHEN raw > hi THEN hi ELSE raw END AS y FROM p)
+SELECT CAST(count(*) AS BIGINT) AS n_rows, round(avg(y), 2) AS mean,
+       CASE WHEN count(y) > 1 THEN round(stddev_samp(y), 2) ELSE 0.0 END AS std,
+       'l_extendedprice, l_quantity' AS columns, 'l_quantity' AS missing FROM c"""
+
+
+@register("missing_columns", MISSING_COLUMNS_SQL)
 def missing_columns(spark: SparkSession, sf: str) -> DataFrame:
     """Scoring a table without a model column reports it and fills it
     with the training median (rows check)."""
