@@ -125,7 +125,25 @@ def duplicate_columns(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("col_a", "col_b", r6("r").alias("r"), "is_dup")
 
 
-@register("duplicate_columns_walk")
+def _walk_sql() -> str:
+    pairs = " UNION ALL ".join(
+        f"SELECT {i} AS pa, {j} AS pb, abs(corr({a}, {b})) > 0.999 AS dup FROM f"
+        for i, a in enumerate(DUP_COLS) for j, b in enumerate(DUP_COLS) if j > i)
+    cols = ", ".join(f"({i}, '{c}')" for i, c in enumerate(DUP_COLS))
+    return f"""
+WITH t AS ({FX7_SQL}),
+m AS (SELECT {", ".join(f"median({c}) AS m_{c}" for c in DUP_COLS)} FROM t),
+f AS (SELECT {", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in DUP_COLS)} FROM t, m),
+p AS ({pairs}),
+d1 AS (SELECT DISTINCT pb AS pos FROM p WHERE dup),
+partner AS (SELECT pb AS pos, min(pa) AS pa FROM p
+            WHERE dup AND pa NOT IN (SELECT pos FROM d1) GROUP BY pb),
+cols AS (SELECT * FROM (VALUES {cols}) v(pos, name))
+SELECT cols.name AS "column", partner.pa IS NULL AS kept, pn.name AS partner
+FROM cols LEFT JOIN partner ON cols.pos = partner.pos LEFT JOIN cols pn ON pn.pos = partner.pa"""
+
+
+@register("duplicate_columns_walk", _walk_sql())
 def duplicate_columns_walk(spark: SparkSession, sf: str) -> DataFrame:
     """P3 decision: greedy walk in column order over the pair table."""
     df = fx7(spark, sf)
