@@ -75,15 +75,33 @@ def blend_inputs(spark: SparkSession, sf: str) -> DataFrame:
         "model", r6("r2").alias("r2"), "all_finite", "eligible")
 
 
-@register("blend_weights")
+# FX13's eligible members are affine in y, so the non-negative least-squares
+# weights equal the unconstrained 2 x 2 solution (both positive) and the
+# blend is exact; the oracle solves the normal equations by Cramer's rule
+BLEND_WEIGHTS_SQL = f"""
+WITH t AS ({FX13_SQL}),
+g AS (SELECT sum(m1 * m1) AS a11, sum(m1 * m2) AS a12, sum(m2 * m2) AS a22,
+             sum(m1 * y) AS c1, sum(m2 * y) AS c2, sum(y * y) AS yy,
+             var_pop(y) * count(*) AS sst FROM t),
+w AS (SELECT (a22 * c1 - a12 * c2) / (a11 * a22 - a12 * a12) AS w1,
+             (a11 * c2 - a12 * c1) / (a11 * a22 - a12 * a12) AS w2, * FROM g),
+r AS (SELECT w1, w2, 1 - (yy - 2 * (w1 * c1 + w2 * c2) + w1 * w1 * a11
+                          + 2 * w1 * w2 * a12 + w2 * w2 * a22) / sst AS r2 FROM w)
+SELECT 'm1' AS model, {R("w1")} AS weight, 'nnls' AS method, {R("r2")} AS r2 FROM r
+UNION ALL SELECT 'm2', {R("w2")}, 'nnls', {R("r2")} FROM r"""
+
+
+@register("blend_weights", BLEND_WEIGHTS_SQL)
 def blend_weights(spark: SparkSession, sf: str) -> DataFrame:
-    """NNLS weights (or the fallbacks) and the blend R^2 (rows check;
-    tests verify the NNLS optimality conditions)."""
+    """NNLS weights from the OOF Gram (active set), the R^2-share
+    fallback and the signed-ridge stack when it wins by > 0.01; tests also
+    verify the NNLS optimality conditions."""
     _, st = _stats(spark, sf)
     bl = B.fit_blend(st, MODELS, B.eligible_members(st, MODELS))
-    return spark.createDataFrame([(m, float(w), bl.method, bl.r2)
-                                  for m, w in zip(bl.members, bl.weights)],
-                                 "model string, weight double, method string, r2 double")
+    df = spark.createDataFrame([(m, float(w), bl.method, float(bl.r2))
+                                for m, w in zip(bl.members, bl.weights)],
+                               "model string, weight double, method string, r2 double")
+    return df.select("model", r6("weight").alias("weight"), "method", r6("r2").alias("r2"))
 
 
 def _share_sql() -> str:
