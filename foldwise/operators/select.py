@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import (NAN_LEVEL, datetime_parts, finite_or_null, is_nonfinite,
+from ..functions.expr import (NAN_LEVEL, datetime_parts, datetime_valid, finite_or_null, is_nonfinite,
                               level, to_number)
 from ..functions.keys import md5_order
 
@@ -299,7 +299,7 @@ def triage_stats(df: DataFrame, target: str, cols=None) -> DataFrame:
     for i, x in enumerate(cols):
         is_bool = isinstance(df.schema[x].dataType, T.BooleanType)
         num_ok = F.lit(0.0) if is_bool else to_number(F.col(x)).isNotNull().cast("double")
-        dt_ok = F.lit(0.0) if is_bool else datetime_parts(F.col(x)).isNotNull().cast("double")
+        dt_ok = F.lit(0.0) if is_bool else datetime_valid(F.col(x)).cast("double")
         aggs += [F.avg(num_ok).alias(f"nr{i}"), F.avg(dt_ok).alias(f"dr{i}"),
                  F.count_distinct(level(x)).alias(f"nl{i}")]
     wide = df.agg(F.count(F.lit(1)).alias("_n"), *aggs)
@@ -346,7 +346,7 @@ def _triage_hybrid(df: DataFrame, target: str, cols=None) -> DataFrame:
     for i, x in enumerate(cols):
         is_bool = isinstance(df.schema[x].dataType, T.BooleanType)
         num_ok = F.lit(0.0) if is_bool else to_number(F.col(x)).isNotNull().cast("double")
-        dt_ok = F.lit(0.0) if is_bool else datetime_parts(F.col(x)).isNotNull().cast("double")
+        dt_ok = F.lit(0.0) if is_bool else datetime_valid(F.col(x)).cast("double")
         aggs += [F.avg(num_ok).alias(f"nr{i}"), F.avg(dt_ok).alias(f"dr{i}"),
                  F.approx_count_distinct(level(x), 0.01).alias(f"nl{i}")]
     r = df.agg(F.count(F.lit(1)).alias("_n"), *aggs).first()
