@@ -252,3 +252,15 @@ def test_csv_ingest_fx16(spark):
         with pytest.raises(DataError) as e:
             read_table(spark, f"{d}/{name}.csv")
         assert e.value.key == key
+
+
+def test_datetime_valid_equals_full_parser(spark):
+    from foldwise.catalog.fixtures import date_text
+    from foldwise.functions.expr import datetime_parts, datetime_valid
+    extra = ["2024-01-0510:30", "2024/02/29 23:59:99", "2024-02-30", "2024-00-10", "2024-11-31",
+             "2024-12-31T24:00", "2024-12-31 23:60", "0000-01-01", "2024-1-05", " 2024-06-30 ",
+             "2024-06-30 7:05", "20240630", "", None, "2024-06-30T", "9999-12-31 23:59"]
+    df = date_text(spark, SF_SMALL).select("txt").unionByName(
+        spark.createDataFrame([(v,) for v in extra], "txt string"))
+    bad = df.filter(datetime_valid("txt") != datetime_parts("txt").isNotNull())
+    assert bad.count() == 0
