@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import load
 from . import exact_dedup as dedup
-from . import mixing, preference
+from . import mixing, packing, preference, quality
 
 UPPER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -37,10 +37,29 @@ def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(load(spark, sf, "documents"), word_tokenizer())
+
+
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = load(spark, sf, "documents"), load(spark, sf, "labels")
+    weights = quality.train(docs, labels.where(~quality.held_out("doc_id")))
+    return quality.score(docs, weights).select(
+        "doc_id", quality.held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_preference": op4_preference,
     "op5_mixing": op5_mixing,
+    "op9_packing": op9_packing,
+    "op10_quality": op10_quality,
 }
 ORACLE = {
     "op2_exact_dedup": OP2_SQL,

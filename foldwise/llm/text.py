@@ -62,16 +62,19 @@ def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def word_spans(low: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(low: np.ndarray, bounds: np.ndarray, cuts: np.ndarray | None = None):
     """Starts and ends of the words of the texts ``low[bounds[i]:bounds[i+1]]``
     (bounds from 0), and for each text the index of its first word, with the
-    number of words at the end."""
+    number of words at the end. ``cuts``: byte positions before which a word is
+    cut in two."""
     if len(low) == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(bounds), np.int64)
     word = ~SPACE[low]
     edge = np.zeros(len(low) + 1, bool)
     edge[bounds] = True
+    if cuts is not None:
+        edge[cuts] = True
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1] | edge[1:-1]
     last[:-1] &= ~word[1:] | edge[1:-1]
