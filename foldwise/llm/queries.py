@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import load
 from . import exact_dedup as dedup
-from . import mixing, packing, preference, quality
+from . import line_dedup, mixing, packing, preference, quality, token_counts
 
 UPPER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -24,6 +24,12 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id,
 """
 
 
+def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+    return token_counts.section_tokens(load(spark, sf, "documents"),
+                                       public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_preference(spark: SparkSession, sf: str) -> DataFrame:
     pairs = preference.reply_pairs(load(spark, sf, "conversations"))
     return preference.preference_format(pairs).select(
@@ -42,6 +48,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.repeated_units(load(spark, sf, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(load(spark, sf, "documents"), word_tokenizer())
 
@@ -56,8 +66,10 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_counts": op3_token_counts,
     "op4_preference": op4_preference,
     "op5_mixing": op5_mixing,
+    "op7_line_dedup": op7_line_dedup,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
@@ -65,4 +77,5 @@ ORACLE = {
     "op2_exact_dedup": OP2_SQL,
     "op4_preference": preference.pair_sql(),
     "op5_mixing": mixing.MIX_SQL,
+    "op7_line_dedup": line_dedup.LINES_SQL,
 }
