@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from ..session import load
 from . import exact_dedup as dedup
-from . import line_dedup, mixing, packing, preference, quality, token_counts
+from . import ann, line_dedup, mixing, packing, preference, quality, token_counts
 
 UPPER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_permutation_index(spark: SparkSession, sf: str) -> DataFrame:
+    index = ann.build_index(load(spark, sf, "embeddings"))
+    return ann.search(index, F.col("vec_id") % 20 == 0)
+
+
 def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.exact_dedup(load(spark, sf, "documents"))
 
@@ -65,6 +70,7 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_permutation_index": op1_permutation_index,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_preference": op4_preference,
