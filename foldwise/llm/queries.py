@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import load
 from . import exact_dedup as dedup
-from . import ann, line_dedup, mixing, packing, preference, quality, token_counts
+from . import ann, jaccard, line_dedup, mixing, packing, preference, quality, token_counts
 
 UPPER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -53,6 +53,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op6_jaccard_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.similarity_components(load(spark, sf, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.repeated_units(load(spark, sf, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_preference": op4_preference,
     "op5_mixing": op5_mixing,
+    "op6_jaccard_groups": op6_jaccard_groups,
     "op7_line_dedup": op7_line_dedup,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
