@@ -31,6 +31,8 @@ from .text import blocks, column_bytes
 SALTS = 32
 #: A group is opened in blocks of at most so many members or tokens.
 MEMBERS, TOKENS = 512, 2_000_000
+#: Sizes of one group differ by this factor at most; the second pass meets the others.
+BAND = 1.1
 #: Queries that meet one block in one task.
 ASKERS = 1024
 #: Up to so many identifiers are broadcast (16 bytes each), more are joined by a shuffle.
@@ -88,7 +90,7 @@ def _post(size: int, percent: int, level: np.ndarray, bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = column_bytes(batch.column(0))
-            for i, j in blocks(offs, 16 << 20):
+            for i, j in blocks(offs):
                 seen, tokens, owner = set(), [], []
                 for s in shingle_sets(raw, offs, i, j, size):
                     if len(s) and (c := set_hash(s)) not in seen:
@@ -259,9 +261,11 @@ class _Join:
 
     def groups(self) -> None:
         """Members (cls, n, g): a class joins the group of the smallest hash of
-        its shared tokens, in blocks of bounded size."""
+        its shared tokens among classes of about its size (a band of sizes, so
+        that the bound is sharp), in blocks of bounded size."""
         first = self.shared.groupBy("cls").agg(F.min(F.xxhash64("tok")).alias("key"))
-        member = first.join(self.classes.select("cls", "n"), "cls")
+        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int")
+        member = first.join(self.classes.select("cls", "n"), "cls").withColumn("key", F.xxhash64("key", band))
         size = member.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
         size = size.where("c > 1").select("key", _blocks())
         self.member = written(member.join(size, "key").select("cls", "n", _block("key").alias("g")), "members")
