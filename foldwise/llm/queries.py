@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import load
 from . import exact_dedup as dedup
-from . import ann, jaccard, line_dedup, mixing, packing, preference, quality, token_counts
+from . import ann, jaccard, line_dedup, lm, mixing, packing, preference, quality, token_counts
 
 UPPER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -61,6 +61,14 @@ def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.repeated_units(load(spark, sf, "documents"))
 
 
+def op8_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents")
+    out = lm.held_out(F.col("doc_id"))
+    model = lm.fit(docs.where(~out))
+    return lm.score(docs, model).select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                                        "base_score", "score")
+
+
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(load(spark, sf, "documents"), word_tokenizer())
 
@@ -81,6 +89,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_jaccard_groups": op6_jaccard_groups,
     "op7_line_dedup": op7_line_dedup,
+    "op8_language_model": op8_language_model,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
