@@ -122,12 +122,12 @@ def mix(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str
 def mixed_rows(docs: DataFrame, ident: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """The documents of the mix, all columns kept: a document taken twice gives
     two rows, one not taken gives none, and each is whole (``whole=True``).
-    Documents without words have nothing to take and stay once. Rows of equal
+    Documents without words have nothing to take and give none. Rows of equal
     identifier are told apart by a written row number."""
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     plan = mix(rows, ident, text, whole=True, carry=["_row"], **params)
-    times = F.when(F.col("size") == 0, 1).otherwise((F.col("taken") / F.col("size")).cast("int"))
-    plan = plan.select("_row", times.alias("_times")).where("_times > 0")
+    times = (F.col("taken") / F.col("size")).cast("int")
+    plan = plan.where("taken > 0").select("_row", times.alias("_times"))
     copies = F.explode(F.sequence(F.lit(1), F.col("_times")))
     return (rows.join(plan, "_row").withColumn("_copy", copies).select(*docs.columns))
 

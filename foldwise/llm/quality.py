@@ -185,22 +185,21 @@ def _score(weights: np.ndarray, bits: int) -> Callable:
                     z += (run_[b[1:]] - run_[b[:-1]]) * (SCALE / np.maximum(b[1:] - b[:-1], 1))
                 out[i:j] = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
             cols = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out)],
-                                             [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(out)], [*batch.schema.names[:-1], "_new"])
     return run
 
 
 def score(docs: DataFrame, weights: np.ndarray, ident: str = "doc_id", text: str = "text",
-          carry: list[str] | None = None) -> DataFrame:
-    """``carry`` (by default ``ident``) and score, from 0 to 1, of every whole
+          carry: list[str] | None = None, output: str = "score") -> DataFrame:
+    """``carry`` (by default ``ident``) and score (named ``output``), from 0 to 1, of every whole
     text; null and empty texts get the score of the bias alone. Rows that
     repeat are scored alike, an empty table gives an empty table."""
     ship_package(docs.sparkSession)
     keep = carry or [ident]
     bits = (len(weights) - 1).bit_length() - 1
     src = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("_text"))
-    schema = src.drop("_text").schema.add("score", "double")
-    return src.mapInArrow(_score(weights, bits), schema)
+    schema = src.drop("_text").schema.add("_new", "double")
+    return src.mapInArrow(_score(weights, bits), schema).withColumnRenamed("_new", output)
 
 
 def held_out(ident: str) -> Column:
