@@ -30,7 +30,7 @@ from .text import blocks, column_bytes
 
 SALTS = 32
 #: A group is opened in blocks of at most so many members or tokens.
-MEMBERS, TOKENS = 512, 2_000_000
+MEMBERS, TOKENS = 512, 1_000_000
 #: Sizes of one group differ by this factor at most; the second pass meets the others.
 BAND = 1.1
 #: Queries that meet one block in one task.
@@ -38,7 +38,7 @@ ASKERS = 1024
 #: Up to so many identifiers are broadcast (16 bytes each), more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Tokens looked at together for local frequencies, and the count that makes one worth telling.
-CHUNK, LOCAL = 4_000_000, 4
+CHUNK, LOCAL = 2_000_000, 4
 #: Frequent tokens kept at most; any list gives right results, it only sets the order.
 FREQUENT = 200_000
 
@@ -293,20 +293,34 @@ class _Join:
         found = open_.join(held, "cls").groupBy("g").applyInPandas(_inside(self.percent), "cls long, comp long")
         return written(found, "within")
 
-    def candidates(self, within: DataFrame) -> DataFrame:
-        """(cls, own, other): queries and the components that may hold a similar
-        member, by the overlap with the union of the component's tokens."""
-        base = (self.shared.join(self.classes.select("cls", "n"), "cls").join(within, "cls", "left")
-                .withColumn("comp", F.coalesce("comp", "cls")))
-        base = written(base, "tokens")
-        union = base.groupBy("tok", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        many = union.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("tok")
-        union = union.join(many, "tok").withColumnRenamed("comp", "other")
-        met = base.join(union, "tok").where("comp < other")
-        return written(met.groupBy("cls", "n", "comp", "other").agg(
-            F.count(F.lit(1)).alias("m"), F.min("least").alias("least"), F.max("most").alias("most"))
-            .where(_may_qualify(F.col("m"), F.col("n"), F.col("least"), F.col("most"), self.percent))
-            .select("cls", F.col("comp").alias("own"), "other", "m"), "candidates")
+    def components_that_meet(self, comp: DataFrame) -> DataFrame:
+        """(own, other, single): pairs of components that may hold a link, by
+        the overlap of their token unions; ``own`` has no more classes than
+        ``other``, and ``single`` says that it has one."""
+        held = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("c"))
+        base = self.shared.join(self.classes.select("cls", "n"), "cls").join(comp, "cls")
+        self.tokens = written(base, "tokens")
+        union = self.tokens.groupBy("tok", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        many = union.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("tok")
+        self.union = written(union.join(many, "tok").join(held, "comp"), "unions")
+        a, b = self.union.toDF("own", "tok", "alo", "ahi", "ac"), self.union.toDF("other", "tok", "blo", "bhi", "bc")
+        met = a.join(b, "tok").where("ac < bc or (ac = bc and own < other)")
+        met = met.groupBy("own", "other", "ac").agg(
+            F.count(F.lit(1)).alias("m"), *[(F.min if c.endswith("lo") else F.max)(c).alias(c)
+                                            for c in ("alo", "ahi", "blo", "bhi")])
+        return written(met.where(_may_link(self.percent)).select(
+            "own", "other", (F.col("ac") == 1).alias("single")), "meetings")
+
+    def queries_of(self, pairs: DataFrame) -> DataFrame:
+        """(cls, own, other): of the pairs (own, other, was_own, was_other), the
+        classes of the first whose overlap with the second's union allows a link."""
+        pairs = pairs.select("own", "other", F.col("was_own").alias("comp"), "was_other")
+        asked = self.tokens.join(pairs, "comp").join(
+            self.union.select("tok", F.col("comp").alias("was_other"), "lo", "hi"), ["tok", "was_other"])
+        return asked.groupBy("cls", "n", "own", "other", "was_other").agg(
+            F.count(F.lit(1)).alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(
+            _may_qualify(F.col("m"), F.col("n"), F.col("lo"), F.col("hi"), self.percent)).select(
+            "cls", "own", "other").distinct()
 
     def open(self, pairs: DataFrame, comp: DataFrame) -> DataFrame:
         """Links (a, b) between components, from queries ``pairs`` (cls, own,
@@ -332,33 +346,42 @@ class _Join:
             _across(self.percent), "a long, b long")
 
     def run(self) -> DataFrame:
-        """(cls, comp) for classes with a similar other class."""
+        """(cls, comp) for classes that share tokens with others."""
         self.scan()
         self.postings()
         self.groups()
-        within = self.within()
-        pairs = self.candidates(within)
-        everyone = self.shared.select("cls").distinct().join(within, "cls", "left").select(
-            "cls", F.coalesce("comp", "cls").alias("comp"))
-        comp = written(everyone, "components")
-        # one query for each two components first: most links show there
-        probe = pairs.groupBy("own", "other").agg(F.max_by("cls", F.struct("m", "cls")).alias("cls"))
-        for step in (probe, None):
-            if step is None:
-                step = pairs
-            if step.isEmpty():
+        comp = written(self.shared.select("cls").distinct().join(self.within(), "cls", "left").select(
+            "cls", F.coalesce("comp", "cls").alias("comp")), "components")
+        pairs = self.components_that_meet(comp).withColumns({"was_own": F.col("own"), "was_other": F.col("other")})
+        # one query for each pair first: most links show there, and a single class is then done
+        for asked in (lambda p: p.select(F.col("own").alias("cls"), "own", "other"), self.queries_of):
+            if pairs.isEmpty():
                 break
-            label = components(self.open(step, comp))
+            label = components(self.open(written(asked(pairs), "asked"), comp))
             if label is not None:
                 rename = lambda df, c: (df.join(label.toDF(c, "_to"), c, "left")
                                         .withColumn(c, F.coalesce("_to", c)).drop("_to"))
                 comp = written(rename(comp, "comp"), "components")
                 pairs = rename(rename(pairs, "own"), "other")
-            pairs = written(pairs.where("own <> other").select("cls", "own", "other", "m")
-                            .groupBy("cls", "own", "other").agg(F.max("m").alias("m")), "pairs")
+            pairs = written(pairs.where("own <> other and not single"), "pairs")
         return comp
 
 
+def _may_link(percent: int) -> Column:
+    """Whether ``m`` shared tokens allow a link between sets of alo..ahi and of
+    blo..bhi tokens. What is needed (see ``_may_qualify``) is concave in the two
+    sizes, so it is smallest at a corner of the sizes that count; where these
+    reach the limit of similar sizes, one token is enough."""
+    t, r = _fraction(percent)
+    corners = [(F.col(a), F.col(b)) for a in ("alo", "ahi") for b in ("blo", "bhi")]
+    needed = [F.ceil((a + b) * r - 1e-9) - F.ceil(F.greatest(a, b) * t - 1e-9) + 1 for a, b in corners]
+    within = F.lit(True)
+    for a, b in corners:
+        within &= F.least(a, b) >= F.ceil(F.greatest(a, b) * t - 1e-9)
+    meet = (F.col("ahi") >= F.ceil(F.col("blo") * t - 1e-9)) & (F.col("bhi") >= F.ceil(F.col("alo") * t - 1e-9))
+    return meet & (F.col("m") >= F.greatest(F.lit(1), F.when(within, F.least(*needed)).otherwise(1)))
+
+
 def _blocks() -> Column:
     return F.greatest(F.ceil(F.col("c") / MEMBERS), F.ceil(F.col("s") / TOKENS)).cast("int").alias("blocks")
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 4 << 20
+HASHED = 1 << 19        # bytes whose running sums are held at a time
 _RNG = np.random.default_rng(20240607)
 BYTE_KEYS = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -87,7 +88,7 @@ def span_hashes(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     out = np.empty(len(s), np.uint64)
     i = 0
     while i < len(s):
-        j = max(i + 1, int(np.searchsorted(e, s[i] + BLOCK, "right")))
+        j = max(i + 1, int(np.searchsorted(e, s[i] + HASHED, "right")))
         a, b = int(s[i]), int(e[j - 1])
         run = np.zeros(b - a + 1, np.uint64)
         np.cumsum(BYTE_KEYS[low[a:b]] * _powers("up", BASE, b - a)[:b - a], out=run[1:])
