@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.llm import exact_dedup, jaccard, mixing, packing, quality
-from foldwise.llm.base import written
+from foldwise.llm.base import fresh, written
 from foldwise.llm.queries import word_tokenizer
 from foldwise.session import load
 
@@ -23,8 +23,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     the labels of ``sf_dir`` outside the held-out fold, and from ``docs``."""
     labels = load(spark, sf_dir, "labels").where(~quality.held_out("doc_id"))
     weights = quality.train(docs, labels)
-    scored = quality.score(docs, weights, carry=docs.columns, output="_quality")
-    return scored.where(F.col("_quality") >= QUALITY).select(*docs.columns)
+    name = fresh(docs, "_quality")
+    scored = quality.score(docs, weights, carry=docs.columns, output=name)
+    return scored.where(F.col(name) >= QUALITY).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +36,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents, the one with the smallest doc_id
     (null last, then the first row); documents without words all stay."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    key = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    row = fresh(docs, "_row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     found = jaccard.similarity_components(rows.select(key.alias("_key"), "text"), ident="_key")
-    stay = found.where(F.col("_key") == F.col("component_id")).select(F.col("_key.row").alias("_row"))
-    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
+    stay = found.where(F.col("_key") == F.col("component_id")).select(F.col("_key.row").alias(row))
+    return rows.join(stay, row, "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

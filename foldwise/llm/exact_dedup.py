@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import ascii_lower, partitions, written
+from .base import ascii_lower, fresh, partitions, written
 
 KEY = ["_sha", "_len", "_check"]
 
@@ -99,8 +99,9 @@ def drop_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", keep
     carry the same identifier are told apart by a row number, which is written
     with the rows and so never changes."""
     levels = levels or _levels(docs)
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    order = _order(ident, keep, (-F.col("_row")).alias("row"))
-    up, _ = tree(digest_run(rows, text, order, F.col("_row"), levels), levels, step)
-    stay = up[-1].select((-F.col("_keep.row")).alias("_row"))
-    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
+    row = fresh(docs, "_row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    order = _order(ident, keep, (-F.col(row)).alias("row"))
+    up, _ = tree(digest_run(rows, text, order, F.col(row), levels), levels, step)
+    stay = up[-1].select((-F.col("_keep.row")).alias(row))
+    return rows.join(stay, row, "left_semi").select(*docs.columns)

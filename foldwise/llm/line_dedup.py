@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .base import WORD, written
+from .base import WORD, fresh, written
 
 SALTS = 32
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -59,10 +59,6 @@ def _batch(batch, row, unit, start, length, words, digest) -> pa.RecordBatch:
         ["_row", batch.schema.names[1], "unit", "start", "length", "words", "digest"])
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.monotonically_increasing_id())
-
-
 def repeated_units(docs: DataFrame, ident: str = "doc_id", text: str = "text", unit: str = "line",
                    min_words: int = 5, row: str | None = None) -> DataFrame:
     """One row for every unit to remove: ``ident``, unit (its number in the
@@ -78,9 +74,8 @@ def repeated_units(docs: DataFrame, ident: str = "doc_id", text: str = "text", u
     returned too. A digest's occurrences are counted in ``SALTS`` parts, and
     the answer is joined back part by part, so no line lands in one task."""
     ship_package(docs.sparkSession)
-    numbered = docs if row else _numbered(docs)
-    src = numbered.select(F.col(row or "_row").cast("long").alias("_row"), F.col(ident),
-                          F.col(text).cast("string").alias("_text"))
+    number = F.col(row).cast("long") if row else F.monotonically_increasing_id()
+    src = docs.select(number.alias("_row"), F.col(ident), F.col(text).cast("string").alias("_text"))
     kind = src.schema[ident].dataType.simpleString()
     units = written(src.mapInArrow(_units(BREAKS[unit]), f"_row long, `{ident}` {kind}, unit int, start long, "
                                                          "length long, words int, digest binary"), "units")
@@ -121,13 +116,16 @@ def drop_repeated_units(docs: DataFrame, ident: str = "doc_id", text: str = "tex
                         min_words: int = 5) -> DataFrame:
     """``docs`` with repeated units (and the line end after each) cut from the
     text, and removed_spans: the (start, length) of what went, in characters of
-    the original text. All columns and rows stay; rules as above."""
-    rows = written(_numbered(docs).withColumnRenamed("_row", "_number"), "rows")
-    gone = (repeated_units(rows, ident, text, unit, min_words, row="_number")
-            .groupBy(F.col("_row").alias("_number"))
+    the original text (a column of that name is replaced). All other columns and
+    all rows stay; rules as above."""
+    docs = docs.drop("removed_spans")
+    number = fresh(docs, "_number")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    gone = (repeated_units(rows, ident, text, unit, min_words, row=number)
+            .groupBy(F.col("_row").alias(number))
             .agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("removed_spans")))
     others = [c for c in docs.columns if c != text]
-    joined = rows.join(gone, "_number", "left").select(*others, F.col(text).cast("string").alias(text),
+    joined = rows.join(gone, number, "left").select(*others, F.col(text).cast("string").alias(text),
                                                        "removed_spans")
     return joined.mapInArrow(_cut_out, joined.schema).select(*docs.columns, "removed_spans")
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import WORD, partitions, word_count, written
+from .base import WORD, fresh, partitions, word_count, written
 
 SALTS = 32
 KEY_HEX = 15
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str
     taken; a source without words has target 0; null is a source of its own;
     an empty table gives an empty table."""
     spark = docs.sparkSession
-    buckets = 64 * max(16, partitions(spark))
+    buckets = 4 * max(64, partitions(spark))
     width = -(-16 ** KEY_HEX // buckets)
     src = F.col(source).cast("string")
     rows = written(docs.select(
@@ -124,12 +124,12 @@ def mixed_rows(docs: DataFrame, ident: str = "doc_id", text: str = "text", **par
     two rows, one not taken gives none, and each is whole (``whole=True``).
     Documents without words have nothing to take and give none. Rows of equal
     identifier are told apart by a written row number."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    plan = mix(rows, ident, text, whole=True, carry=["_row"], **params)
-    times = (F.col("taken") / F.col("size")).cast("int")
-    plan = plan.where("taken > 0").select("_row", times.alias("_times"))
-    copies = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return (rows.join(plan, "_row").withColumn("_copy", copies).select(*docs.columns))
+    row, times, copy = fresh(docs, "_row"), fresh(docs, "_times"), fresh(docs, "_copy")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    plan = mix(rows, ident, text, whole=True, carry=[row], **params)
+    plan = plan.where("taken > 0").select(row, (F.col("taken") / F.col("size")).cast("int").alias(times))
+    copies = F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)
+    return rows.join(plan, row).select(*docs.columns, copies).select(*docs.columns)
 
 
 #: The same mix in SQL, for one document row an identifier.

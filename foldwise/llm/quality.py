@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .base import crc32_mod
+from .base import crc32_mod, fresh
 from .text import LOWER, blocks, column_bytes, mix, span_hashes, word_spans
 
 BITS = 18
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
     return out
 
 
-def _score(weights: np.ndarray, bits: int) -> Callable:
+def _score(weights: np.ndarray, bits: int, new: str) -> Callable:
     w, bias = weights[:-1].astype(np.float32), float(weights[-1])
 
     def run(batches):
@@ -185,7 +185,7 @@ def _score(weights: np.ndarray, bits: int) -> Callable:
                     z += (run_[b[1:]] - run_[b[:-1]]) * (SCALE / np.maximum(b[1:] - b[:-1], 1))
                 out[i:j] = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
             cols = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out)], [*batch.schema.names[:-1], "_new"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(out)], [*batch.schema.names[:-1], new])
     return run
 
 
@@ -197,9 +197,10 @@ def score(docs: DataFrame, weights: np.ndarray, ident: str = "doc_id", text: str
     ship_package(docs.sparkSession)
     keep = carry or [ident]
     bits = (len(weights) - 1).bit_length() - 1
-    src = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("_text"))
-    schema = src.drop("_text").schema.add("_new", "double")
-    return src.mapInArrow(_score(weights, bits), schema).withColumnRenamed("_new", output)
+    body, new = fresh(docs, "_body"), fresh(docs, "_new")
+    src = docs.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias(body))
+    schema = src.drop(body).schema.add(new, "double")
+    return src.mapInArrow(_score(weights, bits, new), schema).withColumnRenamed(new, output)
 
 
 def held_out(ident: str) -> Column:
