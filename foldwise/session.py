@@ -31,7 +31,7 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.legacy.javaCharsets", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
     )
     spark = builder.getOrCreate()
@@ -43,13 +43,15 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator sets it to a shared file system; we only fall
-    back to a fresh local folder when it is unset (tests, local runs)."""
+    On a cluster it must be set to a folder that all executors share. Only a
+    local master falls back to a fresh local folder (tests, local runs)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir() if hasattr(
             spark.sparkContext, "getCheckpointDir") else None
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="foldwise-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     try:

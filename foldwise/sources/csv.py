@@ -32,6 +32,13 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if bad["bad"] == 0 else CP932
 
 
+def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
+    """Whether some line holds an odd number of quotes, so that a cell goes on
+    in the next line. A quote byte is never part of a longer character."""
+    odd = F.regexp_count(F.col("value"), F.lit('"')) % 2 == 1
+    return not spark.read.text(path).where(odd).limit(1).isEmpty()
+
+
 def header_line(spark: SparkSession, path: str, encoding: str) -> list:
     """First line of the file decoded with ``encoding``; BOM stripped. The
     text reader keeps raw bytes, so casting to binary recovers them."""
@@ -58,7 +65,9 @@ def check_duplicate_headers(names) -> None:
 def read_table(spark: SparkSession, path: str, fmt: str = "csv",
                string_cols=None) -> DataFrame:
     """Encoding fallback, FAILFAST parse, trimmed unique headers,
-    pandas missing tokens -> NULL. ``string_cols`` (S6) only documents that
+    pandas missing tokens -> NULL. A doubled quote within a quoted cell is one
+    quote; cells with line ends are read whole (a file is then one task, so
+    only tables that have such cells are read that way). ``string_cols`` (S6) only documents that
     encoder sources stay text: every CSV cell is read as text anyway."""
     if fmt == "parquet":
         return normalize_missing(spark.read.parquet(path))
@@ -69,7 +78,8 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv",
     trimmed = [n.strip() for n in names]
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
     df = (spark.read.option("header", True).option("encoding", enc).option("mode", "FAILFAST")
-          .option("multiLine", False).schema(schema).csv(path))
+          .option("quote", '"').option("escape", '"')
+          .option("multiLine", has_quoted_newlines(spark, path)).schema(schema).csv(path))
     df = df.toDF(*trimmed)
     _ = string_cols
     return normalize_missing(df)

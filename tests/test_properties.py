@@ -264,3 +264,14 @@ def test_datetime_valid_equals_full_parser(spark):
         spark.createDataFrame([(v,) for v in extra], "txt string"))
     bad = df.filter(datetime_valid("txt") != datetime_parts("txt").isNotNull())
     assert bad.count() == 0
+
+
+def test_csv_quotes_and_line_ends_in_cells(spark, tmp_path):
+    from foldwise.sources.csv import read_table
+    path = tmp_path / "quoted.csv"
+    path.write_text('a,b\n"x ""q"" y",1\n"two\nlines",2\nplain,3\n')
+    got = {r["b"]: r["a"] for r in read_table(spark, str(path)).collect()}
+    assert got == {"1": 'x "q" y', "2": "two\nlines", "3": "plain"}
+    path = tmp_path / "plain.csv"
+    path.write_text('a,b\n"x ""q"", y",1\n')
+    assert read_table(spark, str(path)).collect()[0]["a"] == 'x "q", y'
