@@ -78,7 +78,7 @@ def assign_folds(df: DataFrame, y: str, key: str, k: int = 5, seed=FOLD_SEED,
                    F.array_distinct(pct(y, probs, True if exact is None else exact))
                    .alias("_edges")).first()
     n = n_rows if n_rows is not None else int(first["n"])
-    ex = use_exact(df, exact, n)
+    ex = use_exact(exact)
     a, e = n_bins_for(n, k)
     if e != e0 or ex != (True if exact is None else exact):
         binned = quantile_bins(df, y, e, ex)

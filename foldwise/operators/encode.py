@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expr import (DATE_PART_NAMES, KEY_PREFIX, NAN_LEVEL, composite_key,
-                              datetime_parts, derived, derived_name, finite_or_null, level)
+                              datetime_parts, derived, derived_name, finite_or_null, level,
+                              timestamp_parts)
 
 # ---- fixed values ----
 TARGET_SMOOTHING = 20.0
@@ -154,6 +156,16 @@ def date_part_exprs(col: str, existing=()) -> list:
             if f"{col}__{part}" not in existing]
 
 
+def timestamp_part_exprs(df: DataFrame, col: str, existing=()) -> list:
+    """J6 for a native time column; text in its place is read as a time."""
+    x = F.col(f"`{col}`")
+    if isinstance(df.schema[col].dataType, T.StringType):
+        x = x.try_cast("timestamp")
+    p = timestamp_parts(x)
+    return [(f"{col}__{part}", p.getField(part)) for part in DATE_PART_NAMES
+            if f"{col}__{part}" not in existing]
+
+
 def candidate_recipe(cols, signs: dict) -> list:
     """E1 candidates: products of pairs, squares, and sign(a) only when a has
     both signs; as (name, op, cols)."""

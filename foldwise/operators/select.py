@@ -7,7 +7,6 @@ per-column statistics reaches the driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -277,16 +276,6 @@ def top_k_by_corr(df: DataFrame, cols, target: str, k: int = 8) -> list:
 
 # ---------------- P6 type triage ----------------
 
-@dataclass
-class Triage:
-    column: str
-    decision: str        # numeric | datetime | drop | onehot | target
-    numeric_rate: float
-    datetime_rate: float
-    n_levels: int
-    levels: list | None = None
-
-
 def triage_stats(df: DataFrame, target: str, cols=None) -> DataFrame:
     """P6 statistics for every non-numeric column in one aggregate:
     numeric-parse rate, date-parse rate (both over ALL rows), exact level
@@ -321,17 +310,9 @@ def triage_decision(n: Column, is_bool: Column, nr: Column, dr: Column, nl: Colu
             .when(dr >= DATETIME_COERCE_MIN, "datetime").otherwise(cat)
 
 
-def triage_columns(df: DataFrame, target: str, cols=None,
-                   exact_levels: bool = True) -> DataFrame:
-    """Table (column, decision, numeric_rate, datetime_rate, n_levels).
-
-    ``exact_levels=False`` (large tables): level counts come from one
-    HyperLogLog aggregate (no per-column expansion of the data); only
-    columns whose estimate lies near a decision threshold (<= 20 levels, or
-    within 5 % of n/2) get an exact distinct count, so decisions stay
-    exact while the reported count of far-off columns is an estimate."""
-    if not exact_levels:
-        return _triage_hybrid(df, target, cols)
+def triage_columns(df: DataFrame, target: str, cols=None) -> DataFrame:
+    """Table (column, decision, numeric_rate, datetime_rate, n_levels),
+    with exact level counts at every size."""
     st = triage_stats(df, target, cols)
     return st.select("column", "pos",
                      triage_decision(F.col("_n"), F.col("is_bool"), F.col("numeric_rate"),
@@ -339,43 +320,13 @@ def triage_columns(df: DataFrame, target: str, cols=None,
                      "numeric_rate", "datetime_rate", F.col("n_levels").cast("long"))
 
 
-def _triage_hybrid(df: DataFrame, target: str, cols=None) -> DataFrame:
-    cols = cols or [f.name for f in df.schema.fields
-                    if f.name != target and not is_numeric_type(f.dataType)]
-    aggs = []
-    for i, x in enumerate(cols):
-        is_bool = isinstance(df.schema[x].dataType, T.BooleanType)
-        num_ok = F.lit(0.0) if is_bool else to_number(F.col(x)).isNotNull().cast("double")
-        dt_ok = F.lit(0.0) if is_bool else datetime_valid(F.col(x)).cast("double")
-        aggs += [F.avg(num_ok).alias(f"nr{i}"), F.avg(dt_ok).alias(f"dr{i}"),
-                 F.approx_count_distinct(level(x), 0.01).alias(f"nl{i}")]
-    r = df.agg(F.count(F.lit(1)).alias("_n"), *aggs).first()
-    n = r["_n"]
-    rows = []
-    for i, x in enumerate(cols):
-        est = int(r[f"nl{i}"])
-        half = max(1, int(n * DROP_LEVEL_FRAC))
-        if est <= 2 * ONEHOT_MAX_LEVELS or abs(est - half) <= 0.05 * half + 2:
-            est = df.select(level(x).alias("_lv")).distinct().count()
-        rows.append((x, i, isinstance(df.schema[x].dataType, T.BooleanType),
-                     float(r[f"nr{i}"]), float(r[f"dr{i}"]), int(est), int(n)))
-    st = df.sparkSession.createDataFrame(
-        rows, "column string, pos int, is_bool boolean, numeric_rate double, "
-              "datetime_rate double, n_levels long, _n long")
-    return st.select("column", "pos",
-                     triage_decision(F.col("_n"), F.col("is_bool"), F.col("numeric_rate"),
-                                     F.col("datetime_rate"), F.col("n_levels")).alias("decision"),
-                     "numeric_rate", "datetime_rate", F.col("n_levels").cast("long"))
-
-
 def onehot_levels(df: DataFrame, cols) -> dict:
-    """Sorted levels (code-point order) of low-cardinality columns: one
-    grouped count per column set, <= 10 rows each reach the driver."""
-    out = {}
-    for x in cols:
-        rows = df.groupBy(level(x).alias("lv")).count().collect()
-        out[x] = sorted(r["lv"] for r in rows)
-    return out
+    """Sorted levels (code-point order) of low-cardinality columns, in one job:
+    the triage leaves <= 10 a column to reach the driver."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), level(x).alias("lv"))
+                      for i, x in enumerate(cols)])
+    rows = df.select(F.explode(cells).alias("p")).select("p.i", "p.lv").distinct().collect()
+    return {x: sorted(r["lv"] for r in rows if r["i"] == i) for i, x in enumerate(cols)}
 
 
 # ---------------- P7 / P8 ----------------

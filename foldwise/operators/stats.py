@@ -5,9 +5,9 @@ driver only receives d x d matrices or a few numbers per column.
 
 Percentiles: ``exact=True`` uses Spark's ``percentile`` (same values as
 DuckDB ``quantile_cont``; partial aggregation merges value->count maps, so
-its buffer grows with the number of distinct values). ``exact=False`` uses
-``percentile_approx`` (bounded sketch). ``exact=None`` ("auto") picks exact
-when the row count is at most ``EXACT_ROW_LIMIT``.
+its buffer grows with the number of distinct values). Only an explicit
+``exact=False`` uses ``percentile_approx`` (bounded sketch): the size of a
+table never changes the rule.
 """
 
 from __future__ import annotations
@@ -18,30 +18,27 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import c, clip, finite_or_null
 
-EXACT_ROW_LIMIT = 20_000_000
 APPROX_ACCURACY = 100_000
 
 
-def use_exact(df: DataFrame, exact: bool | None, n_rows: int | None = None) -> bool:
-    if exact is not None:
-        return exact
-    n = n_rows if n_rows is not None else df.count()
-    return n <= EXACT_ROW_LIMIT
+def use_exact(exact: bool | None) -> bool:
+    """Exact unless ``exact`` is False."""
+    return exact is not False
 
 
-def pct(col, probs, exact: bool = True) -> Column:
+def pct(col, probs, exact: bool | None = True) -> Column:
     """Percentile(s) of ``col``: a double for one prob, an array for many."""
     x = c(col).cast("double")
     many = isinstance(probs, (list, tuple))
     p = F.array(*[F.lit(float(q)) for q in probs]) if many else F.lit(float(probs))
-    if exact:
+    if use_exact(exact):
         return F.percentile(x, p)
     return F.percentile_approx(x, p, APPROX_ACCURACY)
 
 
 def quantiles(df: DataFrame, cols, probs, by=(), exact: bool | None = True) -> DataFrame:
     """One aggregate: per group, an array of percentiles per column."""
-    ex = use_exact(df, exact)
+    ex = use_exact(exact)
     aggs = [pct(x, list(probs), ex).alias(x) for x in cols]
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
@@ -50,7 +47,7 @@ def medians(df: DataFrame, cols, exact: bool | None = True) -> dict:
     """A1: column medians; an all-missing column gets 0."""
     if not cols:
         return {}
-    ex = use_exact(df, exact)
+    ex = use_exact(exact)
     row = df.agg(*[pct(x, 0.5, ex).alias(x) for x in cols]).first()
     return {x: (0.0 if row[x] is None else float(row[x])) for x in cols}
 

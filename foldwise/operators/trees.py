@@ -11,12 +11,15 @@ Every fit is a distributed MLlib job; fold models are independent Spark jobs.
 
 from __future__ import annotations
 
+import hashlib
+import logging
 import math
 import os
 import tempfile
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -29,11 +32,13 @@ from .stats import pct, regression_metrics
 # ---- fixed values ----
 QUICK_PARAMS = {"num_leaves": 31, "learning_rate": 0.05, "n_estimators": 500}
 SEARCH_DEFAULT = {"num_leaves": 31, "learning_rate": 0.05, "n_estimators": 3000}
-SEARCH_SIZES = ((20000, 8), (5000, 14), (0, 24))     # rows above -> candidates
-LEAF_CHOICES = (7, 15, 31, 63, 127)
-LR_CHOICES = (0.01, 0.02, 0.03, 0.05, 0.1)
-MIN_CHILD_CHOICES = (5, 10, 20, 40)
-MAX_BIN_CHOICES = (63, 127, 255, 511)
+SEARCH_CANDIDATES = 24
+SEARCH_SPACE = {
+    "num_leaves": (7, 15, 31, 63, 127), "learning_rate": (0.01, 0.02, 0.03, 0.05, 0.1),
+    "min_child_samples": (5, 10, 20, 40), "max_bin": (63, 127, 255, 511),
+    "colsample": (0.5, 0.6, 0.7, 0.8, 0.9, 1.0), "subsample": (0.6, 0.7, 0.8, 0.9, 1.0),
+    "extra_trees": (False, True),
+}
 FINALISTS = 3
 HALVING_FOLDS = 2
 SCREEN_MIN_FEATURES = 10
@@ -56,24 +61,15 @@ MAX_ITER_CAP = 100
 FOREST_TREE_CAP = 100
 
 
-def search_candidates(n_rows: int, seed: int = 42) -> list:
-    """M4: the fixed default first, then seeded random settings; 24 / 14 / 8
-    candidates for <= 5k / > 5k / > 20k rows."""
-    n_cand = next(c for lim, c in SEARCH_SIZES if n_rows > lim)
-    rng = np.random.RandomState(seed)
-    out = [dict(SEARCH_DEFAULT)]
-    while len(out) < n_cand:
-        out.append({
-            "num_leaves": int(rng.choice(LEAF_CHOICES)),
-            "learning_rate": float(rng.choice(LR_CHOICES)), "n_estimators": 3000,
-            "min_child_samples": int(rng.choice(MIN_CHILD_CHOICES)),
-            "colsample": float(np.round(rng.uniform(0.5, 1.0), 2)),
-            "subsample": float(np.round(rng.uniform(0.6, 1.0), 2)),
-            "reg_alpha": float(np.round(10 ** rng.uniform(-3, 0.5), 4)),
-            "reg_lambda": float(np.round(10 ** rng.uniform(-2, 1.5), 4)),
-            "max_bin": int(rng.choice(MAX_BIN_CHOICES)),
-            "extra_trees": bool(rng.choice([False, True]))})
-    return out
+def search_candidates(n_candidates: int = SEARCH_CANDIDATES, seed: int = 42) -> list:
+    """M4: the fixed default first, then settings whose value of each parameter
+    is the one that md5(seed|number|parameter) points to in its range."""
+    def value(number: int, name: str):
+        digest = hashlib.md5(f"{seed}|{number}|{name}".encode()).hexdigest()
+        return SEARCH_SPACE[name][int(digest, 16) % len(SEARCH_SPACE[name])]
+    return [dict(SEARCH_DEFAULT)] + [
+        {"n_estimators": SEARCH_DEFAULT["n_estimators"]} | {x: value(i, x) for x in SEARCH_SPACE}
+        for i in range(1, n_candidates)]
 
 
 def mllib_kwargs(p: dict, n_rows: int, kind: str = "gbt") -> dict:
@@ -105,12 +101,13 @@ def make_estimator(kind: str, p: dict, n_rows: int, features_col="_fv", label="_
 
 def fold_medians(df: DataFrame, features, fold: str, k: int, exact=True) -> dict:
     """Training-part medians per fold (t = -1: all rows), one pass over rows
-    exploded to the folds they train. When no feature has a NULL the fill
-    values are never used: one cheap count aggregate replaces that pass."""
+    exploded to the folds they train. When no feature has a NULL no fold
+    model ever fills: only the medians of all rows are taken."""
     cnt = df.agg(F.count(F.lit(1)).alias("_n"),
                  *[F.count(x).alias(f"_c{i}") for i, x in enumerate(features)]).first()
     if all(cnt[f"_c{i}"] == cnt["_n"] for i in range(len(features))):
-        return {t: {x: 0.0 for x in features} for t in [-1, *range(k)]}
+        # unused while fitting; the final model fills later NULLs with them
+        return {t: dict.fromkeys(features, 0.0) for t in range(k)} | {-1: _medians(df, features)}
     c = train_copies(df.select(fold, *features), fold, k, include_all=True)
     rows = c.groupBy("train_fold").agg(*[pct(x, 0.5, exact).alias(x) for x in features]).collect()
     return {r["train_fold"]: {x: (0.0 if r[x] is None else float(r[x])) for x in features}
@@ -192,8 +189,9 @@ def fit_all(df: DataFrame, features, y: str, params: dict, kind: str = "gbt", n_
 
 
 def final_tree_count(iters) -> int:
-    return max(FINAL_MIN_TREES, int(np.mean(iters) * FINAL_TREE_FACTOR)) if iters else \
-        FINAL_MIN_TREES
+    """M5: trees of the final fit, within the cap that the fit applies."""
+    wanted = int(np.mean(iters) * FINAL_TREE_FACTOR) if iters else 0
+    return min(MAX_ITER_CAP, max(FINAL_MIN_TREES, wanted))
 
 
 def split_counts(model, features, spark=None) -> DataFrame:
@@ -275,7 +273,8 @@ def choose_ytransform_trial(df: DataFrame, features, y: str, key: str, fold: str
             r = fold_fits(d, features, "_yt_arm", key, fold, HALVING_FOLDS, SCREEN_PARAMS,
                           folds=range(HALVING_FOLDS), n_rows=n_rows, inverse=t.inverse, y_raw=y)
             scores[name] = r.r2 if r.r2 is not None and np.isfinite(r.r2) else -np.inf
-        except Exception:  # noqa: BLE001 - an arm that fails drops out
+        except IllegalArgumentException as e:      # a target that cannot be fitted
+            logging.getLogger(__name__).warning("y-transform %s drops out: %s", name, e)
             scores[name] = -np.inf
     best = max(scores, key=lambda k: scores[k])
     return best, scores

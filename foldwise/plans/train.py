@@ -30,9 +30,10 @@ from ..operators import select as S
 from ..operators import stats as A
 from ..operators import trees as TR
 from ..operators.cv import SMALL_N_OOF, assign_folds, fold_count
-from ..operators.encode import date_part_exprs, detect_composite_key, onehot_exprs
+from ..operators.encode import (date_part_exprs, detect_composite_key, onehot_exprs,
+                                timestamp_part_exprs)
 from ..operators.post import PostProcess, YTransform, choose_ytransform_by_skew, fit_postprocess
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from .fitted import FittedPlan
 
 # ---- fixed values ----
@@ -84,6 +85,9 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
     if key is None:
         key = "_key"
         df = df.withColumn(key, _row_key(df, feat_src + [target]))
+        if n_dup:      # equal rows are rows of their own: numbered, and the numbers kept
+            number = F.monotonically_increasing_id().cast("string")
+            df = cut_lineage(df.withColumn(key, F.concat(key, F.lit("#"), number)))
     if mode == "instant":
         df = S.hash_sample(df, S.INSTANT_MAX_ROWS, S.INSTANT_SAMPLE_SEED, key)
     n = df.count()
@@ -92,12 +96,14 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
     df = df.cache()
 
     # ---- P6 triage and encoders ----
+    ts_cols = [f.name for f in df.schema.fields
+               if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+               and f.name not in (target, key)]
     non_num = [f.name for f in df.schema.fields
-               if f.name not in (target, key) and not S.is_numeric_type(f.dataType)]
+               if f.name not in (target, key, *ts_cols) and not S.is_numeric_type(f.dataType)]
     decisions = {}
     if non_num:
-        exact_lv = n <= A.EXACT_ROW_LIMIT if exact is None else exact
-        for r in S.triage_columns(df, target, non_num, exact_levels=exact_lv).collect():
+        for r in S.triage_columns(df, target, non_num).collect():
             decisions[r["column"]] = r["decision"]
     numeric_text = [c for c, d in decisions.items() if d == "numeric"]
     dt_cols = [c for c, d in decisions.items() if d == "datetime"]
@@ -111,14 +117,8 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
         adds.update(dict(onehot_exprs(c, levels[c], existing)))
     for c in dt_cols:
         adds.update(dict(date_part_exprs(c, existing)))
-    ts_cols = [f.name for f in df.schema.fields
-               if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
-               and f.name not in (target, key)]
-    if ts_cols:      # native time columns go to the same four parts
-        from ..functions.expr import DATE_PART_NAMES, timestamp_parts
-        for c in ts_cols:
-            p = timestamp_parts(c)
-            adds.update({f"{c}__{x}": p.getField(x) for x in DATE_PART_NAMES})
+    for c in ts_cols:      # native time columns go to the same four parts
+        adds.update(dict(timestamp_part_exprs(df, c, existing)))
     enc = df.withColumns(adds) if adds else df
     enc = enc.drop(*oh_cols, *dt_cols, *dropped, *ts_cols)
     for c in te_cols:
@@ -237,13 +237,10 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
             skipped["mlp"] = "min_rows"
         else:
             from ..operators.mlp import mlp_long
-            try:
-                oof, mmodel = mlp_long(Lc, model_feats, key, max_epochs=mlp_epochs,
-                                       exact=exact is not False)
-                cands["mlp"] = dict(oof=oof.withColumn("pred", yt.inverse("pred")),
-                                    train_r2=None, type="mlp", model=mmodel, importance=[])
-            except Exception:  # noqa: BLE001 - reported as a skipped candidate
-                skipped["mlp"] = "failed"
+            oof, mmodel = mlp_long(Lc, model_feats, key, max_epochs=mlp_epochs,
+                                   exact=exact is not False)
+            cands["mlp"] = dict(oof=oof.withColumn("pred", yt.inverse("pred")),
+                                train_r2=None, type="mlp", model=mmodel, importance=[])
     tree_kinds = [m for m in models if m in ("gbt", "rf", "xt")]
     if mode == "thorough":
         tree_kinds += [m for m in ("rf", "xt") if m not in tree_kinds]
@@ -288,8 +285,8 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
         meds[c] = te_maps[c]["default"]
     plan_obj = FittedPlan(
         target=target, features=model_feats, raw_columns=[c for c in raw_cols],
-        onehot=levels, datetime=dt_cols, numeric_text=numeric_text, target_maps=te_maps,
-        composite=composite, x_clip={c: list(b) for c, b in xclip.items()
+        onehot=levels, datetime=dt_cols, timestamps=ts_cols, numeric_text=numeric_text,
+        target_maps=te_maps, composite=composite, x_clip={c: list(b) for c, b in xclip.items()
                                      if b[0] is not None}, recipe=recipe,
         medians=meds, y_transform={"kind": yt.kind, "lam": yt.lam},
         postprocess={"smear": pp.smear, "y_lo": pp.y_lo, "y_hi": pp.y_hi,

@@ -171,17 +171,28 @@ def test_mlp_matches_numpy_full_batch(spark):
     m = models[-1]                      # final model: all rows
     Z = (X - np.array(m.x_mean)) / np.array(m.x_std)
     v = (yv - m.y_mean) / m.y_std
-    W, b = M.init_params(m.sizes)
-    th = M._flat(W, b)
-    ms, vs = np.zeros_like(th), np.zeros_like(th)
+    # one hidden layer, written out: p = max(0, Z A + a) B + b
+    d, h, _ = m.sizes
+    A, B = (w.copy() for w in M.Network(m.sizes, M.Network.start(m.sizes)).layers)
+    parts = [A[:d], A[d], B[:h, 0], B[h]]
+    ms, vs = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     for ep in range(1, 6):
-        Wc, bc = M._unflat(th, m.sizes)
-        _, g = M.grad_sums(Z, v, Wc, bc, 2.0 / len(v))
-        g = g + M._flat([1e-4 / len(v) * w for w in Wc], [np.zeros_like(x) for x in bc])
-        ms = 0.9 * ms + 0.1 * g
-        vs = 0.999 * vs + 0.001 * g * g
-        th = th - 0.01 * (ms / (1 - 0.9 ** ep)) / (np.sqrt(vs / (1 - 0.999 ** ep)) + 1e-8)
+        hidden = Z @ parts[0] + parts[1]
+        on = hidden > 0
+        miss = 2.0 / len(v) * ((hidden * on) @ parts[2] + parts[3] - v)
+        through = np.outer(miss, parts[2]) * on
+        grads = [Z.T @ through + 1e-4 / len(v) * parts[0], through.sum(0),
+                 (hidden * on).T @ miss + 1e-4 / len(v) * parts[2], np.array([miss.sum()])]
+        for i, g in enumerate(grads):
+            ms[i] = 0.9 * ms[i] + 0.1 * g
+            vs[i] = 0.999 * vs[i] + 0.001 * g * g
+            parts[i] = parts[i] - 0.01 * (ms[i] / (1 - 0.9 ** ep)) / (
+                np.sqrt(vs[i] / (1 - 0.999 ** ep)) + 1e-8)
+    th = np.concatenate([parts[0].ravel(), parts[1], parts[2], parts[3]])
     assert np.allclose(th, np.asarray(m.params), rtol=1e-6, atol=1e-9)
+    assert np.allclose(m.x_mean, X.mean(0)) and np.allclose(m.x_std, X.std(0))
+    one = f.filter("fold <> 2").toPandas()[feats].values.astype(float)
+    assert np.allclose(models[2].x_mean, one.mean(0)) and np.allclose(models[2].x_std, one.std(0))
 
 
 def test_select_position_refines_and_handles_hot_value(spark):
@@ -198,15 +209,54 @@ def test_select_position_refines_and_handles_hot_value(spark):
         assert [r["k"] for r in got] == [k]
 
 
-def test_triage_hybrid_levels_same_decisions(spark):
-    from foldwise.catalog.selection import TRIAGE_COLS, triage_fixture
-    from foldwise.operators.select import triage_columns
-    df = triage_fixture(spark, SF_CHECK).cache()
-    a = {r["column"]: r["decision"] for r in
-         triage_columns(df, "o_totalprice", TRIAGE_COLS).collect()}
-    b = {r["column"]: r["decision"] for r in
-         triage_columns(df, "o_totalprice", TRIAGE_COLS, exact_levels=False).collect()}
-    assert a == b
+def _timed(spark, copies=1):
+    """A linear function of a time (with fractions of a second) and a number."""
+    return spark.range(120).select(
+        F.expr("timestamp_millis(1600000000123 + id * 7200457)").alias("at"),
+        (F.col("id") % 11).cast("double").alias("x"),
+        F.lit(5.0).alias("same")).withColumn(
+        "y", F.hour("at") * 3.0 + F.col("x")).withColumn(
+        "_c", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("_c")
+
+
+def test_time_column_is_scored_as_trained_and_dropped_column_not_asked_for(spark):
+    from foldwise.plans.train import predict, train
+    df = _timed(spark)
+    plan = train(df, "y", models=("ridge",)).plan
+    assert plan.timestamps == ["at"] and "same" not in plan.required_columns()
+    r = predict(plan, df.withColumnRenamed("y", "truth").withColumn("y", F.lit(0.0))).agg(
+        F.corr("truth", "y").alias("r")).first()["r"]
+    assert r > 0.99
+    assert plan.encode(df.drop("same"))[1] == []
+
+
+def test_repeated_rows_train_once_each(spark):
+    from foldwise.plans.train import train
+    r = train(_timed(spark, copies=3), "y", models=("ridge",))
+    assert r.plan.reports["n_rows"] == 360
+    keys = r.oof.select("_key")
+    assert keys.count() == keys.distinct().count()
+
+
+def test_saved_tree_plan_carries_its_model_folders(spark, tmp_path):
+    import shutil
+    from foldwise.plans.fitted import FittedPlan
+    from foldwise.plans.train import train
+    df = _timed(spark)
+    plan = train(df, "y", models=("gbt",), work_dir=str(tmp_path / "work")).plan
+    plan.save(spark, str(tmp_path / "plan"))
+    want = sorted(r["y"] for r in plan.score(df).select("y").collect())
+    shutil.move(str(tmp_path / "work"), str(tmp_path / "gone"))
+    got = FittedPlan.load(spark, str(tmp_path / "plan")).score(df)
+    assert sorted(r["y"] for r in got.select("y").collect()) == want
+
+
+def test_lineage_is_recorded_not_parsed():
+    from foldwise.operators.post import lineage_rows
+    made = {"ab": ["a", "b"], "sq": ["ab", "ab"], "abb": ["ab", "b"], "odd": ["nowhere"]}
+    got = lineage_rows(["a", "sq", "abb", "odd", "a^2"], ["a", "b"], made)
+    assert got == [("a", "a", 1.0), ("sq", "a", 0.5), ("sq", "b", 0.5),
+                   ("abb", "a", 1 / 3), ("abb", "b", 2 / 3)]
 
 
 def test_train_quick_end_to_end(spark):
