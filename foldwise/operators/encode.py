@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.expr import c as named
+from ..functions.expr import sql_text
 from ..functions.expr import (DATE_PART_NAMES, KEY_PREFIX, NAN_LEVEL, composite_key,
                               datetime_parts, derived, derived_name, finite_or_null, level,
                               timestamp_parts)
@@ -113,7 +115,7 @@ def key_candidates_stats(df: DataFrame, cols) -> DataFrame:
     all integral, max |v|."""
     aggs = []
     for i, x in enumerate(cols):
-        v = finite_or_null(F.col(x).cast("double"))
+        v = finite_or_null(named(x).cast("double"))
         aggs += [F.count(v).alias(f"c{i}"), F.count_distinct(v).alias(f"d{i}"),
                  F.min((v == F.round(v, 0)).cast("int")).alias(f"w{i}"),
                  F.max(F.abs(v)).alias(f"a{i}")]
@@ -190,7 +192,7 @@ def candidate_stats(df: DataFrame, recipe) -> DataFrame:
         aggs += [F.count(v).alias(f"c{i}"), F.stddev_pop(v).alias(f"s{i}"),
                  F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     wide = df.agg(*aggs)
-    parts = ", ".join(f"'{name}', {i}, c{i}, s{i}, lo{i}, hi{i}"
+    parts = ", ".join(f"{sql_text(name)}, {i}, c{i}, s{i}, lo{i}, hi{i}"
                       for i, (name, _, _) in enumerate(recipe))
     return wide.selectExpr(f"stack({len(recipe)}, {parts}) as (feature, pos, n_finite, std, "
                            "min_v, max_v)")

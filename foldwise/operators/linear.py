@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import c as named
 from ..functions.keys import hash_rank
 from .cv import train_copies
 from .stats import fold_r2_std, gram_blocks, pct, regression_metrics
@@ -43,7 +44,7 @@ class LinearFit:
     def expr(self) -> Column:
         out = F.lit(self.intercept)
         for x, w in self.weights.items():
-            out = out + F.lit(w) * F.coalesce(F.col(x).cast("double"), F.lit(self.fills[x]))
+            out = out + F.lit(w) * F.coalesce(named(x).cast("double"), F.lit(self.fills[x]))
         return out
 
 
@@ -131,7 +132,7 @@ def ridge_cv(df: DataFrame, features, y: str, key: str, fold: str = "fold",
     has_inner = "ifold" in df.columns
     base = df.select(key, fold, *(["ifold"] if has_inner else []),
                      F.col(y).cast("double").alias("_y"),
-                     *[F.col(x).cast("double").alias(x) for x in features])
+                     *[named(x).cast("double").alias(x) for x in features])
     if k is None:
         k = base.agg(F.max(fold)).first()[0] + 1
     ex = exact if exact is not None else (n_rows is None or n_rows <= 20_000_000)
@@ -141,7 +142,7 @@ def ridge_cv(df: DataFrame, features, y: str, key: str, fold: str = "fold",
     copies = train_copies(base.select(fold, "_y", *features), fold, k, include_all=True)
     q = copies.groupBy("train_fold").agg(
         F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_ybar"),
-        *[F.count(x).alias(f"_c{i}") for i, x in enumerate(features)],
+        *[F.count(named(x)).alias(f"_c{i}") for i, x in enumerate(features)],
         *[F.avg(x).alias(f"_m{i}") for i, x in enumerate(features)],
         *[F.stddev_pop(x).alias(f"_s{i}") for i, x in enumerate(features)],
         *[pct(x, [0.25, 0.5, 0.75], ex).alias(x) for x in features]).collect()
@@ -160,7 +161,7 @@ def ridge_cv(df: DataFrame, features, y: str, key: str, fold: str = "fold",
             for t in qs:
                 e = (F.when(F.col("train_fold") == t, F.lit(fills[t][i])) if e is None
                      else e.when(F.col("train_fold") == t, F.lit(fills[t][i])))
-            return F.coalesce(F.col(x), e)
+            return F.coalesce(named(x), e)
         q2 = copies.groupBy("train_fold").agg(
             *[pct(filled(x, i), [0.25, 0.5, 0.75], ex).alias(x)
               for i, x in enumerate(features)]).collect()
@@ -183,9 +184,9 @@ def ridge_cv(df: DataFrame, features, y: str, key: str, fold: str = "fold",
     gv = ranked.select(
         F.col(fold).alias("_f"), F.pmod(F.col("_ip"), F.lit(inner_k)).cast("int").alias("_j"),
         F.lit(1.0).alias("_one"),
-        *[F.coalesce((F.col(x) - c0[i]) / s0[i], F.lit(0.0)).alias(f"_a{i}")
+        *[F.coalesce((named(x) - c0[i]) / s0[i], F.lit(0.0)).alias(f"_a{i}")
           for i, x in enumerate(features)],
-        *[F.col(x).isNull().cast("double").alias(f"_n{i}")
+        *[named(x).isNull().cast("double").alias(f"_n{i}")
           for i, x in enumerate(features) if has_null[i]],
         (F.col("_y") - ybar).alias("_ys"))
     blocks = gram_blocks(gv, names, by=["_f", "_j"])
@@ -239,9 +240,9 @@ def ridge_fit(df: DataFrame, features, y: str, alpha: float = 1.0,
     feats = list(features)
     d = len(feats)
     base = df.select(F.col(y).cast("double").alias("_y"),
-                     *[F.col(x).cast("double").alias(x) for x in feats])
+                     *[named(x).cast("double").alias(x) for x in feats])
     st = base.agg(F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_ybar"),
-                  *[F.count(x).alias(f"_c{i}") for i, x in enumerate(feats)],
+                  *[F.count(named(x)).alias(f"_c{i}") for i, x in enumerate(feats)],
                   *[F.avg(x).alias(f"_m{i}") for i, x in enumerate(feats)],
                   *[F.stddev_pop(x).alias(f"_s{i}") for i, x in enumerate(feats)],
                   *[pct(x, [0.25, 0.5, 0.75], exact is not False).alias(x) for x in feats]
@@ -251,7 +252,7 @@ def ridge_fit(df: DataFrame, features, y: str, alpha: float = 1.0,
     has_null = [st[f"_c{i}"] < st["_n"] for i in range(d)]
     if any(has_null):      # quartiles of the filled values need the fills first
         fill0 = {x: float(st[x][1]) if st[x] else 0.0 for x in feats}
-        st2 = base.agg(*[pct(F.coalesce(F.col(x), F.lit(fill0[x])), [0.25, 0.5, 0.75],
+        st2 = base.agg(*[pct(F.coalesce(named(x), F.lit(fill0[x])), [0.25, 0.5, 0.75],
                              exact is not False).alias(x) for x in feats]).first()
         q = {x: st2[x] for x in feats}
     else:
@@ -263,9 +264,9 @@ def ridge_fit(df: DataFrame, features, y: str, alpha: float = 1.0,
     names = ["_one"] + [f"_a{i}" for i in range(d)] + \
         [f"_n{i}" for i in range(d) if has_null[i]] + ["_ys"]
     gv = base.select(F.lit(0).alias("_g"), F.lit(1.0).alias("_one"),
-                     *[F.coalesce((F.col(x) - c0[i]) / s0[i], F.lit(0.0)).alias(f"_a{i}")
+                     *[F.coalesce((named(x) - c0[i]) / s0[i], F.lit(0.0)).alias(f"_a{i}")
                        for i, x in enumerate(feats)],
-                     *[F.col(x).isNull().cast("double").alias(f"_n{i}")
+                     *[named(x).isNull().cast("double").alias(f"_n{i}")
                        for i, x in enumerate(feats) if has_null[i]],
                      (F.col("_y") - ybar).alias("_ys"))
     g = gram_blocks(gv, names, by=["_g"])[(0,)]
@@ -293,7 +294,7 @@ def oof_metrics(oof: DataFrame, y: str = "y", pred: str = "pred", fold: str = "f
 
 def poly_columns(cols) -> list:
     """Degree-2 expansion names/exprs: singles, then x_i*x_j for i <= j."""
-    out = [(x, F.col(x)) for x in cols]
+    out = [(x, named(x)) for x in cols]
     for i, a in enumerate(cols):
         for b in cols[i:]:
             name = f"{a}^2" if a == b else f"{a} {b}"

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.expr import c as named
+from ..functions.expr import sql_text
 from ..functions.expr import (NAN_LEVEL, datetime_parts, datetime_valid, finite_or_null, is_nonfinite,
                               level, to_number)
 from ..functions.keys import md5_order
@@ -57,14 +59,14 @@ def normalize_missing(df: DataFrame, cols=None) -> DataFrame:
     out = []
     for f in df.schema.fields:
         if f.name not in cols:
-            out.append(F.col(f.name))
+            out.append(named(f.name))
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            out.append(finite_or_null(F.col(f.name)).alias(f.name))
+            out.append(finite_or_null(named(f.name)).alias(f.name))
         elif isinstance(f.dataType, T.StringType):
-            out.append(F.when(~F.col(f.name).isin(*MISSING_TOKENS), F.col(f.name))
+            out.append(F.when(~named(f.name).isin(*MISSING_TOKENS), named(f.name))
                         .alias(f.name))
         else:
-            out.append(F.col(f.name))
+            out.append(named(f.name))
     return df.select(*out)
 
 
@@ -131,7 +133,7 @@ def count_duplicate_rows(df: DataFrame, cols=None) -> Column:
     (null-safe; rows are kept). Partial aggregation combines copies map-side,
     so a hot group never travels as rows."""
     cols = cols or df.columns
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    g = df.groupBy(*[named(x) for x in cols]).agg(F.count(F.lit(1)).alias("_n"))
     return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long")
                  .alias("duplicate_rows"))
 
@@ -169,7 +171,7 @@ def numeric_features(df: DataFrame, target: str, max_miss: float = MAX_MISS_RATE
 
 
 def null_rates(df: DataFrame, cols) -> dict:
-    r = df.agg(*[F.avg(F.col(x).isNull().cast("double")).alias(x) for x in cols]).first()
+    r = df.agg(*[F.avg(named(x).isNull().cast("double")).alias(x) for x in cols]).first()
     return {x: float(r[x] or 0.0) for x in cols}
 
 
@@ -177,8 +179,8 @@ def column_stats(df: DataFrame, cols) -> DataFrame:
     """P1/P2 statistics in one aggregate: null rate, min, max, sample std."""
     aggs = []
     for x in cols:
-        v = F.col(x).cast("double")
-        aggs += [F.avg(F.col(x).isNull().cast("double")).alias(f"{x}__null_rate"),
+        v = named(x).cast("double")
+        aggs += [F.avg(named(x).isNull().cast("double")).alias(f"{x}__null_rate"),
                  F.min(v).alias(f"{x}__min"), F.max(v).alias(f"{x}__max"),
                  F.stddev_samp(v).alias(f"{x}__std")]
     return df.agg(*aggs)
@@ -203,7 +205,7 @@ def corr_matrix_filled(df: DataFrame, cols, fills: dict):
     d = len(cols)
     names = ["_one"] + [f"_c{i}" for i in range(d)]
     g = df.select(F.lit(1.0).alias("_one"),
-                  *[F.coalesce(F.col(x).cast("double"), F.lit(fills[x])).alias(f"_c{i}")
+                  *[F.coalesce(named(x).cast("double"), F.lit(fills[x])).alias(f"_c{i}")
                     for i, x in enumerate(cols)])
     # centre by the fill value for numerical stability (shift-invariant)
     g = g.select("_one", *[(F.col(f"_c{i}") - fills[x]).alias(f"_c{i}")
@@ -243,7 +245,7 @@ def target_corr(df: DataFrame, cols, target: str) -> DataFrame:
     y = finite_or_null(F.col(target).cast("double"))
     aggs = []
     for i, x in enumerate(cols):
-        v = finite_or_null(F.col(x).cast("double"))
+        v = finite_or_null(named(x).cast("double"))
         both = v.isNotNull() & y.isNotNull()
         vx, vy = F.when(both, v), F.when(both, y)
         # ANSI corr raises on a zero variance: covariance / stds, try_divide
@@ -287,12 +289,12 @@ def triage_stats(df: DataFrame, target: str, cols=None) -> DataFrame:
     aggs = []
     for i, x in enumerate(cols):
         is_bool = isinstance(df.schema[x].dataType, T.BooleanType)
-        num_ok = F.lit(0.0) if is_bool else to_number(F.col(x)).isNotNull().cast("double")
-        dt_ok = F.lit(0.0) if is_bool else datetime_valid(F.col(x)).cast("double")
+        num_ok = F.lit(0.0) if is_bool else to_number(named(x)).isNotNull().cast("double")
+        dt_ok = F.lit(0.0) if is_bool else datetime_valid(named(x)).cast("double")
         aggs += [F.avg(num_ok).alias(f"nr{i}"), F.avg(dt_ok).alias(f"dr{i}"),
                  F.count_distinct(level(x)).alias(f"nl{i}")]
     wide = df.agg(F.count(F.lit(1)).alias("_n"), *aggs)
-    parts = ", ".join(f"'{x}', {i}, {str(isinstance(df.schema[x].dataType, T.BooleanType)).lower()}"
+    parts = ", ".join(f"{sql_text(x)}, {i}, {str(isinstance(df.schema[x].dataType, T.BooleanType)).lower()}"
                       f", nr{i}, dr{i}, nl{i}" for i, x in enumerate(cols))
     return wide.selectExpr(
         "_n", f"stack({len(cols)}, {parts}) as (column, pos, is_bool, numeric_rate, "

@@ -25,6 +25,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import c as named
 from ..session import ensure_checkpoint_dir
 from .cv import es_holdout, train_copies
 from .stats import pct, regression_metrics
@@ -104,7 +105,7 @@ def fold_medians(df: DataFrame, features, fold: str, k: int, exact=True) -> dict
     exploded to the folds they train. When no feature has a NULL no fold
     model ever fills: only the medians of all rows are taken."""
     cnt = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count(x).alias(f"_c{i}") for i, x in enumerate(features)]).first()
+                 *[F.count(named(x)).alias(f"_c{i}") for i, x in enumerate(features)]).first()
     if all(cnt[f"_c{i}"] == cnt["_n"] for i in range(len(features))):
         # unused while fitting; the final model fills later NULLs with them
         return {t: dict.fromkeys(features, 0.0) for t in range(k)} | {-1: _medians(df, features)}
@@ -115,7 +116,7 @@ def fold_medians(df: DataFrame, features, fold: str, k: int, exact=True) -> dict
 
 
 def _filled_vector(df: DataFrame, features, med: dict) -> DataFrame:
-    filled = df.withColumns({x: F.coalesce(F.col(x).cast("double"), F.lit(med[x]))
+    filled = df.withColumns({x: F.coalesce(named(x).cast("double"), F.lit(med[x]))
                              for x in features})
     return VectorAssembler(inputCols=list(features), outputCol="_fv",
                            handleInvalid="keep").transform(filled)

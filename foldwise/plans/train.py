@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.expr import c as named
 from ..functions.expr import composite_key, level, to_number
 from ..operators import blend as B
 from ..operators import longfit as LF
@@ -78,10 +79,10 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
         raise S.DataError("target_not_numeric", checks["non_numeric_example"])
     S.require_varying_target(checks)
     n_na = int(checks["n_missing"])
-    y_expr = (F.col(target).cast("double") if S._is_num(df, target) else to_number(target))
-    df = df.withColumn(target, y_expr).filter(F.col(target).isNotNull())
+    y_expr = (named(target).cast("double") if S._is_num(df, target) else to_number(target))
+    df = df.withColumn(target, y_expr).filter(named(target).isNotNull())
     feat_src = [c for c in df.columns if c not in (target, key)]
-    n_dup = S.count_duplicate_rows(df.select(*feat_src, target)).first()["duplicate_rows"]
+    n_dup = S.count_duplicate_rows(df.select(*[named(x) for x in [*feat_src, target]])).first()["duplicate_rows"]
     if key is None:
         key = "_key"
         df = df.withColumn(key, _row_key(df, feat_src + [target]))

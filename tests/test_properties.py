@@ -325,3 +325,14 @@ def test_csv_quotes_and_line_ends_in_cells(spark, tmp_path):
     path = tmp_path / "plain.csv"
     path.write_text('a,b\n"x ""q"", y",1\n')
     assert read_table(spark, str(path)).collect()[0]["a"] == 'x "q", y'
+
+
+def test_train_takes_ordinary_names(spark):
+    from foldwise.plans.train import predict, train
+    city = F.element_at(F.array(*[F.lit(v) for v in ("St. Louis", "Rome", "O'Fallon")]), F.expr("cast(id % 3 + 1 as int)"))
+    df = spark.range(90).select(city.alias("o'city"), F.rand(3).alias("a.b"),
+                                F.col("id").cast("string").alias("id no.")).withColumn(
+        "y v", F.col("`a.b`") * 2 + F.length("o'city"))
+    r = train(df, "y v", models=("ridge", "gbt"))
+    assert predict(r.plan, df).select("y v").where("`y v` is not null").count() == 90
+    assert r.plan.required_columns() == ["o'city", "a.b", "id no."]
