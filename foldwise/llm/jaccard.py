@@ -218,11 +218,25 @@ def _may_qualify(m: Column, n: Column, least: Column, most: Column, percent: int
 
     The overlap of similar sets of n and s tokens is t / (1 + t) * (n + s) at
     least; beyond the shared prefix tokens it can hold ceil(t * max(n, s)) - 1
-    more. The difference is smallest at an end of the sizes that count."""
+    more. Rounded, the difference can be smaller inside a range of sizes than
+    at its ends, so for more sizes than one it is bounded before rounding."""
     t, r = _fraction(percent)
-    lo, hi = F.greatest(least, F.ceil(n * t)), F.least(most, F.floor(n / t))
-    needed = lambda s: F.ceil((n + s) * r - 1e-9) - F.ceil(F.greatest(n, s) * t - 1e-9) + 1
-    return (lo <= hi) & (m >= F.greatest(F.lit(1), F.least(needed(lo), needed(hi))))
+    lo, hi = F.greatest(least, F.ceil(n * t - 1e-9)), F.least(most, F.floor(n / t + 1e-9))
+    needed = F.when(lo == hi, _needed(n, lo, t, r)).otherwise(
+        F.least(_needed_at_least(n, lo, t, r), _needed_at_least(n, hi, t, r)))
+    return (lo <= hi) & (m >= F.greatest(F.lit(1), needed))
+
+
+def _needed(a: Column, b: Column, t: float, r: float) -> Column:
+    """Prefix tokens that similar sets of just ``a`` and ``b`` tokens share at least."""
+    return F.ceil((a + b) * r - 1e-9) - F.ceil(F.greatest(a, b) * t - 1e-9) + 1
+
+
+def _needed_at_least(a: Column, b: Column, t: float, r: float) -> Column:
+    """No more than ``_needed``: ceil(x) - ceil(y) >= floor(x - y). Below the
+    floor it is concave in the sizes, so over a range its least value is at an
+    end, over a rectangle at a corner."""
+    return F.floor((a + b) * r - F.greatest(a, b) * t + 1e-9) + 1
 
 
 class _Join:
@@ -369,17 +383,19 @@ class _Join:
 
 def _may_link(percent: int) -> Column:
     """Whether ``m`` shared tokens allow a link between sets of alo..ahi and of
-    blo..bhi tokens. What is needed (see ``_may_qualify``) is concave in the two
-    sizes, so it is smallest at a corner of the sizes that count; where these
-    reach the limit of similar sizes, one token is enough."""
+    blo..bhi tokens: what is needed at least (see ``_needed_at_least``) is
+    smallest at a corner of the sizes that count; where these reach the limit
+    of similar sizes, one token is enough."""
     t, r = _fraction(percent)
     corners = [(F.col(a), F.col(b)) for a in ("alo", "ahi") for b in ("blo", "bhi")]
-    needed = [F.ceil((a + b) * r - 1e-9) - F.ceil(F.greatest(a, b) * t - 1e-9) + 1 for a, b in corners]
+    exact = (F.col("alo") == F.col("ahi")) & (F.col("blo") == F.col("bhi"))
+    needed = F.when(exact, _needed(F.col("alo"), F.col("blo"), t, r)).otherwise(
+        F.least(*[_needed_at_least(a, b, t, r) for a, b in corners]))
     within = F.lit(True)
     for a, b in corners:
         within &= F.least(a, b) >= F.ceil(F.greatest(a, b) * t - 1e-9)
     meet = (F.col("ahi") >= F.ceil(F.col("blo") * t - 1e-9)) & (F.col("bhi") >= F.ceil(F.col("alo") * t - 1e-9))
-    return meet & (F.col("m") >= F.greatest(F.lit(1), F.when(within, F.least(*needed)).otherwise(1)))
+    return meet & (F.col("m") >= F.greatest(F.lit(1), F.when(within, needed).otherwise(1)))
 
 
 def _blocks() -> Column:

@@ -236,6 +236,33 @@ def test_jaccard_many_near_copies(spark):
     assert got == sorted(_components(texts, list(range(len(texts)))))
 
 
+def test_jaccard_needs_least_inside_a_range_of_sizes(spark):
+    texts = []
+    for k in range(20):     # 26 shingles against 26..28: both ends need 4 shared tokens, size 27 needs 3
+        w = [f"p{k}_{i}" for i in range(27)]
+        a, b = [*w, *[f"a{k}_{i}" for i in range(3)]], [*[f"b{k}_{i}" for i in range(4)], *w]
+        long = [*[f"l{k}_{i}" for i in range(100)], *w, *[f"r{k}_{i}" for i in range(100)]]
+        texts += [" ".join(x) for x in (a, b, [f"d{k}", *b], b[:-1], long)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, jaccard.similarity_components(df).collect()))
+    assert got == sorted(_components(texts, list(range(len(texts)))))
+
+
+def test_jaccard_bounds_against_all_sizes(spark):
+    rows = [(p, n, lo, hi) for p in (60, 75, 90) for n in range(1, 90, 4) for lo in range(1, 120, 7)
+            for hi in (lo, lo + 1, lo + 2, lo + 5)]
+    df = spark.createDataFrame(rows, "p int, n long, lo long, hi long")
+    for p in (60, 75, 90):
+        up = lambda a, b: -(-a // b)
+        need = lambda n, s: up((n + s) * p, 100 + p) - up(max(n, s) * p, 100) + 1
+        asked = df.where(f"p = {p}").withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(12))))
+        asked = asked.selectExpr("*", "n as alo", "n as ahi", "lo as blo", "hi as bhi")
+        for rule in (jaccard._may_qualify(F.col("m"), F.col("n"), F.col("lo"), F.col("hi"), p), jaccard._may_link(p)):
+            for r in asked.where(~rule).collect():
+                assert all(r.m < need(r.n, s) for s in range(r.lo, r.hi + 1)
+                           if 100 * min(r.n, s) >= p * max(r.n, s)), r
+
+
 def test_language_model(docs, rows, none):
     train = docs.where(~lm.held_out(docs.doc_id))
     model = lm.fit(train)
