@@ -3,9 +3,9 @@ fitted and applied on the workers, beside an add-0.1 unigram base.
 
 Counts of all training tokens are taken in buckets of their hashes. Frequent
 words and the mass of each class come from them. The recurrent part is fitted
-in rounds: shards of a fixed share of the training documents are trained by
-truncated backpropagation from the same parameters, which are then averaged by
-tokens. To score, documents are dealt to chunks; each chunk asks the buckets
+in rounds, and every training document falls to one of them: a round's shards
+are trained by truncated backpropagation from the same parameters, which are
+then averaged by tokens. To score, documents are dealt to chunks; each chunk asks the buckets
 for the counts of its distinct words, and the answers meet its texts.
 """
 
@@ -33,11 +33,10 @@ CHUNK_BYTES = 8 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    """Shape of the network and its fitting: ``rounds`` rounds, each over the
-    ``1 / share`` of the training documents that its number falls to."""
+    """Shape of the network and its fitting: the training documents are dealt
+    to ``rounds`` rounds, so that each is trained on once."""
     shape: gru.Shape = gru.Shape()
     rounds: int = 3
-    share: int = 16
     rate: float = 0.1
 
 
@@ -198,11 +197,11 @@ def fit(docs: DataFrame, text: str = "text", settings: Settings | None = None) -
     class_mass = np.concatenate([words.reshape(shape.groups, -1).sum(1), model.suffix_mass])
     model.flat = gru.start(shape, class_mass, words)
     size = src.agg(F.sum(F.octet_length("_text"))).collect()[0][0] or 0
-    shards = max(1, int(np.ceil(size / cfg.share / (CHUNK_BYTES // 2))))
+    shards = max(1, int(np.ceil(size / cfg.rounds / (CHUNK_BYTES // 2))))
     rows = src.withColumn("_order", F.xxhash64("_text", F.lit(17)))
     for k in range(cfg.rounds):
-        part = rows.where(F.expr(f"pmod(_order, {cfg.share}) = {k % cfg.share}")).withColumn(
-            "_shard", F.expr(f"cast(pmod(_order div {cfg.share}, {shards}) as int)"))
+        part = rows.where(F.expr(f"pmod(_order, {cfg.rounds}) = {k}")).withColumn(
+            "_shard", F.expr(f"cast(pmod(_order div {cfg.rounds}, {shards}) as int)"))
         got = (part.groupBy("_shard").applyInPandas(_train_shard(model), "part int, sum binary, n long")
                .groupBy("part").applyInPandas(_add_up, "sum binary, n long").collect())
         seen = sum(r["n"] for r in got)

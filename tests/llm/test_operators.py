@@ -285,6 +285,19 @@ def test_language_model(docs, rows, none):
     assert [r.n_known for r in lm.score(docs, lm.fit(none)).collect()] == [0] * len(rows)
 
 
+def test_language_model_trains_on_every_document(spark, monkeypatch):
+    texts = [f"word{k} of text {k}" for k in range(200)] + ["a copied text"] * 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    learned = spark.sparkContext.accumulator(0)
+    add_up = lm._add_up
+
+    def counted(pdf):
+        learned.add(int(pdf["n"].sum()))
+        return add_up(pdf)
+    monkeypatch.setattr(lm, "_add_up", counted)
+    assert lm.fit(docs).n == learned.value
+
+
 def test_recurrent_gradient_and_state():
     shape = gru.Shape(words=8, per_class=4, suffixes=3, hidden=4)
     rng = np.random.default_rng(0)
