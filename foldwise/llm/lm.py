@@ -165,17 +165,19 @@ def _bits(spark) -> int:
     return max(6, (partitions(spark) - 1).bit_length())
 
 
-def fit(docs: DataFrame, text: str = "text", settings: Settings | None = None) -> LanguageModel:
+def fit(docs: DataFrame, text: str = "text", settings: Settings | None = None,
+        ident: str = "doc_id") -> LanguageModel:
     """A model of all texts of ``docs``: null and empty texts are just an end
     mark, repeated rows count each time, an empty table gives a model without
-    counts; columns other than ``text`` are not read."""
+    counts; columns other than the two named are not read. Rounds and shards
+    are dealt by identifier and text, so copies of a text do not meet in one."""
     cfg = settings or Settings()
     shape, spark = cfg.shape, docs.sparkSession
     ship_package(spark)
     model = LanguageModel(cfg)
-    src = docs.select(F.col(text).cast("string").alias("_text"))
+    src = docs.select(F.col(text).cast("string").alias("_text"), F.col(ident).alias("_id"))
     model.bits = _bits(spark)
-    found = src.mapInArrow(_count(model.bits, shape.suffixes),
+    found = src.select("_text").mapInArrow(_count(model.bits, shape.suffixes),
                            "bucket int, words binary, counts binary, suffix binary")
     merged = written(found.groupBy("bucket").applyInPandas(_merge(shape.words, shape.suffixes), _MERGED), "counts")
     model.counts = merged.select("bucket", "words", "counts")
@@ -198,7 +200,7 @@ def fit(docs: DataFrame, text: str = "text", settings: Settings | None = None) -
     model.flat = gru.start(shape, class_mass, words)
     size = src.agg(F.sum(F.octet_length("_text"))).collect()[0][0] or 0
     shards = max(1, int(np.ceil(size / cfg.rounds / (CHUNK_BYTES // 2))))
-    rows = src.withColumn("_order", F.xxhash64("_text", F.lit(17)))
+    rows = src.select("_text", F.xxhash64("_id", "_text", F.lit(17)).alias("_order"))
     for k in range(cfg.rounds):
         part = rows.where(F.expr(f"pmod(_order, {cfg.rounds}) = {k}")).withColumn(
             "_shard", F.expr(f"cast(pmod(_order div {cfg.rounds}, {shards}) as int)"))

@@ -298,6 +298,25 @@ def test_language_model_trains_on_every_document(spark, monkeypatch):
     assert lm.fit(docs).n == learned.value
 
 
+def test_language_model_deals_copies_to_many_shards(spark, monkeypatch):
+    texts = [f"word{k} of text {k}" for k in range(200)] + ["a copied text"] * 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    shards = spark.sparkContext.accumulator(0)
+    train_shard = lm._train_shard
+
+    def counted(model):
+        run = train_shard(model)
+
+        def count(pdf):
+            shards.add(int((pdf["_text"] == "a copied text").any()))
+            return run(pdf)
+        return count
+    monkeypatch.setattr(lm, "_train_shard", counted)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 400)
+    lm.fit(docs)
+    assert shards.value > 10                # by text alone they are all in one
+
+
 def test_recurrent_gradient_and_state():
     shape = gru.Shape(words=8, per_class=4, suffixes=3, hidden=4)
     rng = np.random.default_rng(0)
