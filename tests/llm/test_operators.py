@@ -362,6 +362,22 @@ def test_permutation_index(spark):
     assert ann.search(ann.build_index(df.limit(0)), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_permutation_index_recall_when_it_excludes(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 12)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for r in ann.search(ann.build_index(df), F.col("vec_id") % 50 == 0, share=0.2, least=20).collect():
+        got[r.query_id].add(r.vec_id)
+    d = x.astype(float)
+    hits = 0
+    for q in range(0, 1500, 50):
+        s = d @ d[q]
+        hits += len(got[q] & set(sorted((k for k in range(1500) if k != q), key=lambda k: -s[k])[:20]))
+    print("recall", hits / 600)
+    assert hits / 600 >= 0.8
+
+
 def test_pipeline_stages(spark, docs):
     sf = "/root/testdata/sf0.001"
     got = docs
