@@ -43,6 +43,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def crc32_text(text: Column) -> Column:
+    """crc32 of the text's UTF-8."""
+    return F.crc32(text.cast("binary"))
+
+
 def crc32_mod(col: Column, n: int) -> Column:
     """crc32 of the value as text, modulo ``n``; null counts as ''."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import load
 from . import exact_dedup as dedup
-from . import ann, jaccard, line_dedup, lm, mixing, packing, preference, quality, token_counts
+from . import (ann, filter_audit, jaccard, line_dedup, lm, mixing, packing, preference, quality, repair, simhash,
+               token_counts)
 
 UPPER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -81,6 +82,18 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair.repair(load(spark, sf, "conversations"))
+
+
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit_filters(load(spark, sf, "documents"), load(spark, sf, "labels"))
+
+
+def op13_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_copies(load(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_permutation_index": op1_permutation_index,
     "op2_exact_dedup": op2_exact_dedup,
@@ -92,10 +105,15 @@ QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_repair": op11_repair,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_simhash": op13_simhash,
 }
 ORACLE = {
     "op2_exact_dedup": OP2_SQL,
     "op4_preference": preference.pair_sql(),
     "op5_mixing": mixing.MIX_SQL,
     "op7_line_dedup": line_dedup.LINES_SQL,
+    "op11_repair": repair.REPAIR_SQL,
+    "op12_filter_audit": filter_audit.AUDIT_SQL,
 }
