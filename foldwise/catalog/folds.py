@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import r6, round_sig
 from ..operators import cv as V
 from ..operators import stats as A
+from ..operators.quantiles import quantiles_of
 from ..session import load
 from . import register
 from .fixtures import NET_CHARGE_SQL, NET_FEATURES, OUTLIERS_SQL, folds_sql, net_charge, \
@@ -158,17 +159,47 @@ SELECT CAST(k AS INTEGER) AS train_fold, {R("quantile_cont(y, 0.01)")} AS clip_l
   {R("median(y)")} AS median
 FROM tr GROUP BY k""")
 def clip_bounds_per_fold(spark: SparkSession, sf: str) -> DataFrame:
-    """V5: parameters refitted per fold without its validation rows: rows
-    exploded to the folds they train, one grouped percentile aggregate."""
+    """V5: parameters refitted per fold without its validation rows: bucket
+    counts by fold, every training set by subtraction."""
     f, plan = V.assign_folds(outliers(spark, sf), "y", "key", 5)
-    ex = V.train_copies(f.select("fold", "y"), "fold", plan.n_folds)
-    q = ex.groupBy("train_fold").agg(A.pct("y", [0.01, 0.99, 0.25, 0.75, 0.5]).alias("q"))
-    iqr = F.col("q")[3] - F.col("q")[2]
-    return q.select(F.col("train_fold").cast("int"), r6(F.col("q")[0]).alias("clip_lo"),
-                    r6(F.col("q")[1]).alias("clip_hi"),
-                    r6(F.col("q")[2] - 4.5 * iqr).alias("win_lo"),
-                    r6(F.col("q")[3] + 4.5 * iqr).alias("win_hi"),
-                    r6(F.col("q")[4]).alias("median"))
+    found = quantiles_of(f, ["y"], [0.01, 0.99, 0.25, 0.75, 0.5], "fold", True)
+    rows = [(m, *per["y"]) for m, per in found.items() if m >= 0]
+    q = spark.createDataFrame(rows, "train_fold int, p1 double, p99 double, q1 double, q3 double, med double")
+    iqr = F.col("q3") - F.col("q1")
+    return q.select("train_fold", r6("p1").alias("clip_lo"), r6("p99").alias("clip_hi"),
+                    r6(F.col("q1") - 4.5 * iqr).alias("win_lo"), r6(F.col("q3") + 4.5 * iqr).alias("win_hi"),
+                    r6("med").alias("median"))
+
+
+QUANTILE_PROBS = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+
+
+def _quantile_sql(y: str, source: str) -> str:
+    qs = ", ".join(f"{R(f'quantile_cont({y}, {p})')} AS q{int(100 * p)}" for p in QUANTILE_PROBS)
+    return f"SELECT CAST(k AS INTEGER) AS train_fold, '{source}' AS filled, {qs} FROM tr GROUP BY k"
+
+
+@register("quantiles_by_fold", f"""
+WITH f AS {folds_sql(OUTLIERS_SQL)},
+g AS (SELECT fold, CASE WHEN bin = 1 THEN NULL ELSE y END AS v FROM f),
+ks AS (SELECT DISTINCT fold AS k FROM f UNION ALL SELECT -1),
+raw AS (SELECT ks.k, g.v FROM ks JOIN g ON g.fold <> ks.k),
+tr AS (SELECT raw.k, raw.v, coalesce(raw.v, m.med) AS w
+       FROM raw JOIN (SELECT k, median(v) AS med FROM raw GROUP BY k) m ON m.k = raw.k)
+{_quantile_sql("v", "no")} UNION ALL {_quantile_sql("w", "yes")}""")
+def quantiles_by_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """A1, A3, A4, A8 with V5: exact quantiles of every training set (-1: all
+    rows) of a column a fifth of which is missing, as it is and filled with the
+    set's own median, from additive counts in buckets of about 50 rows."""
+    f, plan = V.assign_folds(outliers(spark, sf), "y", "key", 5)
+    f = f.select("fold", F.when(F.col("bin") != 1, F.col("y")).alias("v"))
+    some = {"buckets": max(16, plan.n_rows // 50), "last_rows": 0}
+    raw = quantiles_of(f, ["v"], QUANTILE_PROBS, "fold", True, **some)
+    _, full = A.filled_quantiles(f, ["v"], QUANTILE_PROBS, "fold", True)
+    rows = [(m, name, *per["v"]) for name, found in (("no", raw), ("yes", full)) for m, per in found.items()]
+    names = [f"q{int(100 * p)}" for p in QUANTILE_PROBS]
+    out = spark.createDataFrame(rows, "train_fold int, filled string, " + ", ".join(f"{x} double" for x in names))
+    return out.select("train_fold", "filled", *[r6(x).alias(x) for x in names])
 
 
 GRAM_COLS = NET_FEATURES + ["y"]

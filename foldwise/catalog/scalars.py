@@ -10,6 +10,7 @@ from ..functions import expr as X
 from ..functions.expr import r6
 from ..operators import select as S
 from ..operators import stats as A
+from ..operators.quantiles import quantiles_of
 from ..session import load
 from . import register
 from .fixtures import (DATE_LITERALS, INJECTED_NULLS_SQL, NET_CHARGE_SQL, NONFINITE_SQL,
@@ -312,10 +313,13 @@ def scalers_skewness(spark: SparkSession, sf: str) -> DataFrame:
     """A6 (population skewness), A7 (standard scale, population std floored
     at 1e-8), A8 (robust scale: median, IQR floored at 1e-8) per event type."""
     ev = load(spark, sf, "events")
-    q = A.pct("value", [0.25, 0.5, 0.75])
+    types = [r[0] for r in ev.select("event_type").distinct().orderBy("event_type").collect()]     # five levels
+    number = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("event_type"))
+    found = quantiles_of(ev.withColumn("_t", number), ["value"], [0.25, 0.5, 0.75], "_t")
+    q = F.array(*[F.array(*[F.lit(v) for v in found[k + 1]["value"]]) for k in range(len(types))])
     g = ev.groupBy("event_type").agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), q.alias("q"),
-        A.skewness_pop("value").alias("skewness"))
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"),
+        A.skewness_pop("value").alias("skewness")).withColumn("q", F.element_at(q, number.cast("int")))
     return g.select("event_type", r6("mean").alias("mean"),
                     r6(F.greatest("sd", F.lit(1e-8))).alias("std_pop"),
                     r6(F.col("q")[1]).alias("median"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_rank
-from .stats import pct, use_exact
+from .stats import quantiles
 
 # ---- fixed values ----
 FOLD_SEED = 42
@@ -33,10 +33,10 @@ def n_bins_for(n_rows: int, k: int = 5) -> tuple[int, int]:
     return a, e
 
 
-def bin_edges_col(y: str, n_bins: int, exact: bool = True) -> Column:
-    """Aggregate: sorted distinct quantile edges (0, 1/E, ..., 1)."""
-    probs = [i / n_bins for i in range(n_bins + 1)]
-    return F.array_distinct(pct(y, probs, exact)).alias("_edges")
+def bin_edges(df: DataFrame, y: str, n_bins: int) -> list:
+    """Sorted distinct quantile edges (0, 1/E, ..., 1)."""
+    q = quantiles(df, [y], [i / n_bins for i in range(n_bins + 1)])[y] or []
+    return sorted(set(q))
 
 
 def bin_of(y: str, edges: Column) -> Column:
@@ -46,11 +46,10 @@ def bin_of(y: str, edges: Column) -> Column:
                            & (e < F.col(y)))).cast("int")
 
 
-def quantile_bins(df: DataFrame, y: str, n_bins: int, exact: bool = True,
-                  out: str = "bin") -> DataFrame:
+def quantile_bins(df: DataFrame, y: str, n_bins: int, out: str = "bin") -> DataFrame:
     """V1: quantile bin column. The <= n_bins + 1 edges are computed once and
-    enter the plan as literals (no lazily repeated percentile aggregate)."""
-    edges = df.agg(bin_edges_col(y, n_bins, exact)).first()["_edges"] or []
+    enter the plan as literals (no lazily repeated aggregate)."""
+    edges = bin_edges(df, y, n_bins)
     lit = F.array(*[F.lit(float(e)) for e in edges]) if edges else \
         F.array().cast("array<double>")
     return df.withColumn(out, bin_of(y, lit))
@@ -64,29 +63,15 @@ class FoldPlan:
 
 
 def assign_folds(df: DataFrame, y: str, key: str, k: int = 5, seed=FOLD_SEED,
-                 exact: bool | None = None, n_rows: int | None = None):
+                 n_rows: int | None = None):
     """V1-V3: stratified folds over quantile bins of y, else plain K-fold.
 
-    Returns (frame with ``bin``, ``fold`` and ``ifold`` columns, FoldPlan).
-    Three passes over the input: row count + bin edges (one aggregate; the
-    edges are recomputed only when fewer than 50 rows change the bin count),
-    per-(bin, md5 bucket) counts (which also give the bin sizes), and the
-    ranking itself."""
-    a0, e0 = n_bins_for(max(n_rows or 10 ** 9, 50), k)
-    probs = [i / e0 for i in range(e0 + 1)]
-    first = df.agg(F.count(F.lit(1)).alias("n"),
-                   F.array_distinct(pct(y, probs, True if exact is None else exact))
-                   .alias("_edges")).first()
-    n = n_rows if n_rows is not None else int(first["n"])
-    ex = use_exact(exact)
+    Returns (frame with ``bin``, ``fold`` and ``ifold`` columns, FoldPlan). The
+    edges come from additive bucket counts; per-(bin, md5 bucket) counts also
+    give the bin sizes, and the ranking is the last pass."""
+    n = n_rows if n_rows is not None else df.count()
     a, e = n_bins_for(n, k)
-    if e != e0 or ex != (True if exact is None else exact):
-        binned = quantile_bins(df, y, e, ex)
-    else:
-        edges = first["_edges"] or []
-        lit = F.array(*[F.lit(float(v)) for v in edges]) if edges else \
-            F.array().cast("array<double>")
-        binned = df.withColumn("bin", bin_of(y, lit))
+    binned = quantile_bins(df, y, e)
     ranked, cnt = hash_rank(binned, key, seed, partition_cols=["bin"], out="_pos", n_rows=n,
                             return_counts=True)
     sizes = [r["s"] for r in cnt.groupBy("bin").agg(F.sum("_cnt").alias("s")).collect()]

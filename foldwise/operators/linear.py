@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import c as named
 from ..functions.keys import hash_rank
-from .cv import train_copies
-from .stats import fold_r2_std, gram_blocks, pct, regression_metrics
+from .quantiles import ALL
+from .stats import filled_quantiles, fold_r2_std, gram_blocks, regression_metrics
 
 # ---- fixed values ----
 ALPHAS = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
@@ -123,7 +123,7 @@ def _transform(d, has_null, s0, c0, fill, med, iqr, ybar):
 
 def ridge_cv(df: DataFrame, features, y: str, key: str, fold: str = "fold",
              k: int | None = None, alphas=ALPHAS, inner_k: int = 5,
-             exact: bool | None = None, n_rows: int | None = None,
+             n_rows: int | None = None,
              fit_all: bool = True) -> RidgeCVResult:
     """M1 + V7: out-of-fold ridge with per-fold fill, robust scale and inner
     alpha CV; plus the final model on all rows (M13 train R^2, M10 shares)."""
@@ -135,40 +135,21 @@ def ridge_cv(df: DataFrame, features, y: str, key: str, fold: str = "fold",
                      *[named(x).cast("double").alias(x) for x in features])
     if k is None:
         k = base.agg(F.max(fold)).first()[0] + 1
-    ex = exact if exact is not None else (n_rows is None or n_rows <= 20_000_000)
-    # ONE pass over rows exploded to the training sets they belong to
-    # (t = -1: all rows): per-set quartiles (fill / robust scale, V5) and,
-    # from the t = -1 group, the global centring statistics
-    copies = train_copies(base.select(fold, "_y", *features), fold, k, include_all=True)
-    q = copies.groupBy("train_fold").agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_ybar"),
-        *[F.count(named(x)).alias(f"_c{i}") for i, x in enumerate(features)],
-        *[F.avg(x).alias(f"_m{i}") for i, x in enumerate(features)],
-        *[F.stddev_pop(x).alias(f"_s{i}") for i, x in enumerate(features)],
-        *[pct(x, [0.25, 0.5, 0.75], ex).alias(x) for x in features]).collect()
-    st = next(r for r in q if r["train_fold"] == -1)
+    # counts by fold give every training set's median, fill and quartiles (V5)
+    # by subtraction (t = -1: all rows); the centring statistics are global
+    st = base.agg(F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_ybar"),
+                  *[F.count(named(x)).alias(f"_c{i}") for i, x in enumerate(features)],
+                  *[F.avg(named(x)).alias(f"_m{i}") for i, x in enumerate(features)],
+                  *[F.stddev_pop(named(x)).alias(f"_s{i}") for i, x in enumerate(features)]).first()
     n = int(st["_n"]) if n_rows is None else n_rows
     ybar = float(st["_ybar"])
     c0 = [float(st[f"_m{i}"] or 0.0) for i in range(d)]
     s0 = [max(float(st[f"_s{i}"] or 0.0), 1e-12) or 1.0 for i in range(d)]
     has_null = [st[f"_c{i}"] < st["_n"] for i in range(d)]
-    qs = {r["train_fold"]: [r[x] for x in features] for r in q}
-    fills = {t: [0.0 if v is None or v[1] is None else float(v[1]) for v in qs[t]] for t in qs}
-    if any(has_null):
-        # quartiles of the FILLED training data (the scaler sees filled values)
-        def filled(x, i):
-            e = None
-            for t in qs:
-                e = (F.when(F.col("train_fold") == t, F.lit(fills[t][i])) if e is None
-                     else e.when(F.col("train_fold") == t, F.lit(fills[t][i])))
-            return F.coalesce(named(x), e)
-        q2 = copies.groupBy("train_fold").agg(
-            *[pct(filled(x, i), [0.25, 0.5, 0.75], ex).alias(x)
-              for i, x in enumerate(features)]).collect()
-        qs = {r["train_fold"]: [r[x] for x in features] for r in q2}
-    meds = {t: [float(v[1]) if v and v[1] is not None else 0.0 for v in qs[t]] for t in qs}
-    iqrs = {t: [max(float(v[2] - v[0]), SCALE_FLOOR) if v and v[0] is not None else 1.0
-                for v in qs[t]] for t in qs}
+    fill, qs = filled_quantiles(base.withColumnRenamed(fold, "_fold"), features, [0.25, 0.5, 0.75], "_fold", True)
+    fills = {t: [fill[t][x] for x in features] for t in fill}
+    meds = {t: [qs[t][x][1] for x in features] for t in qs}
+    iqrs = {t: [max(qs[t][x][2] - qs[t][x][0], SCALE_FLOOR) for x in features] for t in qs}
 
     # inner folds: the ``ifold`` column of assign_folds when present, else
     # balanced inside each outer fold by md5 order (seed 42); a single alpha
@@ -234,7 +215,7 @@ def ridge_cv(df: DataFrame, features, y: str, key: str, fold: str = "fold",
 
 
 def ridge_fit(df: DataFrame, features, y: str, alpha: float = 1.0,
-              exact: bool | None = True) -> LinearFit:
+              ) -> LinearFit:
     """One ridge fit on all rows at a fixed alpha (median fill, robust scale,
     centred): one statistics pass and one Gram pass, no folds."""
     feats = list(features)
@@ -244,22 +225,14 @@ def ridge_fit(df: DataFrame, features, y: str, alpha: float = 1.0,
     st = base.agg(F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_ybar"),
                   *[F.count(named(x)).alias(f"_c{i}") for i, x in enumerate(feats)],
                   *[F.avg(x).alias(f"_m{i}") for i, x in enumerate(feats)],
-                  *[F.stddev_pop(x).alias(f"_s{i}") for i, x in enumerate(feats)],
-                  *[pct(x, [0.25, 0.5, 0.75], exact is not False).alias(x) for x in feats]
-                  ).first()
+                  *[F.stddev_pop(x).alias(f"_s{i}") for i, x in enumerate(feats)]).first()
     c0 = [float(st[f"_m{i}"] or 0.0) for i in range(d)]
     s0 = [max(float(st[f"_s{i}"] or 0.0), 1e-12) for i in range(d)]
     has_null = [st[f"_c{i}"] < st["_n"] for i in range(d)]
-    if any(has_null):      # quartiles of the filled values need the fills first
-        fill0 = {x: float(st[x][1]) if st[x] else 0.0 for x in feats}
-        st2 = base.agg(*[pct(F.coalesce(named(x), F.lit(fill0[x])), [0.25, 0.5, 0.75],
-                             exact is not False).alias(x) for x in feats]).first()
-        q = {x: st2[x] for x in feats}
-    else:
-        fill0 = {x: float(st[x][1]) for x in feats}
-        q = {x: st[x] for x in feats}
-    med = [float(q[x][1]) for x in feats]
-    iqr = [max(float(q[x][2] - q[x][0]), SCALE_FLOOR) for x in feats]
+    fill, q = filled_quantiles(base, feats, [0.25, 0.5, 0.75])
+    fill0, q = fill[ALL], q[ALL]
+    med = [q[x][1] for x in feats]
+    iqr = [max(q[x][2] - q[x][0], SCALE_FLOOR) for x in feats]
     ybar = float(st["_ybar"])
     names = ["_one"] + [f"_a{i}" for i in range(d)] + \
         [f"_n{i}" for i in range(d) if has_null[i]] + ["_ys"]

@@ -3,11 +3,8 @@
 All statistics are single ``agg`` passes (grouped by fold where needed); the
 driver only receives d x d matrices or a few numbers per column.
 
-Percentiles: ``exact=True`` uses Spark's ``percentile`` (same values as
-DuckDB ``quantile_cont``; partial aggregation merges value->count maps, so
-its buffer grows with the number of distinct values). Only an explicit
-``exact=False`` uses ``percentile_approx`` (bounded sketch): the size of a
-table never changes the rule.
+Quantiles come from :mod:`.quantiles`: additive bucket counts, exact at every
+size, equal to SQL's ``quantile_cont``.
 """
 
 from __future__ import annotations
@@ -17,39 +14,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import c, clip, finite_or_null
+from .quantiles import ALL, quantiles_of
 
-APPROX_ACCURACY = 100_000
+def quantiles(df: DataFrame, cols, probs) -> dict:
+    """{column: [a quantile a prob] or None} over all rows."""
+    return quantiles_of(df, cols, probs)[ALL]
 
 
-def use_exact(exact: bool | None) -> bool:
-    """Exact unless ``exact`` is False."""
-    return exact is not False
-
-
-def pct(col, probs, exact: bool | None = True) -> Column:
-    """Percentile(s) of ``col``: a double for one prob, an array for many."""
-    x = c(col).cast("double")
-    many = isinstance(probs, (list, tuple))
-    p = F.array(*[F.lit(float(q)) for q in probs]) if many else F.lit(float(probs))
-    if use_exact(exact):
-        return F.percentile(x, p)
-    return F.percentile_approx(x, p, APPROX_ACCURACY)
-
-
-def quantiles(df: DataFrame, cols, probs, by=(), exact: bool | None = True) -> DataFrame:
-    """One aggregate: per group, an array of percentiles per column."""
-    ex = use_exact(exact)
-    aggs = [pct(x, list(probs), ex).alias(x) for x in cols]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-
-
-def medians(df: DataFrame, cols, exact: bool | None = True) -> dict:
+def medians(df: DataFrame, cols) -> dict:
     """A1: column medians; an all-missing column gets 0."""
-    if not cols:
-        return {}
-    ex = use_exact(exact)
-    row = df.agg(*[pct(x, 0.5, ex).alias(x) for x in cols]).first()
-    return {x: (0.0 if row[x] is None else float(row[x])) for x in cols}
+    return {x: q[0] if q else 0.0 for x, q in quantiles(df, cols, [0.5]).items()} if cols else {}
+
+
+def filled_quantiles(df: DataFrame, cols, probs, group: str | None = None, rest: bool = False) -> tuple[dict, dict]:
+    """(medians, quantiles) by model, the quantiles with missing cells filled by
+    the model's median (0 without values): the fills are counted, not written."""
+    found = quantiles_of(df, cols, [0.5, *probs], group, rest)
+    fills = {m: {x: q[0] if q else 0.0 for x, q in per.items()} for m, per in found.items()}
+    g = F.col(group).cast("long") if group else F.lit(ALL).cast("long")
+    gone = {r["_g"]: r for r in df.groupBy(g.alias("_g")).agg(
+        *[(F.count(F.lit(1)) - F.count(c(x))).alias(f"_{i}") for i, x in enumerate(cols)]).collect()}
+    total = {x: sum(r[f"_{i}"] for r in gone.values()) for i, x in enumerate(cols)}
+    if any(total.values()):
+        missing = {m: {x: (fills[m][x], (gone[m][f"_{i}"] if m in gone and not rest else
+                                         total[x] - (gone[m][f"_{i}"] if m in gone else 0)))
+                       for i, x in enumerate(cols)} for m in found}
+        some = [x for x in cols if total[x]]
+        again = quantiles_of(df, some, [0.5, *probs], group, rest, fills=missing)
+        found = {m: found[m] | again[m] for m in found}
+    return fills, {m: {x: q[1:] if q else [0.0] * len(probs) for x, q in per.items()} for m, per in found.items()}
 
 
 def impute(df: DataFrame, fills: dict) -> DataFrame:
@@ -57,22 +50,15 @@ def impute(df: DataFrame, fills: dict) -> DataFrame:
     return df.fillna({k: float(v) for k, v in fills.items()})
 
 
-def clip_bounds(df: DataFrame, cols, lo_q=0.01, hi_q=0.99, exact=True) -> dict:
+def clip_bounds(df: DataFrame, cols, lo_q=0.01, hi_q=0.99) -> dict:
     """A3: per-feature 1%/99% bounds, kept only when lo < hi."""
-    if not cols:
-        return {}
-    row = quantiles(df, cols, [lo_q, hi_q], exact=exact).first()
-    out = {}
-    for x in cols:
-        q = row[x]
-        if q is not None and q[0] is not None and q[0] < q[1]:
-            out[x] = (float(q[0]), float(q[1]))
-    return out
+    found = quantiles(df, cols, [lo_q, hi_q]) if cols else {}
+    return {x: tuple(q) for x, q in found.items() if q and q[0] < q[1]}
 
 
-def iqr_bounds(df: DataFrame, y: str, mult: float, exact=True):
+def iqr_bounds(df: DataFrame, y: str, mult: float):
     """A4: (Q1 - m*IQR, Q3 + m*IQR)."""
-    q = quantiles(df, [y], [0.25, 0.75], exact=exact).first()[y]
+    q = quantiles(df, [y], [0.25, 0.75])[y]
     iqr = q[1] - q[0]
     return q[0] - mult * iqr, q[1] + mult * iqr
 
@@ -223,14 +209,12 @@ def arrow_gram_blocks(df: DataFrame, names, by) -> dict:
     return out
 
 
-def smear_factor(df: DataFrame, y: str, pred: str, exact=True) -> float:
+def smear_factor(df: DataFrame, y: str, pred: str) -> float:
     """Median of y / max(pred, 1e-6) over finite ratios, clipped to
     [0.5, 2] (used only when the y-transform is log1p)."""
     ratio = finite_or_null(F.col(y) / F.greatest(F.col(pred), F.lit(1e-6)))
-    m = df.agg(pct(ratio, 0.5, exact).alias("m")).first()["m"]
-    if m is None:
-        return 1.0
-    return float(min(2.0, max(0.5, m)))
+    q = quantiles_of(df, {"ratio": ratio}, [0.5])[ALL]["ratio"]
+    return min(2.0, max(0.5, q[0])) if q else 1.0
 
 
 def y_clip_range(df: DataFrame, y: str, frac: float = 0.05):

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import c as named
 from ..session import ensure_checkpoint_dir
-from .cv import es_holdout, train_copies
-from .stats import pct, regression_metrics
+from .cv import es_holdout
+from .quantiles import quantiles_of
+from .stats import medians, regression_metrics
 
 # ---- fixed values ----
 QUICK_PARAMS = {"num_leaves": 31, "learning_rate": 0.05, "n_estimators": 500}
@@ -100,19 +101,10 @@ def make_estimator(kind: str, p: dict, n_rows: int, features_col="_fv", label="_
                                  **kw)
 
 
-def fold_medians(df: DataFrame, features, fold: str, k: int, exact=True) -> dict:
-    """Training-part medians per fold (t = -1: all rows), one pass over rows
-    exploded to the folds they train. When no feature has a NULL no fold
-    model ever fills: only the medians of all rows are taken."""
-    cnt = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count(named(x)).alias(f"_c{i}") for i, x in enumerate(features)]).first()
-    if all(cnt[f"_c{i}"] == cnt["_n"] for i in range(len(features))):
-        # unused while fitting; the final model fills later NULLs with them
-        return {t: dict.fromkeys(features, 0.0) for t in range(k)} | {-1: _medians(df, features)}
-    c = train_copies(df.select(fold, *features), fold, k, include_all=True)
-    rows = c.groupBy("train_fold").agg(*[pct(x, 0.5, exact).alias(x) for x in features]).collect()
-    return {r["train_fold"]: {x: (0.0 if r[x] is None else float(r[x])) for x in features}
-            for r in rows}
+def fold_medians(df: DataFrame, features, fold: str, k: int) -> dict:
+    """Training-part medians per fold (t = -1: all rows), by subtraction."""
+    found = quantiles_of(df, features, [0.5], fold, True)
+    return {t: {x: q[0] if q else 0.0 for x, q in per.items()} for t, per in found.items()}
 
 
 def _filled_vector(df: DataFrame, features, med: dict) -> DataFrame:
@@ -132,14 +124,14 @@ class TreeCVResult:
 
 def fold_fits(df: DataFrame, features, y: str, key: str, fold: str, k: int, params: dict,
               kind: str = "gbt", folds=None, early_stop: bool = True, n_rows=None,
-              medians=None, inverse=None, y_raw: str | None = None,
+              fills=None, inverse=None, y_raw: str | None = None,
               parallelism: int = 5) -> TreeCVResult:
     """M3/M6 + V6 + V7: one model per fold on its training rows (fold
     medians filled), early-stopping rows held out inside the training part,
     OOF predictions on the held-out fold."""
     n = n_rows or df.count()
     folds = list(range(k)) if folds is None else list(folds)
-    med = medians or fold_medians(df, features, fold, k)
+    med = fills or fold_medians(df, features, fold, k)
     base = df.select(key, fold, F.col(y).cast("double").alias("_yt"),
                      F.col(y_raw or y).cast("double").alias("_yraw"), *features).cache()
     es = es_holdout(base, key, fold, k, n_rows=n) if (early_stop and kind == "gbt") else None
@@ -177,14 +169,14 @@ def fold_fits(df: DataFrame, features, y: str, key: str, fold: str, k: int, para
 
 
 def fit_all(df: DataFrame, features, y: str, params: dict, kind: str = "gbt", n_rows=None,
-            medians: dict | None = None, n_trees: int | None = None):
+            fills: dict | None = None, n_trees: int | None = None):
     """M5: final model on all rows (trees = max(50, mean best iteration x 1.15)
     when given)."""
     n = n_rows or df.count()
     p = dict(params)
     if n_trees is not None:
         p["n_estimators"] = n_trees
-    med = medians or {x: 0.0 for x in features}
+    med = fills or {x: 0.0 for x in features}
     est = make_estimator(kind, p, n)
     return est.fit(_filled_vector(df.withColumn("_yt", F.col(y).cast("double")), features, med))
 
@@ -227,7 +219,7 @@ def screen_features(df: DataFrame, features, y: str, n_rows=None) -> list:
     if len(features) <= SCREEN_MIN_FEATURES:
         return list(features)
     med = {x: v for x, v in _medians(df, features).items()}
-    m = fit_all(df, features, y, SCREEN_PARAMS, n_rows=n_rows, medians=med)
+    m = fit_all(df, features, y, SCREEN_PARAMS, n_rows=n_rows, fills=med)
     keep = [f for f, c in split_counts(m, features).collect() if c > 0]
     return keep if len(keep) >= 2 else list(features)
 
@@ -237,15 +229,14 @@ def engineered_features(df: DataFrame, raw, derived_names, y: str, n_rows=None)
     model on raw + derived columns (200 trees, lr .05)."""
     feats = list(raw) + list(derived_names)
     med = _medians(df, feats)
-    m = fit_all(df, feats, y, FE_PARAMS, n_rows=n_rows, medians=med)
+    m = fit_all(df, feats, y, FE_PARAMS, n_rows=n_rows, fills=med)
     cnt = {r["feature"]: r["splits"] for r in split_counts(m, feats).collect()}
     ranked = sorted([d for d in derived_names if cnt.get(d, 0) > 0], key=lambda d: -cnt[d])
     return ranked[:FE_TOP_K]
 
 
 def _medians(df, feats):
-    r = df.agg(*[pct(x, 0.5).alias(x) for x in feats]).first()
-    return {x: (0.0 if r[x] is None else float(r[x])) for x in feats}
+    return medians(df, feats)
 
 
 def choose_winsorize(df: DataFrame, features, y: str, key: str, fold: str, lo: float,

@@ -64,7 +64,7 @@ def _row_key(df: DataFrame, cols) -> F.Column:
 
 def train(df: DataFrame, target: str | None = None, mode: str = "quick",
           key: str | None = None, models=("ridge", "gbt", "kernel", "mlp"),
-          work_dir: str | None = None, exact: bool | None = None,
+          work_dir: str | None = None,
           mlp_epochs: int = MLP_EPOCHS) -> TrainResult:
     spark = df.sparkSession
     if work_dir is None:     # model folders live in the shared checkpoint folder
@@ -145,7 +145,7 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
     const = set(S.constant_columns(enc, feats, st)) if feats else set()
     feats = [c for c in feats if c not in const]
     if len(feats) > 1:
-        fills = A.medians(enc, feats, exact)
+        fills = A.medians(enc, feats)
         walk = S.duplicate_columns(enc, feats, fills)
         feats = [c for c, kept, _ in walk if kept]
 
@@ -161,7 +161,7 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
         enc = enc.withColumn("fold", F.lit(0))
         k_eff, eval_kind = 1, "train"
     else:
-        enc, plan = assign_folds(enc, target, key, k, n_rows=n, exact=exact)
+        enc, plan = assign_folds(enc, target, key, k, n_rows=n)
         k_eff, eval_kind = plan.n_folds, ("oof" if oof_eval else "val")
     # persist the 1x folded table; the (k + 1)x long frame is re-exploded
     # map-side by each per-model aggregate instead of being stored
@@ -175,7 +175,7 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
 
     # ---- winsorizing (A4/A5, V9) ----
     mult = WINSOR_MULT.get(mode, 4.5)
-    Lw, changed, wlo, whi = LF.winsorize_long(L, target, "_yw", mult, exact)
+    Lw, changed, wlo, whi = LF.winsorize_long(L, target, "_yw", mult)
     n_changed = int(Lw.agg(changed).first()[0] or 0)
     winsor_skipped = False
     if n_changed and n >= WINSOR_MIN_TRAIN_ROWS and k_eff >= 2 and feats:
@@ -199,7 +199,7 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
     Lw = Lw.withColumn("_yfit", yt.forward("_yw"))
 
     # ---- per-model clip (A3) and target encoding (J3) ----
-    Lc, xclip = LF.clip_long(Lw, feats, exact)
+    Lc, xclip = LF.clip_long(Lw, feats)
     te_maps = {}
     if te_cols:
         Lc, maps, glob = LF.target_encode_long(Lc, te_cols, "_yw")
@@ -220,8 +220,7 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
     # ---- models ----
     cands = {}
     if "ridge" in models and model_feats:
-        oof, fits, tr2 = LF.ridge_long(Lc, model_feats, "_yfit", "_yraw", key, n_rows=n,
-                                       exact=exact)
+        oof, fits, tr2 = LF.ridge_long(Lc, model_feats, "_yfit", "_yraw", key, n_rows=n)
         oof = oof.withColumn("pred", yt.inverse("pred"))
         cands["ridge"] = dict(oof=oof, train_r2=tr2, type="linear",
                               model={"type": "linear", "intercept": fits[-1].intercept,
@@ -230,7 +229,7 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
     skipped = {}
     if "kernel" in models and model_feats and n >= KERNEL_MIN_ROWS:
         from ..operators.kernel import rbf_long
-        oof, kmodel, ktr2 = rbf_long(Lc, model_feats, key, exact=exact is not False)
+        oof, kmodel, ktr2 = rbf_long(Lc, model_feats, key)
         cands["kernel"] = dict(oof=oof.withColumn("pred", yt.inverse("pred")), train_r2=ktr2,
                                type="kernel", model=kmodel, importance=[])
     if "mlp" in models and model_feats:
@@ -238,8 +237,7 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
             skipped["mlp"] = "min_rows"
         else:
             from ..operators.mlp import mlp_long
-            oof, mmodel = mlp_long(Lc, model_feats, key, max_epochs=mlp_epochs,
-                                   exact=exact is not False)
+            oof, mmodel = mlp_long(Lc, model_feats, key, max_epochs=mlp_epochs)
             cands["mlp"] = dict(oof=oof.withColumn("pred", yt.inverse("pred")),
                                 train_r2=None, type="mlp", model=mmodel, importance=[])
     tree_kinds = [m for m in models if m in ("gbt", "rf", "xt")]
@@ -276,12 +274,12 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
     # ---- post-processing (A15, A16, B7) ----
     is_int = enc.agg(S.is_integer_valued(target)).first()[0]
     pp = fit_postprocess(best["oof"].withColumnRenamed("y", "_y"), "_y", "pred", yt,
-                         bool(is_int), exact=True)
+                         bool(is_int))
     post = PostProcess(pp.smear, pp.y_lo, pp.y_hi, pp.round_output)
     final_oof = best["oof"].withColumn("pred_post", post.apply("pred"))
     after = A.regression_metrics(final_oof, "y", "pred_post").first()
 
-    meds = {f: v for f, v in A.medians(enc, feats, exact).items()} if feats else {}
+    meds = A.medians(enc, feats) if feats else {}
     for c in te_cols:
         meds[c] = te_maps[c]["default"]
     plan_obj = FittedPlan(
