@@ -23,9 +23,9 @@ from ..functions.expr import c as named
 from ..session import ship_package
 
 #: Buckets that one column's wanted intervals are cut into, in all.
-BUCKETS = 4096
+BUCKETS = 1024
 #: With so few rows left in the wanted buckets, their values are read.
-LAST_ROWS = 50_000
+LAST_ROWS = 20_000
 ALL = -1
 
 
@@ -115,11 +115,12 @@ def quantiles_of(df: DataFrame, cols, probs, group: str | None = None, rest: boo
     column) every group is a model; with ``rest`` the model of group g is all
     rows outside g, and ``ALL`` all rows. ``fills``: {model: {column: (value,
     n)}}, n more rows of a value in that model. ``cols``: names, or {name:
-    Column}. The driver holds at most ``buckets`` counts a column and group."""
+    Column}. ``probs`` may be a function from a model's number of values to
+    positions in their order (0 the least). The driver holds at most ``buckets`` counts a column and group."""
     buckets, last_rows = buckets or BUCKETS, LAST_ROWS if last_rows is None else last_rows
     exprs = cols if isinstance(cols, dict) else {x: named(x) for x in cols}
     names = list(exprs)
-    probs = list(probs)
+    positions = probs if callable(probs) else lambda n: [p * (n - 1) for p in probs]
     ship_package(df.sparkSession)
     g = F.col(group).cast("long") if group else F.lit(ALL).cast("long")
     flat = df.select(g.alias("_g"), *[e.cast("double").alias(f"_{i}") for i, e in enumerate(exprs.values())])
@@ -143,25 +144,28 @@ def quantiles_of(df: DataFrame, cols, probs, group: str | None = None, rest: boo
         for m, terms in models.items():
             n = sum(s * rows_of.get((i, x), 0) for x, s in terms) + extra.get((m, i), (0, 0))[1]
             if n:
-                pos = [p * (n - 1) for p in probs]
+                pos = positions(n)
                 for r in {f(x) for x in pos for f in (math.floor, math.ceil)}:
                     want[m, r] = (0, r)                      # (interval, rank within it)
         wanted.append(want)
         spans.append([(int(min(low)), int(max(top)))] if want else [])
         known.append({})
 
-    left = max((sum(n for (j, _), n in rows_of.items() if j == i) for i in range(len(names))), default=0)
+    left = sum(rows_of.values())
     while any(wanted):
         exact = left <= last_rows
         cuts = [_Cut(s, exact, buckets) if w else None for s, w in zip(spans, wanted)]
         found = (flat.where("_g is not null").mapInArrow(
             _count(cuts, exact), "column int, cell long, grp long, n long, lo long, hi long")
             .groupBy("column", "cell", "grp").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"),
-                                                  F.max("hi").alias("hi")).collect())
+                                                  F.max("hi").alias("hi")).toArrow())
+        rows_by = {}
+        for row in zip(*[c.to_pylist() for c in found.columns]):
+            rows_by.setdefault(row[0], []).append(row[1:])
         left = 0
         for i in range(len(names)):
             if wanted[i]:
-                rows = [r for r in found if r["column"] == i]
+                rows = rows_by.get(i, [])
                 left += _narrow(cuts[i], rows, models, {m: e for (m, j), e in extra.items() if j == i},
                                 exact, wanted, spans, known, i)
     out = {}
@@ -169,7 +173,7 @@ def quantiles_of(df: DataFrame, cols, probs, group: str | None = None, rest: boo
         out[m] = {}
         for i, x in enumerate(names):
             n = sum(s * rows_of.get((i, k), 0) for k, s in models[m]) + extra.get((m, i), (0, 0))[1]
-            out[m][x] = None if not n else [_between(known[i], m, p * (n - 1)) for p in probs]
+            out[m][x] = None if not n else [_between(known[i], m, p) for p in positions(n)]
     return out
 
 
@@ -183,10 +187,10 @@ def _narrow(cut, rows, models, extra, exact, wanted, spans, known, i) -> int:
     """Find the cells of the wanted ranks of column ``i``; cells of one key are
     answers, the others the next intervals. Returns the rows left in these."""
     cells = {}
-    for r in rows:
-        n, lo, hi = cells.get(r["cell"], ({}, r["lo"], r["hi"]))
-        n[r["grp"]] = r["n"]
-        cells[r["cell"]] = (n, min(lo, r["lo"]), max(hi, r["hi"]))
+    for cell, group, n, a, b in rows:
+        counts, lo, hi = cells.get(cell, ({}, a, b))
+        counts[group] = n
+        cells[cell] = (counts, min(lo, a), max(hi, b))
     virtual = {}
     for m, (key, n) in extra.items():
         at, cell = cut.cells(np.array([key], np.int64))
@@ -196,19 +200,19 @@ def _narrow(cut, rows, models, extra, exact, wanted, spans, known, i) -> int:
             counts, lo, hi = cells.get(cell, ({}, key, key))
             cells[cell] = (counts, min(lo, key), max(hi, key))
     order = sorted(cells)
-    owner = [int(cut.cells(np.array([cells[x][1]], np.int64))[1][0]) // cut.n for x in order]
-    following, left = {}, 0
-    still = {}
-    for m, terms in models.items():
-        mine = np.array([sum(s * cells[x][0].get(g, 0) for g, s in terms) + virtual.get(x, {}).get(m, 0)
+    keys = np.array([cells[x][1] for x in order], np.int64)
+    owner = cut.cells(keys)[1] // cut.n                      # rises with the cells
+    following, left, still, by_model = {}, 0, {}, {}
+    for (m, r), where in wanted[i].items():
+        by_model.setdefault(m, []).append((r, *where))
+    for m, wishes in by_model.items():
+        mine = np.array([sum(s * cells[x][0].get(g, 0) for g, s in models[m]) + virtual.get(x, {}).get(m, 0)
                          for x in order], np.int64)
-        for (mm, r), (span, rank) in wanted[i].items():
-            if mm != m:
-                continue
-            here = [k for k, o in enumerate(owner) if o == span]
-            total = np.cumsum(mine[here])
-            k = int(np.searchsorted(total, rank, "right"))
-            cell = order[here[k]]
+        total = np.r_[0, np.cumsum(mine)]
+        for r, span, rank in wishes:
+            first = int(np.searchsorted(owner, span))
+            k = int(np.searchsorted(total, total[first] + rank, "right")) - 1
+            cell = order[k]
             counts, lo, hi = cells[cell]
             if lo == hi:
                 known[i][m, r] = lo
@@ -216,7 +220,7 @@ def _narrow(cut, rows, models, extra, exact, wanted, spans, known, i) -> int:
             if cell not in following:
                 following[cell] = (lo, hi)
                 left += sum(counts.values())
-            still[m, r] = (cell, rank - (int(total[k - 1]) if k else 0))
+            still[m, r] = (cell, rank - int(total[k] - total[first]))
     numbers = {cell: k for k, cell in enumerate(sorted(following))}
     spans[i] = [following[x] for x in sorted(following)]
     wanted[i] = {key: (numbers[cell], rank) for key, (cell, rank) in still.items()}

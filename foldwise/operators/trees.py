@@ -1,39 +1,28 @@
-"""Tree models on MLlib (inventory M3-M6, M9, P5, E2, V9, V10, V12).
-
-The reference grows leaf-wise boosted trees with l1/l2 penalties and
-patience-based early stopping; MLlib's GBTRegressor grows depth-wise, has no
-l1/l2 and stops on ``validationTol``. The mapping below (num_leaves ->
-maxDepth = ceil(log2 leaves), learning rate -> stepSize, row/column sampling
--> subsamplingRate / featureSubsetStrategy, min child rows ->
-minInstancesPerNode) is therefore approximate, and so are the tree scores.
-Every fit is a distributed MLlib job; fold models are independent Spark jobs.
+"""Tree models (inventory M3-M6, M9, P5, E2, V9, V10, V12) on the shared-pass
+booster: leaf-wise trees with l1 / l2, row and column sampling and patience.
+
+All models of a call (folds, candidates, target variants, trees of a forest)
+are fitted in the same passes over the rows, see :mod:`.boost`.
 """
 
 from __future__ import annotations
 
 import hashlib
-import logging
-import math
-import os
-import tempfile
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.errors import IllegalArgumentException
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import c as named
-from ..session import ensure_checkpoint_dir
-from .cv import es_holdout
+from . import boost as B
+from .boost import ALL, Boosted, Job, Params
 from .quantiles import quantiles_of
-from .stats import medians, regression_metrics
+from .stats import regression_metrics
 
 # ---- fixed values ----
-QUICK_PARAMS = {"num_leaves": 31, "learning_rate": 0.05, "n_estimators": 500}
-SEARCH_DEFAULT = {"num_leaves": 31, "learning_rate": 0.05, "n_estimators": 3000}
+QUICK_PARAMS = {"num_leaves": 31, "learning_rate": 0.05, "n_estimators": 500, "patience": 50}
+SEARCH_DEFAULT = {"num_leaves": 31, "learning_rate": 0.05, "n_estimators": 3000, "patience": 50}
 SEARCH_CANDIDATES = 24
 SEARCH_SPACE = {
     "num_leaves": (7, 15, 31, 63, 127), "learning_rate": (0.01, 0.02, 0.03, 0.05, 0.1),
@@ -52,16 +41,10 @@ FOREST_PARAMS = {
     "rf": {"num_leaves": 63, "n_estimators": 300, "subsample": 0.7, "colsample": 0.7,
            "min_child_samples": 10},
     "xt": {"num_leaves": 63, "n_estimators": 300, "subsample": 0.8, "colsample": 0.6,
-           "min_child_samples": 5},
+           "min_child_samples": 5, "extra_trees": True},
 }
-FINAL_TREE_FACTOR, FINAL_MIN_TREES = 1.15, 50
 # ----------------------
 
-# MLlib runs one pass per boosting iteration; iterations above this cap are
-# cut (a documented approximation of the reference's 500 / 3000 rounds).
-MAX_ITER_CAP = 100
-FOREST_TREE_CAP = 100
-
 
 def search_candidates(n_candidates: int = SEARCH_CANDIDATES, seed: int = 42) -> list:
     """M4: the fixed default first, then settings whose value of each parameter
@@ -70,35 +53,18 @@ def search_candidates(n_candidates: int = SEARCH_CANDIDATES, seed: int = 42) ->
         digest = hashlib.md5(f"{seed}|{number}|{name}".encode()).hexdigest()
         return SEARCH_SPACE[name][int(digest, 16) % len(SEARCH_SPACE[name])]
     return [dict(SEARCH_DEFAULT)] + [
-        {"n_estimators": SEARCH_DEFAULT["n_estimators"]} | {x: value(i, x) for x in SEARCH_SPACE}
-        for i in range(1, n_candidates)]
-
-
-def mllib_kwargs(p: dict, n_rows: int, kind: str = "gbt") -> dict:
-    """Map a reference-style parameter dict to MLlib keyword arguments."""
-    depth = max(1, min(30, math.ceil(math.log2(max(2, p.get("num_leaves", 31))))))
-    mc = p.get("min_child_samples", max(3, n_rows // 30))
-    kw = {"maxDepth": depth, "minInstancesPerNode": int(max(1, mc)),
-          "subsamplingRate": float(p.get("subsample", 0.8)),
-          "featureSubsetStrategy": str(p.get("colsample", 0.8)),
-          "maxBins": int(8 if p.get("extra_trees") else p.get("max_bin", 32)), "seed": 42}
-    if kind == "gbt":
-        kw.update(maxIter=int(min(p.get("n_estimators", 100), MAX_ITER_CAP)),
-                  stepSize=float(p.get("learning_rate", 0.1)))
-    else:
-        kw.update(numTrees=int(min(p.get("n_estimators", 100), FOREST_TREE_CAP)),
-                  bootstrap=True)
-        if kind == "xt":
-            kw["maxBins"] = 8     # random-threshold stand-in: coarse candidate splits
-    return kw
-
-
-def make_estimator(kind: str, p: dict, n_rows: int, features_col="_fv", label="_yt"):
-    kw = mllib_kwargs(p, n_rows, kind)
-    if kind == "gbt":
-        return GBTRegressor(featuresCol=features_col, labelCol=label, predictionCol="_p", **kw)
-    return RandomForestRegressor(featuresCol=features_col, labelCol=label, predictionCol="_p",
-                                 **kw)
+        {"n_estimators": SEARCH_DEFAULT["n_estimators"], "patience": SEARCH_DEFAULT["patience"]}
+        | {x: value(i, x) for x in SEARCH_SPACE} for i in range(1, n_candidates)]
+
+
+def params_of(p: dict, early_stop: bool = True) -> Params:
+    """Settings by their usual names as booster settings."""
+    base = Params()
+    return Params(rounds=p.get("n_estimators", base.rounds), leaves=p.get("num_leaves", base.leaves),
+                  rate=p.get("learning_rate", base.rate), l1=p.get("l1", base.l1), l2=p.get("l2", base.l2),
+                  min_child=p.get("min_child_samples"), max_bin=p.get("max_bin", base.max_bin),
+                  colsample=p.get("colsample", base.colsample), subsample=p.get("subsample", base.subsample),
+                  patience=p.get("patience") if early_stop else None, extra_trees=p.get("extra_trees", False))
 
 
 def fold_medians(df: DataFrame, features, fold: str, k: int) -> dict:
@@ -107,194 +73,160 @@ def fold_medians(df: DataFrame, features, fold: str, k: int) -> dict:
     return {t: {x: q[0] if q else 0.0 for x, q in per.items()} for t, per in found.items()}
 
 
-def _filled_vector(df: DataFrame, features, med: dict) -> DataFrame:
-    filled = df.withColumns({x: F.coalesce(named(x).cast("double"), F.lit(med[x]))
-                             for x in features})
-    return VectorAssembler(inputCols=list(features), outputCol="_fv",
-                           handleInvalid="keep").transform(filled)
-
-
 @dataclass
 class TreeCVResult:
-    oof: DataFrame            # key, fold, y, pred (transformed-y inverse applied by caller)
-    models: dict              # fold -> fitted model
-    iters: list               # trees actually grown per fold
+    oof: DataFrame            # key, fold, y, pred (transformed-y inverse applied)
+    models: dict              # fold -> fitted model (-1: the final one, if asked for)
+    iters: list               # best round per fold
     r2: float | None
 
 
+def fit_jobs(df: DataFrame, features, labels, key: str, fold: str, jobs: list, n_rows=None,
+             passes: list | None = None, own: bool = False) -> list:
+    """Fit (fold, settings, kind, label) jobs in shared passes. Kinds: "gbt",
+    "final" (its rounds follow the others, M5), "rf" and "xt" (M6)."""
+    flat, owner = [], []
+    for i, (f, p, kind, y) in enumerate(jobs):
+        if kind in ("gbt", "final"):
+            mine = [Job(f, params_of(p, kind == "gbt"), y, kind == "final")]
+        else:
+            mine = B.forest(Job(f, replace(params_of(p), l1=0.0, l2=0.0), y), p["n_estimators"])
+        flat += mine
+        owner += [i] * len(mine)
+    found: list = [[] for _ in jobs]
+    for i, m in zip(owner, B.fit_models(df, features, labels, key, fold, flat, n_rows, passes, own) if flat else []):
+        found[i].append(m)
+    return [B.averaged(m) if jobs[i][2] in ("rf", "xt") else m[0] for i, m in enumerate(found)]
+
+
 def fold_fits(df: DataFrame, features, y: str, key: str, fold: str, k: int, params: dict,
-              kind: str = "gbt", folds=None, early_stop: bool = True, n_rows=None,
-              fills=None, inverse=None, y_raw: str | None = None,
-              parallelism: int = 5) -> TreeCVResult:
-    """M3/M6 + V6 + V7: one model per fold on its training rows (fold
-    medians filled), early-stopping rows held out inside the training part,
-    OOF predictions on the held-out fold."""
-    n = n_rows or df.count()
+              kind: str = "gbt", folds=None, n_rows=None, inverse=None, y_raw: str | None = None,
+              final: bool = False) -> TreeCVResult:
+    """M3/M6 + V6 + V7: one model per fold on its training rows (its own
+    medians and bins), early-stopping rows held out inside the training part,
+    OOF predictions on the held-out fold. ``final``: also the model of all
+    rows (M5), in the same passes."""
     folds = list(range(k)) if folds is None else list(folds)
-    med = fills or fold_medians(df, features, fold, k)
-    base = df.select(key, fold, F.col(y).cast("double").alias("_yt"),
-                     F.col(y_raw or y).cast("double").alias("_yraw"), *features).cache()
-    es = es_holdout(base, key, fold, k, n_rows=n) if (early_stop and kind == "gbt") else None
-    if es is not None:
-        es = es.cache()
-
-    def fit_one(f):
-        tr = base.filter(F.col(fold) != f)
-        est = make_estimator(kind, params, n)
-        if es is not None:
-            flags = es.filter(F.col("train_fold") == f).select(key, "es_val")
-            tr = tr.join(flags, key, "inner")
-            est = est.setValidationIndicatorCol("es_val")
-        return est.fit(_filled_vector(tr, features, med[f]))
-
-    # fold models are independent jobs: submit them concurrently (the
-    # scheduler interleaves their stages, as MLlib's ``parallelism`` does)
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(folds)))) as pool:
-        fitted = list(pool.map(fit_one, folds))
-    preds, models, iters = [], {}, []
-    for f, m in zip(folds, fitted):
-        models[f] = m
-        iters.append(len(m.trees))
-        va = _filled_vector(base.filter(F.col(fold) == f), features, med[f])
-        p = m.transform(va).select(key, fold, F.col("_yraw").alias("y"), F.col("_p").alias("pred"))
-        preds.append(p)
-    oof = preds[0]
-    for p in preds[1:]:
-        oof = oof.unionByName(p)
+    jobs = [(f, params, kind, 0) for f in folds]
+    if final:
+        jobs.append((ALL, params, "final" if kind == "gbt" else kind, 0))
+    found = fit_jobs(df, features, [y], key, fold, jobs, n_rows)
+    models = {j[0]: m for j, m in zip(jobs, found)}
+    return scored_folds(df, features, models, folds, key, fold, y_raw or y, inverse)
+
+
+def scored_folds(df: DataFrame, features, models: dict, folds, key: str, fold: str, y: str,
+                 inverse=None) -> TreeCVResult:
+    """OOF rows and their R2 of fitted fold models."""
+    rows = df.where(F.col(fold).isin(list(folds))).withColumn("_truth", named(y).cast("double"))
+    oof = B.predictions(rows, features, {f: models[f] for f in folds}, key, fold, keep=["_truth"]) \
+        .withColumnRenamed("_truth", "y")
     if inverse is not None:
         oof = oof.withColumn("pred", inverse(F.col("pred")))
     r = regression_metrics(oof, "y", "pred").first()
-    return TreeCVResult(oof, models, iters, float(r["r2"]) if r else None)
+    return TreeCVResult(oof, models, [len(models[f].trees) for f in folds], float(r["r2"]) if r else None)
 
 
 def fit_all(df: DataFrame, features, y: str, params: dict, kind: str = "gbt", n_rows=None,
-            fills: dict | None = None, n_trees: int | None = None):
-    """M5: final model on all rows (trees = max(50, mean best iteration x 1.15)
-    when given)."""
-    n = n_rows or df.count()
-    p = dict(params)
+            n_trees: int | None = None, key: str | None = None) -> Boosted:
+    """A model on all rows, every round of it."""
+    p = dict(params) | {"patience": None}
     if n_trees is not None:
         p["n_estimators"] = n_trees
-    med = fills or {x: 0.0 for x in features}
-    est = make_estimator(kind, p, n)
-    return est.fit(_filled_vector(df.withColumn("_yt", F.col(y).cast("double")), features, med))
-
-
-def final_tree_count(iters) -> int:
-    """M5: trees of the final fit, within the cap that the fit applies."""
-    wanted = int(np.mean(iters) * FINAL_TREE_FACTOR) if iters else 0
-    return min(MAX_ITER_CAP, max(FINAL_MIN_TREES, wanted))
-
-
-def split_counts(model, features, spark=None) -> DataFrame:
-    """M9: split-count importance read from the saved model's node table
-    (MLlib's own featureImportances are gain-based)."""
-    if spark is None:
-        from pyspark.sql import SparkSession
-        spark = SparkSession.getActiveSession()
-    base = ensure_checkpoint_dir(spark)
-    path = tempfile.mkdtemp(prefix="model-", dir=base) if base.startswith("/") else \
-        os.path.join(base, f"model-{id(model)}")
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(os.path.join(path, "data"))
-    idx = nodes.select(F.col("nodeData.split.featureIndex").alias("fi")).filter(F.col("fi") >= 0)
-    cnt = {r["fi"]: r["count"] for r in idx.groupBy("fi").count().collect()}
-    rows = [(x, int(cnt.get(i, 0))) for i, x in enumerate(features)]
-    return spark.createDataFrame(rows, "feature string, splits long")
-
-
-def shares_from_counts(counts: DataFrame) -> list:
+    parts = [F.coalesce(named(x).cast("string"), F.lit("\u0000")) for x in (*features, y)]
+    rows = df.withColumns({"_fold_": F.lit(0), "_key_": F.col(key).cast("string") if key
+                           else F.sha2(F.concat_ws("\u0001", *parts), 256)})
+    return fit_jobs(rows, features, [y], "_key_", "_fold_", [(ALL, p, kind, 0)], n_rows)[0]
+
+
+def shares_from_counts(counts: dict) -> list:
     """Split counts -> percent shares, 1 decimal, descending."""
-    rows = counts.collect()
-    tot = max(sum(r["splits"] for r in rows), 1.0)
-    out = [(r["feature"], round(r["splits"] / tot * 100.0, 1)) for r in rows]
-    return sorted(out, key=lambda t: -t[1])
+    tot = max(sum(counts.values()), 1.0)
+    return sorted([(x, round(n / tot * 100.0, 1)) for x, n in counts.items()], key=lambda t: -t[1])
 
 
-def screen_features(df: DataFrame, features, y: str, n_rows=None) -> list:
+def screen_features(df: DataFrame, features, y: str, n_rows=None, params: dict = SCREEN_PARAMS) -> list:
     """P5: only with > 10 features: a boosted model (200 trees, 31 leaves,
     lr .1, min leaf rows max(3, n/30)); keep split importance > 0; keep all
     when fewer than 2 survive."""
     if len(features) <= SCREEN_MIN_FEATURES:
         return list(features)
-    med = {x: v for x, v in _medians(df, features).items()}
-    m = fit_all(df, features, y, SCREEN_PARAMS, n_rows=n_rows, fills=med)
-    keep = [f for f, c in split_counts(m, features).collect() if c > 0]
+    counts = fit_all(df, features, y, params, n_rows=n_rows).split_counts()
+    keep = [x for x in features if counts[x] > 0]
     return keep if len(keep) >= 2 else list(features)
 
 
-def engineered_features(df: DataFrame, raw, derived_names, y: str, n_rows=None) -> list:
+def engineered_features(df: DataFrame, raw, derived_names, y: str, n_rows=None,
+                        params: dict = FE_PARAMS) -> list:
     """<= 15 derived candidates with split importance > 0 from a boosted
     model on raw + derived columns (200 trees, lr .05)."""
-    feats = list(raw) + list(derived_names)
-    med = _medians(df, feats)
-    m = fit_all(df, feats, y, FE_PARAMS, n_rows=n_rows, fills=med)
-    cnt = {r["feature"]: r["splits"] for r in split_counts(m, feats).collect()}
-    ranked = sorted([d for d in derived_names if cnt.get(d, 0) > 0], key=lambda d: -cnt[d])
+    counts = fit_all(df, list(raw) + list(derived_names), y, params, n_rows=n_rows).split_counts()
+    ranked = sorted([x for x in derived_names if counts[x] > 0], key=lambda x: -counts[x])
     return ranked[:FE_TOP_K]
 
 
-def _medians(df, feats):
-    return medians(df, feats)
+def trial_scores(df: DataFrame, features, arms: dict, y_raw: str, key: str, fold: str, n_rows=None,
+                 params: dict = SCREEN_PARAMS) -> dict:
+    """R2 on the raw target of 2-fold trials, all arms in the same passes.
+    ``arms``: {name: (target column, inverse of predictions or None)}; an arm
+    whose target has a non-finite value drops out (-inf)."""
+    cols = {name: f"_arm{i}" for i, name in enumerate(arms)}
+    d = df.withColumns({cols[name]: y for name, (y, _) in arms.items()})
+    bad = d.agg(*[F.max((F.col(x).isNull() | F.isnan(x) | (F.abs(x) == float("inf"))).cast("int")).alias(x)
+                  for x in cols.values()]).first()
+    fine = [name for name in arms if not bad[cols[name]]]
+    folds = range(HALVING_FOLDS)
+    jobs = [(f, params, "gbt", i) for i in range(len(fine)) for f in folds]
+    found = iter(fit_jobs(d, features, [cols[x] for x in fine], key, fold, jobs, n_rows) if fine else [])
+    scores = {}
+    for name in arms:
+        r2 = None
+        if name in fine:
+            models = {f: next(found) for f in folds}
+            r2 = scored_folds(d, features, models, folds, key, fold, y_raw, arms[name][1]).r2
+        scores[name] = r2 if r2 is not None and np.isfinite(r2) else -np.inf
+    return scores
 
 
 def choose_winsorize(df: DataFrame, features, y: str, key: str, fold: str, lo: float,
-                     hi: float, n_rows=None) -> tuple[bool, float, float]:
+                     hi: float, n_rows=None, params: dict = SCREEN_PARAMS) -> tuple[bool, float, float]:
     """V9: 2-fold boosted trial, clipped vs raw target, both scored on raw y;
     clip only when R^2 beats no-clip by > 0.003. Returns (clip?, r2_clip,
     r2_raw)."""
     from ..functions.expr import clip as clip_expr
-    d = df.withColumn("_yclip", clip_expr(y, lo, hi))
-    a = fold_fits(d, features, "_yclip", key, fold, HALVING_FOLDS, SCREEN_PARAMS,
-                  folds=range(HALVING_FOLDS), n_rows=n_rows, y_raw=y)
-    b = fold_fits(d, features, y, key, fold, HALVING_FOLDS, SCREEN_PARAMS,
-                  folds=range(HALVING_FOLDS), n_rows=n_rows, y_raw=y)
-    return (a.r2 is not None and b.r2 is not None and a.r2 > b.r2 + WINSOR_TRIAL_MARGIN,
-            a.r2, b.r2)
+    got = trial_scores(df, features, {"clip": (clip_expr(y, lo, hi), None), "raw": (named(y).cast("double"), None)},
+                       y, key, fold, n_rows, params)
+    return got["clip"] > got["raw"] + WINSOR_TRIAL_MARGIN, got["clip"], got["raw"]
 
 
 def choose_ytransform_trial(df: DataFrame, features, y: str, key: str, fold: str, arms: dict,
-                            n_rows=None) -> tuple[str, dict]:
+                            n_rows=None, params: dict = SCREEN_PARAMS) -> tuple[str, dict]:
     """arms = {name: YTransform}; 2-fold boosted trial per arm, R^2 on
     the original scale; the best arm wins, failures drop out."""
-    scores = {}
-    for name, t in arms.items():
-        try:
-            d = df.withColumn("_yt_arm", t.forward(y))
-            r = fold_fits(d, features, "_yt_arm", key, fold, HALVING_FOLDS, SCREEN_PARAMS,
-                          folds=range(HALVING_FOLDS), n_rows=n_rows, inverse=t.inverse, y_raw=y)
-            scores[name] = r.r2 if r.r2 is not None and np.isfinite(r.r2) else -np.inf
-        except IllegalArgumentException as e:      # a target that cannot be fitted
-            logging.getLogger(__name__).warning("y-transform %s drops out: %s", name, e)
-            scores[name] = -np.inf
-    best = max(scores, key=lambda k: scores[k])
-    return best, scores
+    scores = trial_scores(df, features, {name: (t.forward(y), t.inverse) for name, t in arms.items()},
+                          y, key, fold, n_rows, params)
+    return max(scores, key=lambda k: scores[k]), scores
 
 
 def halving(df: DataFrame, features, y: str, key: str, fold: str, k: int, candidates,
             n_rows=None, finalists: int = FINALISTS) -> tuple[int, list, TreeCVResult]:
-    """Every candidate on the first 2 folds; the best ``finalists`` (NaN
-    last) on all folds; returns (best index, qualifying scores, best result)."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    def prelim(c):
-        r = fold_fits(df, features, y, key, fold, k, c, folds=range(HALVING_FOLDS),
-                      n_rows=n_rows, parallelism=HALVING_FOLDS)
-        return r.r2 if r.r2 is not None and np.isfinite(r.r2) else -np.inf
-
-    if len(candidates) > 1 and k > HALVING_FOLDS:
-        # candidates are independent: their 2-fold fits run concurrently
-        with ThreadPoolExecutor(max_workers=min(4, len(candidates))) as pool:
-            q = list(pool.map(prelim, candidates))
-        order = list(np.argsort(q, kind="stable")[::-1][:finalists])
-    else:
-        q, order = [], list(range(len(candidates)))
-    with ThreadPoolExecutor(max_workers=max(1, min(3, len(order)))) as pool:
-        full = list(pool.map(lambda i: fold_fits(df, features, y, key, fold, k, candidates[i],
-                                                 n_rows=n_rows), order))
+    """Every candidate on the first 2 folds, in shared passes; the best
+    ``finalists`` (NaN last) on the other folds, their first two models kept;
+    returns (best index, qualifying scores, best result)."""
+    first = list(range(min(HALVING_FOLDS, k)))
+    jobs = [(f, c, "gbt", 0) for c in candidates for f in first]
+    found = iter(fit_jobs(df, features, [y], key, fold, jobs, n_rows))
+    models = [{f: next(found) for f in first} for _ in candidates]
+    q = [scored_folds(df, features, m, first, key, fold, y).r2 for m in models]
+    q = [x if x is not None and np.isfinite(x) else -np.inf for x in q]
+    order = [int(i) for i in np.argsort(q, kind="stable")[::-1][:finalists]]
+    rest = [f for f in range(k) if f not in first]
+    found = iter(fit_jobs(df, features, [y], key, fold, [(f, candidates[i], "gbt", 0) for i in order for f in rest],
+                          n_rows) if rest else [])
     best, best_r2, best_res = None, -np.inf, None
-    for i, r in zip(order, full):
-        if r.r2 is not None and r.r2 > best_r2:
-            best, best_r2, best_res = int(i), r.r2, r
+    for i in order:
+        full = models[i] | {f: next(found) for f in rest}
+        r = scored_folds(df, features, full, range(k), key, fold, y)
+        if best is None or (r.r2 is not None and r.r2 > best_r2):
+            best, best_r2, best_res = i, r.r2 if r.r2 is not None else -np.inf, r
     return best, q, best_res

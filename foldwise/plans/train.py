@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from ..functions.expr import c as named
 from ..functions.expr import composite_key, level, to_number
 from ..operators import blend as B
+from ..operators import boost
 from ..operators import longfit as LF
 from ..operators import select as S
 from ..operators import stats as A
@@ -33,6 +34,7 @@ from ..operators import trees as TR
 from ..operators.cv import SMALL_N_OOF, assign_folds, fold_count
 from ..operators.encode import (date_part_exprs, detect_composite_key, onehot_exprs,
                                 timestamp_part_exprs)
+from ..operators.mlp import EPOCHS_QUICK
 from ..operators.post import PostProcess, YTransform, choose_ytransform_by_skew, fit_postprocess
 from ..session import cut_lineage, ensure_checkpoint_dir
 from .fitted import FittedPlan
@@ -45,7 +47,6 @@ MLP_MIN_ROWS = 30
 FE_MIN_ROWS = 50
 FE_MAX_RAW = 12
 # ----------------------
-MLP_EPOCHS = 60      # Spark build default (each epoch is one distributed pass)
 
 
 @dataclass
@@ -65,7 +66,7 @@ def _row_key(df: DataFrame, cols) -> F.Column:
 def train(df: DataFrame, target: str | None = None, mode: str = "quick",
           key: str | None = None, models=("ridge", "gbt", "kernel", "mlp"),
           work_dir: str | None = None,
-          mlp_epochs: int = MLP_EPOCHS) -> TrainResult:
+          mlp_epochs: int = EPOCHS_QUICK, tree_rounds: int | None = None) -> TrainResult:
     spark = df.sparkSession
     if work_dir is None:     # model folders live in the shared checkpoint folder
         base = ensure_checkpoint_dir(spark)
@@ -152,7 +153,7 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
     # ---- E1/E2 derived features (thorough, >= 50 rows) ----
     recipe = []
     if mode == "thorough" and n >= FE_MIN_ROWS and len(feats) >= 1:
-        enc, recipe, feats = _derived_features(enc, feats, target, st, n)
+        enc, recipe, feats = _derived_features(enc, feats, target, st, n, tree_rounds)
 
     # ---- folds ----
     oof_eval = mode == "thorough" or n < SMALL_N_OOF
@@ -181,7 +182,7 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
     if n_changed and n >= WINSOR_MIN_TRAIN_ROWS and k_eff >= 2 and feats:
         lo_all, hi_all = wlo.get(-1), whi.get(-1)
         clip_ok, _, _ = TR.choose_winsorize(enc, feats, target, key, "fold", lo_all, hi_all,
-                                            n_rows=n)
+                                            n_rows=n, params=_trial(TR.SCREEN_PARAMS, tree_rounds))
         if not clip_ok:
             winsor_skipped, n_changed = True, 0
             Lw = L.withColumn("_yw", F.col(target))
@@ -192,7 +193,8 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
         if Lw.agg(F.min("_yraw")).first()[0] >= 0:
             arms["log1p"] = YTransform("log1p")
         arms["yeo-johnson"] = YTransform("yeo-johnson", A.yeo_johnson_lambda(fit_rows, "y"))
-        best, _ = TR.choose_ytransform_trial(enc, feats, target, key, "fold", arms, n_rows=n)
+        best, _ = TR.choose_ytransform_trial(enc, feats, target, key, "fold", arms, n_rows=n,
+                                              params=_trial(TR.SCREEN_PARAMS, tree_rounds))
         yt = arms[best]
     else:
         yt = choose_ytransform_by_skew(fit_rows, "y")
@@ -243,10 +245,8 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
     tree_kinds = [m for m in models if m in ("gbt", "rf", "xt")]
     if mode == "thorough":
         tree_kinds += [m for m in ("rf", "xt") if m not in tree_kinds]
-    for kind in tree_kinds:
-        if not model_feats:
-            break
-        cands[kind] = _tree_long(Lc, model_feats, key, kind, yt, n, work_dir)
+    if model_feats and tree_kinds:
+        cands.update(_trees_long(Lc, model_feats, key, tree_kinds, yt, n, tree_rounds))
     scores = []
     for name, c in cands.items():
         r = A.regression_metrics(c["oof"], "y", "pred").first()
@@ -322,7 +322,11 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
     return TrainResult(plan_obj, candidates, final_oof, warnings, summary)
 
 
-def _derived_features(enc: DataFrame, feats, target: str, st, n: int):
+def _trial(p: dict, rounds: int | None) -> dict:
+    return p | {"n_estimators": min(rounds, p["n_estimators"])} if rounds else p
+
+
+def _derived_features(enc: DataFrame, feats, target: str, st, n: int, rounds: int | None):
     """E1 + E2: candidates over <= 12 raw features (the 12 with the largest
     |r| with the target when there are more), products of pairs, squares,
     sign(a) when a takes both signs; drop non-finite or constant ones (one
@@ -350,7 +354,7 @@ def _derived_features(enc: DataFrame, feats, target: str, st, n: int):
         target, *[F.col(f"`{c}`").alias(f"_r{i}") for i, c in enumerate(raw)],
         *[F.col(f"`{nm}`").alias(safe[nm]) for nm in safe])
     kept_safe = TR.engineered_features(tmp, [f"_r{i}" for i in range(len(raw))],
-                                       list(safe.values()), target, n_rows=n)
+                                       list(safe.values()), target, n_rows=n, params=_trial(TR.FE_PARAMS, rounds))
     back = {v: k for k, v in safe.items()}
     kept = [back[s] for s in kept_safe]
     recipe = [r for r in ok if r[0] in kept]
@@ -363,59 +367,40 @@ def _shares(coef: dict) -> list:
                   key=lambda t: -t[1])
 
 
-def _tree_long(L: DataFrame, feats, key: str, kind: str, yt, n: int, work_dir: str) -> dict:
-    """Trees on the long frame: model m fits its train rows (per-model
-    medians filled), predicts its validation rows; the final model (m = -1)
-    is saved for scoring."""
-    from concurrent.futures import ThreadPoolExecutor
-    params = TR.QUICK_PARAMS if kind == "gbt" else TR.FOREST_PARAMS[kind]
-    q = LF.per_model_quantiles(L, feats, [0.5])
-    med = {m: {x: (v[x][0] if v[x] and v[x][0] is not None else 0.0) for x in feats}
-           for m, v in q.items()}
-    models = sorted(med)
+def _trees_long(L: DataFrame, feats, key: str, kinds, yt, n: int, rounds: int | None) -> dict:
+    """Trees on the long frame, all kinds and models in the same passes: model
+    m learns from its own copies of the training rows and predicts its
+    validation rows; the final model (m = -1) and the fold bag go to the plan."""
+    models = sorted(r[0] for r in L.select(LF.MODEL).distinct().collect())
     safe = [f"_f{i}" for i in range(len(feats))]
-    base = L.select(LF.MODEL, LF.VAL, key, "_yraw", F.col("_yfit").alias("_yt"),
-                    *[F.col(f"`{x}`").alias(s) for x, s in zip(feats, safe)])
-
-    def fit(m):
-        tr = base.filter((F.col(LF.MODEL) == m) & ~F.col(LF.VAL))
-        est = TR.make_estimator(kind, params, n)
-        return est.fit(TR._filled_vector(tr, safe, {s: med[m][x] for x, s in zip(feats, safe)}))
-
-    with ThreadPoolExecutor(max_workers=min(5, len(models))) as pool:
-        fitted = dict(zip(models, pool.map(fit, models)))
-    preds = None
-    for m in models:
-        if m == -1:
-            continue
-        va = base.filter((F.col(LF.MODEL) == m) & F.col(LF.VAL))
-        p = fitted[m].transform(TR._filled_vector(va, safe, {s: med[m][x]
-                                                             for x, s in zip(feats, safe)}))
-        p = p.select(key, F.lit(m).alias("fold"), F.col("_yraw").alias("y"),
-                     yt.inverse("_p").alias("pred"))
-        preds = p if preds is None else preds.unionByName(p)
-    final = fitted[-1]
-    path = os.path.join(work_dir, f"{kind}_model")
-    final.write().overwrite().save(path)
-    bag = []
-    if kind == "gbt":      # M5: fold models kept as an equal-weight bag (B6)
-        for m in models:
-            if m >= 0:
-                p = os.path.join(work_dir, f"{kind}_fold{m}")
-                fitted[m].write().overwrite().save(p)
-                bag.append({"type": kind, "path": p, "features": list(feats)})
-    counts = TR.split_counts(final, feats)
-    imp = TR.shares_from_counts(counts)
-    if preds is None:       # no split: score the training rows
-        tr = base.filter(F.col(LF.MODEL) == -1)
-        preds = final.transform(TR._filled_vector(tr, safe, {s: med[-1][x]
-                                                              for x, s in zip(feats, safe)})) \
-            .select(key, F.lit(0).alias("fold"), F.col("_yraw").alias("y"),
-                    yt.inverse("_p").alias("pred"))
-    model = {"type": kind, "path": path, "features": list(feats), "feature_cols": safe}
-    if bag:
-        model["bag"] = {"type": "bag", "members": bag}
-    return dict(oof=preds, type=kind, train_r2=None, importance=imp, model=model)
+    base = L.select(LF.MODEL, LF.VAL, F.col(key).alias("_k"), "_yraw", F.col("_yfit").alias("_yt"),
+                    *[named(x).alias(s) for x, s in zip(feats, safe)])
+    trains = base.where(~F.col(LF.VAL))
+    jobs = []
+    for kind in kinds:
+        p = dict(TR.QUICK_PARAMS if kind == "gbt" else TR.FOREST_PARAMS[kind])
+        p["n_estimators"] = rounds or p["n_estimators"]
+        jobs += [(m, p, "final" if kind == "gbt" and m == -1 and len(models) > 1 else kind, 0) for m in models]
+    found = iter(TR.fit_jobs(trains, safe, ["_yt"], "_k", LF.MODEL, jobs, n, own=True))
+    out = {}
+    for kind in kinds:
+        fitted = {m: next(found) for m in models}
+        # the training rows are scored where there is no split
+        held = base.where(F.col(LF.VAL)) if len(models) > 1 else base
+        oof = boost.predictions(held, safe, fitted, "_k", LF.MODEL, keep=["_yraw"])
+        oof = oof.select(F.col("_k").alias(key), F.greatest(F.col(LF.MODEL), F.lit(0)).alias("fold"),
+                         F.col("_yraw").alias("y"), yt.inverse("pred").alias("pred"))
+        tr = boost.predictions(trains.where(F.col(LF.MODEL) == -1), safe, fitted, "_k", LF.MODEL, keep=["_yraw"])
+        r = A.regression_metrics(tr.withColumn("pred", yt.inverse("pred")), "_yraw", "pred").first()
+        for m in fitted.values():
+            m.features = list(feats)
+        final = {"type": "trees", "model": fitted[-1].to_dict()}
+        if kind == "gbt" and len(models) > 1:      # M5: fold models as an equal-weight bag (B6)
+            final["bag"] = {"type": "bag", "members": [{"type": "trees", "model": fitted[m].to_dict()}
+                                                       for m in models if m >= 0]}
+        out[kind] = dict(oof=oof, type=kind, train_r2=float(r["r2"]) if r and r["n_rows"] else None,
+                         importance=TR.shares_from_counts(fitted[-1].split_counts()), model=final)
+    return out
 
 
 def predict(plan: FittedPlan, df: DataFrame) -> DataFrame:

@@ -40,24 +40,24 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+#: Folders chosen here, by application, where the session names none.
+_CHOSEN: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster it must be set to a folder that all executors share. Only a
-    local master falls back to a fresh local folder (tests, local runs)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(
-            spark.sparkContext, "getCheckpointDir") else None
+    local master falls back to a fresh local folder (tests, local runs); the
+    setting itself can't be changed in a running session, so the choice is
+    kept here."""
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or _CHOSEN.get(sc.applicationId)
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        d = tempfile.mkdtemp(prefix="foldwise-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
-        pass
+        d = _CHOSEN[sc.applicationId] = tempfile.mkdtemp(prefix="foldwise-ckpt-", dir="/tmp")
+    sc.setCheckpointDir(d)
     return d
 
 
