@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,27 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether every row of ``df`` is one row of files, at most filtered."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName().startswith(("Relation", "LogicalRelation"))
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column that tells all rows apart and never changes: the
+    file and place of a row of Parquet files; other tables are written with a
+    number."""
+    if _is_scan(df):
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        try:
+            return df.select("*", place.alias(name))
+        except AnalysisException:        # files of another format have no places
+            pass
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import ascii_lower, fresh, partitions, written
+from .base import ascii_lower, fresh, numbered, partitions, written
 
 KEY = ["_sha", "_len", "_check"]
 
@@ -96,12 +96,11 @@ def drop_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", keep
                 levels: int | None = None, step: int = 3) -> DataFrame:
     """``docs`` with exactly one row of each class of equal texts, all columns
     kept; null and tie rules as in :func:`exact_dedup`. Rows of one class that
-    carry the same identifier are told apart by a row number, which is written
-    with the rows and so never changes."""
+    carry the same identifier are told apart by :func:`numbered`."""
     levels = levels or _levels(docs)
     row = fresh(docs, "_row")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    order = _order(ident, keep, (-F.col(row)).alias("row"))
+    rows = numbered(docs, row)
+    order = _order(ident, keep, F.col(row).alias("row"))
     up, _ = tree(digest_run(rows, text, order, F.col(row), levels), levels, step)
-    stay = up[-1].select((-F.col("_keep.row")).alias(row))
+    stay = up[-1].select(F.col("_keep.row").alias(row))
     return rows.join(stay, row, "left_semi").select(*docs.columns)

@@ -37,10 +37,10 @@ BAND = 1.1
 ASKERS = 1024
 #: Up to so many identifiers are broadcast (16 bytes each), more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Tokens looked at together for local frequencies, and the count that makes one worth telling.
-CHUNK, LOCAL = 2_000_000, 4
-#: Frequent tokens kept at most; any list gives right results, it only sets the order.
-FREQUENT = 200_000
+#: Tokens of different sets looked at together for local frequencies, and the
+#: count that makes one worth telling: tokens of many sets are told by many
+#: chunks. Any counts give right results, they only set the order.
+CHUNK, LOCAL = 2_000_000, 2
 
 
 def _chunk(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +54,7 @@ def _scan(size: int) -> Callable:
     that is frequent among the documents looked at together."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = None
-        found, held = [], 0
+        found, held, seen = [], 0, set()
 
         def frequent(kind):
             tokens, df = _chunk(found)
@@ -71,11 +71,13 @@ def _scan(size: int) -> Callable:
                 for s in shingle_sets(raw, offs, i, j, size):
                     n.append(len(s))
                     cls.append(set_hash(s) if len(s) else None)
-                    found.append(s)
-                    held += len(s)
+                    if cls[-1] not in seen:
+                        seen.add(cls[-1])
+                        found.append(s)
+                        held += len(s)
                 if held >= CHUNK:
                     yield frequent(kind)
-                    found, held = [], 0
+                    found, held, seen = [], 0, set()
             none = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()),
                                               pa.array(cls, pa.int64()), none, none], names)
@@ -257,12 +259,10 @@ class _Join:
         self.classes = written(self.parts.groupBy("cls").agg(F.min("_id").alias("_id"), F.max("n").alias("n")),
                                "classes")
         often = (rows.where("token is not null").groupBy("token").agg(F.sum("df").alias("df"))
-                 .orderBy(F.desc("df"), "token").limit(FREQUENT).collect())
-        self.level = np.zeros(CELLS, np.uint8)
-        if often:
-            cell = np.array([r["token"] for r in often], np.int64).astype(np.uint64) & np.uint64(CELLS - 1)
-            df = np.array([r["df"] for r in often], float)
-            np.maximum.at(self.level, cell.astype(np.int64), np.log2(df).astype(np.uint8) + 1)
+                 .groupBy(F.col("token").bitwiseAND(CELLS - 1).alias("cell"))
+                 .agg((F.floor(F.log2(F.max("df"))) + 1).cast("short").alias("level")).toArrow())
+        self.level = np.zeros(CELLS, np.uint8)               # at most a row a cell
+        self.level[often["cell"].to_numpy()] = often["level"].to_numpy()
 
     def postings(self) -> None:
         total = self.classes.agg(F.sum("n")).collect()[0][0] or 0
@@ -318,7 +318,10 @@ class _Join:
         many = union.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("tok")
         self.union = written(union.join(many, "tok").join(held, "comp"), "unions")
         a, b = self.union.toDF("own", "tok", "alo", "ahi", "ac"), self.union.toDF("other", "tok", "blo", "bhi", "bc")
-        met = a.join(b, "tok").where("ac < bc or (ac = bc and own < other)")
+        near = F.col("tok") == F.col("tok_")
+        for lo, hi in (("alo", "bhi"), ("blo", "ahi")):      # sizes that can be similar
+            near &= F.col(hi) >= F.ceil(F.col(lo) * (self.percent / 100) - 1e-9)
+        met = a.join(b.withColumnRenamed("tok", "tok_"), near & F.expr("ac < bc or (ac = bc and own < other)"))
         met = met.groupBy("own", "other", "ac").agg(
             F.count(F.lit(1)).alias("m"), *[(F.min if c.endswith("lo") else F.max)(c).alias(c)
                                             for c in ("alo", "ahi", "blo", "bhi")])

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import WORD, fresh, partitions, word_count, written
+from .base import WORD, fresh, numbered, partitions, word_count, written
 
 SALTS = 32
 KEY_HEX = 15
@@ -123,9 +123,9 @@ def mixed_rows(docs: DataFrame, ident: str = "doc_id", text: str = "text", **par
     """The documents of the mix, all columns kept: a document taken twice gives
     two rows, one not taken gives none, and each is whole (``whole=True``).
     Documents without words have nothing to take and give none. Rows of equal
-    identifier are told apart by a written row number."""
+    identifier are told apart by :func:`numbered`."""
     row, times, copy = fresh(docs, "_row"), fresh(docs, "_times"), fresh(docs, "_copy")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows = numbered(docs, row)
     plan = mix(rows, ident, text, whole=True, carry=[row], **params)
     plan = plan.where("taken > 0").select(row, (F.col("taken") / F.col("size")).cast("int").alias(times))
     copies = F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)
