@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.llm import exact_dedup, jaccard, mixing, packing, quality
-from foldwise.llm.base import fresh, written
+from foldwise.llm.base import fresh, numbered, written
 from foldwise.llm.queries import word_tokenizer
 from foldwise.session import load
 
@@ -37,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each component of similar documents, the one with the smallest doc_id
     (null last, then the first row); documents without words all stay."""
     row = fresh(docs, "_row")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows = numbered(docs, row)
     key = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     found = jaccard.similarity_components(rows.select(key.alias("_key"), "text"), ident="_key")
     stay = found.where(F.col("_key") == F.col("component_id")).select(F.col("_key.row").alias(row))
