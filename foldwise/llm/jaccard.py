@@ -41,6 +41,8 @@ BROADCAST_ROWS = 500_000
 #: count that makes one worth telling: tokens of many sets are told by many
 #: chunks. Any counts give right results, they only set the order.
 CHUNK, LOCAL = 2_000_000, 2
+#: Rows of a batch of tokens.
+SENT = 16_384
 
 
 def _chunk(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,9 +60,11 @@ def _scan(size: int) -> Callable:
 
         def frequent(kind):
             tokens, df = _chunk(found)
-            empty = pa.nulls(len(tokens), kind)
-            none = pa.nulls(len(tokens), pa.int64())
-            return pa.RecordBatch.from_arrays([empty, none, none, pa.array(tokens), pa.array(df)], names)
+            for i in range(0, len(tokens), SENT):
+                some = tokens[i:i + SENT]
+                none = pa.nulls(len(some), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), kind), none, none, pa.array(some),
+                                                  pa.array(df[i:i + SENT])], names)
 
         for batch in batches:
             kind = batch.column(0).type
@@ -76,13 +80,13 @@ def _scan(size: int) -> Callable:
                         found.append(s)
                         held += len(s)
                 if held >= CHUNK:
-                    yield frequent(kind)
+                    yield from frequent(kind)
                     found, held, seen = [], 0, set()
             none = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()),
                                               pa.array(cls, pa.int64()), none, none], names)
         if found:
-            yield frequent(kind)
+            yield from frequent(kind)
     return run
 
 
