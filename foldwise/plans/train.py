@@ -34,7 +34,7 @@ from ..operators import trees as TR
 from ..operators.cv import SMALL_N_OOF, assign_folds, fold_count
 from ..operators.encode import (date_part_exprs, detect_composite_key, onehot_exprs,
                                 timestamp_part_exprs)
-from ..operators.mlp import EPOCHS_QUICK
+from ..operators.mlp import EPOCHS_QUICK, EPOCHS_SEARCH
 from ..operators.post import PostProcess, YTransform, choose_ytransform_by_skew, fit_postprocess
 from ..session import cut_lineage, ensure_checkpoint_dir
 from .fitted import FittedPlan
@@ -66,7 +66,7 @@ def _row_key(df: DataFrame, cols) -> F.Column:
 def train(df: DataFrame, target: str | None = None, mode: str = "quick",
           key: str | None = None, models=("ridge", "gbt", "kernel", "mlp"),
           work_dir: str | None = None,
-          mlp_epochs: int = EPOCHS_QUICK, tree_rounds: int | None = None) -> TrainResult:
+          mlp_epochs: int | None = None, tree_rounds: int | None = None) -> TrainResult:
     spark = df.sparkSession
     if work_dir is None:     # model folders live in the shared checkpoint folder
         base = ensure_checkpoint_dir(spark)
@@ -238,10 +238,14 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
         if n < MLP_MIN_ROWS:
             skipped["mlp"] = "min_rows"
         else:
-            from ..operators.mlp import mlp_long
-            oof, mmodel = mlp_long(Lc, model_feats, key, max_epochs=mlp_epochs)
+            from ..operators.mlp import mlp_long, search_specs
+            search = mode == "thorough"
+            oof, mmodel, own = mlp_long(Lc, model_feats, key, specs=search_specs() if search else None,
+                                        max_epochs=mlp_epochs or (EPOCHS_SEARCH if search else EPOCHS_QUICK),
+                                        inverse=yt.inverse)
+            fitted = A.regression_metrics(own.withColumn("pred", yt.inverse("pred")), "y", "pred").first()
             cands["mlp"] = dict(oof=oof.withColumn("pred", yt.inverse("pred")),
-                                train_r2=None, type="mlp", model=mmodel, importance=[])
+                                train_r2=fitted["r2"], type="mlp", model=mmodel, importance=[])
     tree_kinds = [m for m in models if m in ("gbt", "rf", "xt")]
     if mode == "thorough":
         tree_kinds += [m for m in ("rf", "xt") if m not in tree_kinds]
