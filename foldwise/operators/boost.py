@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import c as named
 from ..session import ensure_checkpoint_dir, ship_package
-from .cv import ES_MIN_TRAIN_ROWS, ES_SPLIT_SEED, ES_VAL_FRAC
+from .cv import stop_masks
 from .quantiles import quantiles_of
 
 # ---- fixed values ----
@@ -443,37 +443,6 @@ def _advanced(requests: list[dict]) -> Callable:
     return run
 
 
-def stop_masks(df: DataFrame, key: str, fold: str, folds, own: bool = False) -> Column:
-    """V6 as a cut: bit f of the mask is set for the early-stopping rows of the
-    model without fold f (``own``: of the model on fold f): a tenth of its
-    training rows, those of the smallest md5 numbers. The cut is one order
-    statistic a fold, found from counts."""
-    def trains(f):
-        return (F.col(fold) == f) if own else (F.col(fold) != f)
-
-
-    def number(f):
-        digest = F.md5(F.concat(F.lit(f"{ES_SPLIT_SEED + f}|"), F.col(key).cast("string")))
-        return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")      # 52 bits: exact in a double
-
-    def last(n):
-        held = max(1, round(n * ES_VAL_FRAC))
-        return [held - 1] if n >= ES_MIN_TRAIN_ROWS and n - held >= 10 else [-1]
-
-    wanted = {f"h{f}": F.when(trains(f), number(f)) for f in folds if f >= 0}
-    if not wanted:
-        return F.lit(0).cast("long")
-    cuts = quantiles_of(df, wanted, lambda n: [max(0, x) for x in last(n)])[ALL]
-    n_of = df.groupBy(fold).count().collect()
-    total = sum(r["count"] for r in n_of)
-    size = {r[fold]: r["count"] for r in n_of}
-    mask = F.lit(0).cast("long")
-    for f in folds:
-        if f >= 0 and last(size.get(f, 0) if own else total - size.get(f, 0))[0] >= 0:
-            mask = mask + F.when(trains(f) & (number(f) <= cuts[f"h{f}"][0]), F.lit(1 << f)).otherwise(0)
-    return mask.cast("long")
-
-
 def fit_models(df: DataFrame, features, labels, key: str, fold: str, jobs: list[Job],
                n_rows: int | None = None, passes: list | None = None, own: bool = False) -> list[Boosted]:
     """Fit every job in shared passes. ``labels``: target columns; a row whose

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_rank
+from .quantiles import ALL, quantiles_of
 from .stats import quantiles
 
 # ---- fixed values ----
@@ -119,20 +120,46 @@ def fold_count(n_rows: int, oof: bool) -> int:
     return 5
 
 
-def es_holdout(df: DataFrame, key: str, fold: str, k: int, out: str = "es_val",
-               n_rows=None) -> DataFrame:
+def stop_masks(df: DataFrame, key: str, fold: str, folds, own: bool = False) -> Column:
+    """V6 as a cut: bit f of the mask is set for the early-stopping rows of the
+    model without fold f (``own``: of the model on fold f): a tenth of its
+    training rows, those of the smallest md5 numbers. The cut is one order
+    statistic a fold, found from counts and written into the plan, so no row is
+    copied, ranked or joined; rows of one key stay on one side of it."""
+    def trains(f):
+        return (F.col(fold) == f) if own else (F.col(fold) != f)
+
+    def number(f):
+        digest = F.md5(F.concat(F.lit(f"{ES_SPLIT_SEED + f}|"), F.col(key).cast("string")))
+        return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")      # 52 bits: exact in a double
+
+    def last(n):
+        held = max(1, round(n * ES_VAL_FRAC))
+        return [held - 1] if n >= ES_MIN_TRAIN_ROWS and n - held >= 10 else [-1]
+
+    wanted = {f"h{f}": F.when(trains(f), number(f)) for f in folds if f >= 0}
+    if not wanted:
+        return F.lit(0).cast("long")
+    cuts = quantiles_of(df, wanted, lambda n: [max(0, x) for x in last(n)])[ALL]
+    n_of = df.groupBy(fold).count().collect()
+    total = sum(r["count"] for r in n_of)
+    size = {r[fold]: r["count"] for r in n_of}
+    mask = F.lit(0).cast("long")
+    for f in folds:
+        if f >= 0 and last(size.get(f, 0) if own else total - size.get(f, 0))[0] >= 0:
+            mask = mask + F.when(trains(f) & (number(f) <= cuts[f"h{f}"][0]), F.lit(1 << f)).otherwise(0)
+    return mask.cast("long")
+
+
+def es_holdout(df: DataFrame, key: str, fold: str, k: int, out: str = "es_val") -> DataFrame:
     """V6: early-stopping split inside each fold's training part: for the
-    model of fold f, round-half-even 10 % (>= 1 row) of its training rows, chosen by md5
-    order with seed ES_SPLIT_SEED + f; only when the training part has >= 20
-    rows and >= 10 remain. Long form: (key, train_fold, es_val)."""
-    ex = train_copies(df.select(key, fold), fold, k, out="train_fold")
-    seed = F.lit(ES_SPLIT_SEED) + F.col("train_fold")
-    ranked = hash_rank(ex, key, seed, partition_cols=["train_fold"], out="_pos",
-                       n_rows=n_rows)
-    n = F.col("_pos_n")
-    n_val = F.greatest(F.lit(1), F.bround(n * ES_VAL_FRAC, 0)).cast("long")
-    ok = (n >= ES_MIN_TRAIN_ROWS) & ((n - n_val) >= 10)
-    return ranked.withColumn(out, ok & (F.col("_pos") < n_val)).drop("_pos", "_pos_n")
+    model of fold f, round-half-even 10 % (>= 1 row) of its training rows, the
+    first in md5 order with seed ES_SPLIT_SEED + f; only when the training part
+    has >= 20 rows and >= 10 remain. Long form: (key, train_fold, es_val), made
+    from the masks row by row, without a shuffle."""
+    held = df.select(key, fold, stop_masks(df, key, fold, range(k)).alias("_mask"))
+    long = train_copies(held, fold, k, out="train_fold")
+    return long.withColumn(out, F.getbit("_mask", "train_fold") == 1).drop("_mask")
 
 
 def train_copies(df: DataFrame, fold: str, k: int, out: str = "train_fold",

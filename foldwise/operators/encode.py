@@ -17,6 +17,7 @@ from ..functions.expr import sql_text
 from ..functions.expr import (DATE_PART_NAMES, KEY_PREFIX, NAN_LEVEL, composite_key,
                               datetime_parts, derived, derived_name, finite_or_null, level,
                               timestamp_parts)
+from .select import distinct_counts
 
 # ---- fixed values ----
 TARGET_SMOOTHING = 20.0
@@ -111,21 +112,21 @@ def apply_target_encoder(df: DataFrame, col: str, enc: DataFrame, out: str | Non
 
 
 def key_candidates_stats(df: DataFrame, cols) -> DataFrame:
-    """J4 statistics in one aggregate: non-null count, distinct non-null,
-    all integral, max |v|."""
+    """J4 statistics in one aggregate: non-null count, all integral, max |v|,
+    least and greatest."""
     aggs = []
     for i, x in enumerate(cols):
         v = finite_or_null(named(x).cast("double"))
-        aggs += [F.count(v).alias(f"c{i}"), F.count_distinct(v).alias(f"d{i}"),
-                 F.min((v == F.round(v, 0)).cast("int")).alias(f"w{i}"),
-                 F.max(F.abs(v)).alias(f"a{i}")]
+        aggs += [F.count(v).alias(f"c{i}"), F.min((v == F.round(v, 0)).cast("int")).alias(f"w{i}"),
+                 F.max(F.abs(v)).alias(f"a{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
     return df.agg(F.count(F.lit(1)).alias("_n"), *aggs)
 
 
 def detect_composite_key(df: DataFrame, cols, n_rows: int | None = None):
     """candidates = numeric, >= 2 distinct, distinct/n <= .05, integral,
     |v| < 1e15; only 1 or 2 candidates; groups of the combined key >= 2 and
-    <= n/2. Returns (key name, source cols, n groups) or None."""
+    <= n/2. Returns (key name, source cols, n groups) or None. Distinct values
+    are counted only of columns that the plain statistics leave in."""
     cols = list(cols)
     if not cols:
         return None
@@ -133,16 +134,10 @@ def detect_composite_key(df: DataFrame, cols, n_rows: int | None = None):
     n = r["_n"] if n_rows is None else n_rows
     if n < KEY_MIN_ROWS:
         return None
-    cand = []
-    for i, x in enumerate(cols):
-        if not r[f"c{i}"]:
-            continue
-        dn = r[f"d{i}"]
-        if dn < 2 or dn / n > KEY_MAX_LEVEL_FRAC:
-            continue
-        if r[f"w{i}"] != 1 or (r[f"a{i}"] is not None and r[f"a{i}"] >= KEY_ABS_LIMIT):
-            continue
-        cand.append(x)
+    left = {x: finite_or_null(named(x).cast("double")) for i, x in enumerate(cols)
+            if r[f"c{i}"] and r[f"w{i}"] == 1 and r[f"a{i}"] < KEY_ABS_LIMIT and r[f"lo{i}"] < r[f"hi{i}"]}
+    counts = {row["column"]: row["n"] for row in distinct_counts(df, left).collect()} if left else {}
+    cand = [x for x in cols if x in counts and counts[x] >= 2 and counts[x] / n <= KEY_MAX_LEVEL_FRAC]
     if not cand or len(cand) > KEY_MAX_COLS:
         return None
     groups = df.select(composite_key(cand).alias("k")).distinct().count()

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import c as named
-from ..functions.expr import sql_text
 from ..functions.expr import (NAN_LEVEL, datetime_parts, datetime_valid, finite_or_null, is_nonfinite,
                               level, to_number)
 from ..functions.keys import md5_order
@@ -29,6 +28,7 @@ ONEHOT_MAX_LEVELS = 10
 DROP_LEVEL_FRAC = 0.5
 INSTANT_MAX_ROWS = 500
 INSTANT_SAMPLE_SEED = 20260730
+LONG_TEXT = 64       # bytes; a longer level is counted by its digest
 MISSING_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
                   "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
                   "nan", "null")  # pandas read_csv default missing tokens
@@ -278,27 +278,54 @@ def top_k_by_corr(df: DataFrame, cols, target: str, k: int = 8) -> list:
 
 # ---------------- P6 type triage ----------------
 
-def triage_stats(df: DataFrame, target: str, cols=None) -> DataFrame:
-    """P6 statistics for every non-numeric column in one aggregate:
-    numeric-parse rate, date-parse rate (both over ALL rows), exact level
-    count (missing is a level). Long form, one row per column."""
+def distinct_counts(df: DataFrame, values: dict) -> DataFrame:
+    """Exact numbers of distinct non-null values of many columns, as rows
+    (column, n): ``values`` names them ({name: Column}, all of one type). Cells
+    become (column, value) pairs that are thinned out map-side and meet once,
+    so one shuffle carries each distinct value once a map task, a hot value
+    costs no more than a rare one, and no copy of the table's rows is made for
+    every column. Long text travels as its digest."""
+    kind = df.select(next(iter(values.values()))).schema[0].dataType
+
+    def short(v: Column) -> Column:
+        # a digest is marked and longer than any text that stays as it is
+        return F.when(F.octet_length(v) > LONG_TEXT, F.concat(F.lit("\u0000"), F.sha2(v, 256))).otherwise(v)
+
+    if isinstance(kind, T.StringType):
+        values = {x: short(v) for x, v in values.items()}
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(values.values())])
+    pairs = df.select(F.explode(cells).alias("p")).select("p.i", "p.v").where("v is not null").distinct()
+    names = F.create_map(*[F.lit(x) for i, name in enumerate(values) for x in (i, name)])
+    return pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n")).select(names[F.col("i")].alias("column"), "n")
+
+
+def triage_stats(df: DataFrame, target: str, cols=None, every_level: bool = True) -> DataFrame:
+    """P6 statistics for every non-numeric column: numeric-parse rate,
+    date-parse rate (both over ALL rows), exact level count (missing is a
+    level). Long form, one row per column. Levels are counted after the rates
+    are known; without ``every_level`` only where the rates leave the decision
+    open (else null)."""
     cols = cols or [f.name for f in df.schema.fields
                     if f.name != target and not is_numeric_type(f.dataType)]
     if not cols:
         return None
+    is_bool = [isinstance(df.schema[x].dataType, T.BooleanType) for x in cols]
     aggs = []
     for i, x in enumerate(cols):
-        is_bool = isinstance(df.schema[x].dataType, T.BooleanType)
-        num_ok = F.lit(0.0) if is_bool else to_number(named(x)).isNotNull().cast("double")
-        dt_ok = F.lit(0.0) if is_bool else datetime_valid(named(x)).cast("double")
-        aggs += [F.avg(num_ok).alias(f"nr{i}"), F.avg(dt_ok).alias(f"dr{i}"),
-                 F.count_distinct(level(x)).alias(f"nl{i}")]
-    wide = df.agg(F.count(F.lit(1)).alias("_n"), *aggs)
-    parts = ", ".join(f"{sql_text(x)}, {i}, {str(isinstance(df.schema[x].dataType, T.BooleanType)).lower()}"
-                      f", nr{i}, dr{i}, nl{i}" for i, x in enumerate(cols))
-    return wide.selectExpr(
-        "_n", f"stack({len(cols)}, {parts}) as (column, pos, is_bool, numeric_rate, "
-        "datetime_rate, n_levels)")
+        num_ok = F.lit(0.0) if is_bool[i] else to_number(named(x)).isNotNull().cast("double")
+        dt_ok = F.lit(0.0) if is_bool[i] else datetime_valid(named(x)).cast("double")
+        aggs += [F.avg(num_ok).alias(f"nr{i}"), F.avg(dt_ok).alias(f"dr{i}")]
+    r = df.agg(F.count(F.lit(1)).alias("_n"), *aggs).first()
+    rates = [(r[f"nr{i}"], r[f"dr{i}"]) for i in range(len(cols))]
+    open_ = [x for x, (nr, dr) in zip(cols, rates)
+             if every_level or ((nr or 0.0) < NUMERIC_COERCE_MIN and (dr or 0.0) < DATETIME_COERCE_MIN)]
+    counts = {} if not open_ else {
+        row["column"]: row["n"] for row in distinct_counts(df, {x: level(x) for x in open_}).collect()}
+    rows = [(r["_n"], x, i, is_bool[i], *rates[i], counts.get(x, 0) if x in open_ else None)
+            for i, x in enumerate(cols)]
+    return df.sparkSession.createDataFrame(
+        rows, "_n long, column string, pos int, is_bool boolean, numeric_rate double, datetime_rate double, "
+              "n_levels long")
 
 
 def triage_decision(n: Column, is_bool: Column, nr: Column, dr: Column, nl: Column) -> Column:
@@ -312,10 +339,10 @@ def triage_decision(n: Column, is_bool: Column, nr: Column, dr: Column, nl: Colu
             .when(dr >= DATETIME_COERCE_MIN, "datetime").otherwise(cat)
 
 
-def triage_columns(df: DataFrame, target: str, cols=None) -> DataFrame:
+def triage_columns(df: DataFrame, target: str, cols=None, every_level: bool = True) -> DataFrame:
     """Table (column, decision, numeric_rate, datetime_rate, n_levels),
-    with exact level counts at every size."""
-    st = triage_stats(df, target, cols)
+    with exact level counts at every size (``every_level``: see triage_stats)."""
+    st = triage_stats(df, target, cols, every_level)
     return st.select("column", "pos",
                      triage_decision(F.col("_n"), F.col("is_bool"), F.col("numeric_rate"),
                                      F.col("datetime_rate"), F.col("n_levels")).alias("decision"),

@@ -105,7 +105,7 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
                if f.name not in (target, key, *ts_cols) and not S.is_numeric_type(f.dataType)]
     decisions = {}
     if non_num:
-        for r in S.triage_columns(df, target, non_num).collect():
+        for r in S.triage_columns(df, target, non_num, every_level=False).collect():
             decisions[r["column"]] = r["decision"]
     numeric_text = [c for c, d in decisions.items() if d == "numeric"]
     dt_cols = [c for c, d in decisions.items() if d == "datetime"]
