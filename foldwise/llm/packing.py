@@ -7,11 +7,18 @@ histogram is packed by bin completion with branch and bound, which gives a list
 of fillings with multiplicities. Each piece then finds its place by its number
 among the pieces of its length, in parallel. The plan's size depends on the
 sequence length alone, not on the data.
+
+The search starts from whole best-fit decreasing packings as incumbents and ends
+at a lower bound on the number of sequences or after a stated number of nodes;
+either way its plan holds every piece and never needs more sequences than
+best-fit decreasing.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -161,71 +168,219 @@ def _pieces(path: str, capacity: int, end: int, words: bool, with_ids: bool) ->
     return run
 
 
-def complete_bin(lengths: list[int], counts: dict[int, int], room: int, nodes: int = 2000) -> list[int]:
-    """The filling of ``room`` that wastes least, from lengths (descending) of
-    which ``counts`` are left. The best-fit filling is the first incumbent.
-    Depth-first over undominated fillings: the largest item that fits comes
-    first, an item is never replaced by several that are smaller unless that
-    wastes less, and a branch ends when what it has room for, with the smallest
-    items left, can't waste less than the incumbent."""
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: pieces above ``capacity - k`` share
+    none with a piece of ``k`` or more, pieces above the half share none with
+    each other, and what is left goes by size; the best ``k`` counts (0: size
+    alone)."""
+    sizes = np.zeros(capacity + 2, object)
+    for x, c in histogram.items():
+        sizes[x] += c
+    number = np.concatenate([[0], np.cumsum(sizes)])          # number[x]: pieces below x
+    weight = np.concatenate([[0], np.cumsum(sizes * np.arange(capacity + 2))])
+    half = capacity // 2
+    best = -(-weight[-1] // capacity)
+    for k in [0, *(x for x in histogram if x <= half)]:
+        alone = number[-1] - number[capacity - k + 1]         # longer than capacity - k
+        pairs = number[capacity - k + 1] - number[half + 1]   # up to that, above the half
+        room = pairs * capacity - (weight[capacity - k + 1] - weight[half + 1])
+        small = weight[half + 1] - weight[k]                  # k to the half
+        best = max(best, alone + pairs + max(0, -(-(small - room) // capacity)))
+    return int(best)
+
+
+def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """Best-fit decreasing on the histogram: equal sequences are kept as one
+    filling and a number, so the work follows the lengths and not the pieces."""
+    plan, rooms, open_ = [], [], {}
+
+    def put(fill: list[int], times: int, room: int) -> None:
+        if room == 0:
+            plan.append((fill, times))
+        else:
+            if room not in open_:
+                insort(rooms, room)
+            open_.setdefault(room, []).append((fill, times))
+
+    for x in sorted(histogram, reverse=True):
+        left = histogram[x]
+        while left:
+            at = bisect_left(rooms, x)
+            if at == len(rooms):
+                room, fill, times = capacity, [], left
+            else:
+                room = rooms[at]
+                fill, times = open_[room].pop()
+                if not open_[room]:
+                    del open_[room], rooms[at]
+            each = min(room // x, left)                       # best fit stays with a sequence it began
+            used = min(times, left // each)
+            put(fill + [x] * each, used, room - x * each)
+            if fill and times > used:
+                put(fill, times - used, room)
+            left -= used * each
+    return plan + [group for room in rooms for group in open_[room]]
+
+
+def dominated(fill: list[int], waste: int, spare: int) -> bool:
+    """Whether another filling takes the place of this one without loss: some
+    spare length (a bit of ``spare`` each) fits where a part of the filling
+    was, and holds that part; also when it just fits the room left."""
+    sums, several = 1, 0                                      # bit s: some part sums to s
+    for x in fill:
+        several |= (sums ^ 1) << x | several << x
+        sums |= sums << x
+    reach, width = sums << 1, 1                               # s + 1 .. s + waste
+    if waste == 0:
+        reach = 0
+    while width < waste:
+        step = min(width, waste - width)
+        reach |= reach << step
+        width += step
+    return bool((reach | several) & spare)
+
+
+def best_filling(lengths: list[int], counts: dict[int, int], room: int, nodes: int = 2000) -> list[int]:
+    """The filling of ``room`` that wastes least, found depth-first, largest
+    lengths (``lengths`` descend) first, until no waste is left or ``nodes`` are
+    visited; the first one is the best-fit filling."""
+    return next(iter(fillings(lengths, counts, room, nodes, first=True)), [])
+
+
+def fillings(lengths: list[int], counts: dict[int, int], room: int, nodes: int, first: bool = False,
+             most: int = 16) -> list[list[int]]:
+    """Undominated fillings of ``room``, least waste first, among those met in
+    ``nodes`` steps; at most ``most`` of them. ``first``: only the best one. A
+    length that fills the room by itself dominates all others."""
     fit = [x for x in lengths if x <= room and counts[x] > 0]
-    best, waste = [], room
-    left = room
+    if not fit:
+        return [[]]
+    if fit[0] == room:
+        return [[room]]
+    down = [-x for x in fit]
+    spare = 0
     for x in fit:
-        while left >= x and best.count(x) < counts[x]:
-            best.append(x)
-            left -= x
-    waste = left
-    if waste == 0 or not fit:
-        return best
-    low = fit[-1]
-    budget = nodes
+        spare |= 1 << x
+    found: list[tuple[int, tuple[int, ...]]] = []
+    seen = set()
+    least = room + 1
     stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-    while stack and budget:
+    while stack and nodes:
         k, left, used = stack.pop()
-        budget -= 1
-        if left < waste:
-            best, waste = list(used), left
-            if waste == 0:
-                break
-        if left < low:
-            continue
-        nxt = next((m for m in range(k, len(fit)) if fit[m] <= left), None)
-        if nxt is None:
+        nodes -= 1
+        k = max(k, bisect_left(down, -left))
+        if k == len(fit):
+            if (left < least if first else used not in seen):
+                seen.add(used)
+                least = min(least, left)
+                found.append((left, used))
+                if first and left == 0:
+                    break
             continue
-        x = fit[nxt]
-        # an exact partner dominates every other filling of the room
-        if counts.get(left, 0) > used.count(left) and left in counts:
-            best, waste = [*used, left], 0
-            break
-        if nxt + 1 < len(fit):
-            stack.append((nxt + 1, left, used))
-        if used.count(x) < counts[x]:
-            stack.append((nxt, left - x, (*used, x)))
-    return best
+        x = fit[k]
+        taken = 0
+        for y in reversed(used):
+            if y != x:
+                break
+            taken += 1
+        stack.append((k + 1, left, used))
+        if taken < counts[x]:
+            stack.append((k, left - x, (*used, x)))
+    found.sort(key=lambda f: (f[0], [-x for x in f[1]]))
+    if first:
+        return [list(used) for _, used in found[:1]]
+    out = []
+    for waste, used in found:
+        own = spare
+        for x, n in Counter(used).items():
+            if n >= counts[x]:
+                own &= ~(1 << x)
+        if not dominated(list(used), waste, own):
+            out.append(list(used))
+            if len(out) == most:
+                break
+    return out
+
 
+def sequences(plan: list[tuple[list[int], int]]) -> int:
+    return sum(times for _, times in plan)
 
-def completion_plan(histogram: dict[int, int], capacity: int, nodes: int = 2000) -> list[tuple[list[int], int]]:
+
+def completion_plan(histogram: dict[int, int], capacity: int, nodes: int = 2000,
+                    branches: int = 2000) -> list[tuple[list[int], int]]:
     """Fillings and how often each is used, from the number of pieces of each
-    length. Around the largest piece left the best completion is sought; it is
-    used as often as the counts allow."""
+    length, by bin completion. A node takes the largest piece left and completes
+    its sequence: first with the least waste, as often as the counts allow, then,
+    when the search comes back, once with each undominated filling. A node goes
+    no further when the sequences used, and those that the size of the rest
+    needs, reach the incumbent (so waste beyond what the incumbent leaves ends a
+    branch). Best-fit decreasing gives the first incumbent, and the rest below
+    every alternative is packed by it too. The search ends at the lower bound,
+    when nothing is left to try, or after ``branches`` alternatives; ``nodes``
+    limits the steps within one sequence."""
     counts = {x: c for x, c in histogram.items() if c > 0 and 0 < x <= capacity}
-    order = sorted(counts, reverse=True)
-    plan = []
-    while order:
+    lengths = sorted(counts, reverse=True)
+    best = best_fit_plan(counts, capacity)
+    most, goal = sequences(best), lower_bound(counts, capacity)
+    rest = sum(x * c for x, c in counts.items())
+    path: list[tuple[list[int], int]] = []                    # (filling, times) taken so far
+    ways: list[list[tuple[list[int], int]] | None] = []       # alternatives at each node; None: not made yet
+    used = 0
+
+    def take(fill: list[int], times: int, sign: int) -> None:
+        nonlocal used, rest
+        for x in fill:
+            counts[x] -= sign * times
+        used += sign * times
+        rest -= sign * times * sum(fill)
+
+    def completions(first: bool) -> list[tuple[list[int], int]]:
+        order = [x for x in lengths if counts[x]]
         top = order[0]
         counts[top] -= 1
-        fill = [top, *complete_bin(order, counts, capacity - top, nodes)]
+        if first:
+            found = [best_filling(order, counts, capacity - top, nodes)]
+        else:
+            found = fillings(order, counts, capacity - top, nodes)
         counts[top] += 1
-        uses = {x: fill.count(x) for x in fill}
-        times = min(counts[x] // u for x, u in uses.items())
-        plan.append((fill, times))
-        for x, u in uses.items():
-            counts[x] -= u * times
-            if not counts[x]:
-                del counts[x]
-        order = [x for x in order if x in counts]
-    return plan
+        if not first:
+            return [([top, *f], 1) for f in reversed(found)]
+        fill = [top, *found[0]]
+        return [(fill, min(counts[x] // n for x, n in Counter(fill).items()))]
+
+    fresh_node = True
+    while most > goal:
+        if fresh_node:
+            if rest == 0 and used < most:
+                best, most = list(path), used
+            if rest and used - (-rest // capacity) < most:
+                ways.append(None)
+                step = completions(True)[0]
+                path.append(step)
+                take(*step, 1)
+                continue
+            fresh_node = False
+        if not path:
+            break
+        last = path.pop()
+        take(*last, -1)
+        if ways[-1] is None:
+            ways[-1] = [w for w in completions(False) if w != last]
+        if not ways[-1] or branches == 0:
+            ways.pop()
+            if branches == 0:
+                break
+            continue
+        branches -= 1
+        step = ways[-1].pop()
+        path.append(step)
+        take(*step, 1)
+        tail = best_fit_plan({x: c for x, c in counts.items() if c}, capacity)
+        if used + sequences(tail) < most:
+            best = path + tail
+            most = sequences(best)
+        fresh_node = True
+    return best
 
 
 def placement(plan: list[tuple[list[int], int]]) -> np.ndarray:
@@ -261,7 +416,7 @@ def _place(table: np.ndarray) -> Callable:
 
 def pack(docs: DataFrame, tokenizer: str, ident: str = "doc_id", text: str = "text",
          capacity: int = 2048, end: int = 0, words: bool = True, with_ids: bool = False,
-         nodes: int = 2000) -> DataFrame:
+         nodes: int = 2000, branches: int = 2000) -> DataFrame:
     """Place of every piece of every document: ``ident``, piece, start, length,
     ids_crc32, sequence_id, offset, and with ``with_ids`` the ids.
 
@@ -271,7 +426,8 @@ def pack(docs: DataFrame, tokenizer: str, ident: str = "doc_id", text: str = "te
     table gives an empty table; columns other than the two named are not read.
     ``tokenizer``: a file for the ``tokenizers`` library; ``words``: it cuts at
     white space and punctuation (see WordEncoder), else texts go whole.
-    ``nodes``: search limit for one bin; the best-fit filling is then kept."""
+    ``nodes`` and ``branches`` limit the search (see completion_plan); beyond
+    them the best plan found stays, never worse than best-fit decreasing."""
     spark = docs.sparkSession
     ship_package(spark)
     src = docs.select(F.col(ident), F.col(text).cast("string"))
@@ -284,7 +440,7 @@ def pack(docs: DataFrame, tokenizer: str, ident: str = "doc_id", text: str = "te
         "_salt", F.expr(f"cast(pmod(xxhash64(_row, 3L), {SALTS}) as int)"))
     counts = written(short.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), "counts")
     hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    table = placement(completion_plan(hist, capacity, nodes))
+    table = placement(completion_plan(hist, capacity, nodes, branches))
     before = Window.partitionBy("length").orderBy("_salt")
     shift = counts.select("length", "_salt", (F.sum("_n").over(before) - F.col("_n")).alias("_shift"))
     own = Window.partitionBy("length", "_salt").orderBy("_row")

@@ -183,6 +183,70 @@ def test_bin_completion_is_no_worse_than_best_fit():
     assert ours <= theirs
 
 
+def test_bin_completion_case_by_case():
+    rng = random.Random(7)
+    met = 0
+    for case in range(400):
+        room = rng.choice([40, 100, 1000])
+        sizes = collections.Counter(rng.randint(room // 10, room * 8 // 10) for _ in range(rng.randint(5, 40)))
+        plan = packing.completion_plan(dict(sizes), room, branches=50)
+        used = collections.Counter(x for fill, n in plan for x in fill * n)
+        assert used == sizes and all(sum(f) <= room for f, _ in plan)
+        bound, n = packing.lower_bound(sizes, room), packing.sequences(plan)
+        plain = packing.best_fit_plan(dict(sizes), room)
+        assert packing.sequences(plain) == _best_fit(sizes.elements(), room)
+        assert bound <= n <= _best_fit(sizes.elements(), room)
+        met += n == bound
+    assert met > 300
+
+
+def test_bin_completion_where_greedy_fillings_lose():
+    sizes = [104, 124, 125, 139, 142, 144, 171, 183, 213, 228, 229, 238, 295, 381, 385, 422, 422, 435, 455, 463,
+             469, 502, 507, 516, 576, 582, 585, 634, 653, 677, 679, 682, 696, 750, 787]
+    assert packing.sequences(packing.completion_plan(collections.Counter(sizes), 1000)) == 15
+
+
+def _fewest(sizes, room):
+    best = len(sizes)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(sizes):
+            best = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] >= sizes[k] and bins[i] not in bins[:i]:
+                place(k + 1, [*bins[:i], bins[i] - sizes[k], *bins[i + 1:]])
+        place(k + 1, [*bins, room - sizes[k]])
+
+    place(0, [])
+    return best
+
+
+def test_bin_completion_is_optimal_on_small_tables():
+    rng = random.Random(3)
+    better = 0
+    for case in range(300):
+        sizes = [rng.randint(2, 25) for _ in range(rng.randint(1, 10))]
+        if case % 2:                                          # three full sequences, cut at random
+            cuts = [sorted(rng.sample(range(1, 30), rng.randint(2, 3))) for _ in range(3)]
+            sizes = [b - a for c in cuts for a, b in zip([0, *c], [*c, 30])]
+        plan = packing.completion_plan(collections.Counter(sizes), 30)
+        assert packing.sequences(plan) == _fewest(sorted(sizes, reverse=True), 30)
+        better += _best_fit(sizes, 30) > packing.sequences(plan)
+    assert better > 0
+    assert packing.completion_plan({}, 20) == [] and packing.lower_bound({}, 20) == 0
+
+
+def test_dominated_fillings():
+    assert packing.dominated([3, 4], 0, 1 << 7)               # 7 holds both
+    assert packing.dominated([3, 4], 1, 1 << 8) and not packing.dominated([3, 4], 0, 1 << 8)
+    assert packing.dominated([6], 2, 1 << 2) and not packing.dominated([6], 2, 1 << 3)
+    assert packing.dominated([6], 1, 1 << 7) and not packing.dominated([6], 0, 1 << 6)
+
+
 def test_quality(spark, docs, rows, none):
     junk = [(1000 + k, f"A{k}!! B{k}!! C!! D{k}!!") for k in range(60)]
     good = [(2000 + k, f"the word{k} of a plain text number {k} here") for k in range(60)]
