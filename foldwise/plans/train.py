@@ -35,9 +35,11 @@ from ..operators.cv import SMALL_N_OOF, assign_folds, fold_count
 from ..operators.encode import (date_part_exprs, detect_composite_key, onehot_exprs,
                                 timestamp_part_exprs)
 from ..operators.mlp import EPOCHS_QUICK, EPOCHS_SEARCH
-from ..operators.post import PostProcess, YTransform, choose_ytransform_by_skew, fit_postprocess
+from ..operators.post import (PostProcess, YTransform, choose_ytransform_by_skew, feature_shares, fit_postprocess,
+                              shift_importance)
 from ..session import cut_lineage, ensure_checkpoint_dir
 from .fitted import FittedPlan
+from .models import _member
 
 # ---- fixed values ----
 WINSOR_MULT = {"thorough": 3.0, "quick": 4.5, "instant": 4.5}
@@ -274,6 +276,13 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
                                   importance=[])
     chosen = B.pick_model(scores, blend_r2)
     best = cands[chosen]
+    for name in bl.members if chosen == "blend" else [chosen]:
+        if cands[name]["type"] in ("kernel", "mlp"):
+            cands[name]["importance"] = _permuted_shares(Lc, model_feats, key, cands[name]["model"], yt)
+    if chosen == "blend":
+        shares = [(m, x, float(p)) for m in bl.members for x, p in cands[m]["importance"]]
+        best["importance"] = sorted(map(tuple, B.blend_importance(bl, spark.createDataFrame(
+            shares, "model string, feature string, pct double")).collect()), key=lambda t: (-t[1], t[0]))
 
     # ---- post-processing (A15, A16, B7) ----
     is_int = enc.agg(S.is_integer_valued(target)).first()[0]
@@ -371,6 +380,16 @@ def _shares(coef: dict) -> list:
                   key=lambda t: -t[1])
 
 
+def _permuted_shares(L: DataFrame, feats, key: str, model: dict, yt: YTransform) -> list:
+    """M12 shares in percent of a final model without importances of its own,
+    on the rows it learned from."""
+    own = L.where((F.col(LF.MODEL) == -1) & ~F.col(LF.VAL))
+    found = shift_importance(own, feats, "_yraw", key,
+                             lambda d: _member(d, model, feats, "pred").withColumn("pred", yt.inverse("pred")))
+    return [(r["feature"], float(r["pct"]))
+            for r in feature_shares(found, value="importance", top=None).orderBy("rank").collect()]
+
+
 def _trees_long(L: DataFrame, feats, key: str, kinds, yt, n: int, rounds: int | None) -> dict:
     """Trees on the long frame, all kinds and models in the same passes: model
     m learns from its own copies of the training rows and predicts its
