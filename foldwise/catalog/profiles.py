@@ -154,13 +154,16 @@ def _emb(spark, sf):
                                 for i in range(EMB_D)])
 
 
-def _neighbor_sql(count_mode: bool) -> str:
+def _neighbor_sql(count_mode: bool, whole: bool = False) -> str:
     cols = [f"e{i}" for i in range(EMB_D)]
     sel = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(EMB_D))
     stats = ", ".join(f"avg(e{i}) AS m{i}, CASE WHEN stddev_pop(e{i}) >= 1e-12 THEN "
                       f"stddev_pop(e{i}) ELSE 1.0 END AS s{i}" for i in range(EMB_D))
     z = ", ".join(f"(e{i} - m{i}) / s{i} AS e{i}" for i in range(EMB_D))
     dist = " + ".join(f"(a.e{i} - b.e{i}) * (a.e{i} - b.e{i})" for i in range(EMB_D))
+    ref = "ref AS (SELECT * FROM rk)" if whole else """\
+ref AS (SELECT rk.* EXCLUDE (pos), CAST(pos // CAST(ceil(n / 300.0) AS BIGINT) AS BIGINT) AS pos
+        FROM rk, st WHERE n <= 300 OR pos % CAST(ceil(n / 300.0) AS BIGINT) = 0)"""
     head = f"""
 WITH t AS (SELECT vec_id, {sel} FROM embeddings),
 c AS (SELECT * FROM t WHERE {" AND ".join(f"{c} IS NOT NULL" for c in cols)}),
@@ -168,8 +171,7 @@ st AS (SELECT count(*) AS n, {stats} FROM c),
 z AS (SELECT vec_id, {z} FROM c, st),
 rk AS (SELECT *, row_number() OVER (ORDER BY md5(concat('42|', cast(vec_id AS varchar))), vec_id) - 1
        AS pos FROM z),
-ref AS (SELECT rk.* EXCLUDE (pos), CAST(pos // CAST(ceil(n / 300.0) AS BIGINT) AS BIGINT) AS pos
-        FROM rk, st WHERE n <= 300 OR pos % CAST(ceil(n / 300.0) AS BIGINT) = 0),
+{ref},
 nr AS (SELECT count(*) AS n_ref FROM ref),
 pairs AS (SELECT a.pos AS probe, b.pos AS other, sqrt(greatest({dist}, 0)) AS d
           FROM ref a, ref b WHERE a.pos < 120),
@@ -183,23 +185,16 @@ SELECT probe AS point, CAST(sum(CASE WHEN d <= radius THEN 1 ELSE 0 END) AS BIGI
 FROM pairs, rad GROUP BY probe"""
 
 
-@register("neighbor_radius", _neighbor_sql(False))
-def neighbor_radius(spark: SparkSession, sf: str) -> DataFrame:
-    """D5 on FX14 (embeddings, 64 dims): standardised complete rows strided to
-    <= 300 in md5 order, radius = median over 120 probes of the distance to
-    the 10th neighbour."""
+def _radius(spark, sf, max_rows) -> DataFrame:
     cols = [f"e{i}" for i in range(EMB_D)]
-    ref, w, n_ref = D.neighbor_reference(_emb(spark, sf), cols, "vec_id")
-    ref = ref.cache()
-    r = D.neighbor_radius(ref, cols, w, n_ref)
+    ref, w, n_ref = D.neighbor_reference(_emb(spark, sf), cols, "vec_id", max_rows=max_rows)
+    r = D.neighbor_radius(ref.cache(), cols, w, n_ref)
     return r.select(r6("radius").alias("radius"), F.col("n_probes").cast("long"))
 
 
-@register("neighbor_count", _neighbor_sql(True))
-def neighbor_count(spark: SparkSession, sf: str) -> DataFrame:
-    """Reference rows within the D5 radius of each probe point."""
+def _within(spark, sf, max_rows) -> DataFrame:
     cols = [f"e{i}" for i in range(EMB_D)]
-    ref, w, n_ref = D.neighbor_reference(_emb(spark, sf), cols, "vec_id")
+    ref, w, n_ref = D.neighbor_reference(_emb(spark, sf), cols, "vec_id", max_rows=max_rows)
     ref = ref.cache()
     radius = D.neighbor_radius(ref, cols, w, n_ref).first()["radius"]
     points = ref.filter(F.col("_pos") < D.NEIGHBOR_PROBES).select(
@@ -207,6 +202,32 @@ def neighbor_count(spark: SparkSession, sf: str) -> DataFrame:
     return D.neighbor_count(ref, points, cols, w, radius)
 
 
+@register("neighbor_radius", _neighbor_sql(False))
+def neighbor_radius(spark: SparkSession, sf: str) -> DataFrame:
+    """D5 on FX14 (embeddings, 64 dims): standardised complete rows strided to
+    <= 300 in md5 order, radius = median over 120 probes of the distance to
+    the 10th neighbour."""
+    return _radius(spark, sf, D.NEIGHBOR_ROWS)
+
+
+@register("neighbor_count", _neighbor_sql(True))
+def neighbor_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Reference rows within the D5 radius of each probe point."""
+    return _within(spark, sf, D.NEIGHBOR_ROWS)
+
+
+@register("neighbor_radius_all", _neighbor_sql(False, whole=True))
+def neighbor_radius_all(spark: SparkSession, sf: str) -> DataFrame:
+    """D5 with every complete row as reference: 120 probes go to the rows."""
+    return _radius(spark, sf, None)
+
+
+@register("neighbor_count_all", _neighbor_sql(True, whole=True))
+def neighbor_count_all(spark: SparkSession, sf: str) -> DataFrame:
+    """D6 with every complete row as reference."""
+    return _within(spark, sf, None)
+
+
 CORR_COLS = ["p_retailprice", "price2", "partkey_num", "p_size"]
 CORR_SQL_BASE = ("SELECT p_retailprice, p_retailprice * 2 + p_size AS price2, "
                  "CAST(p_partkey AS DOUBLE) AS partkey_num, CAST(p_size AS DOUBLE) AS p_size FROM part")
