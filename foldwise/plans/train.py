@@ -236,6 +236,11 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
         oof, kmodel, ktr2 = rbf_long(Lc, model_feats, key)
         cands["kernel"] = dict(oof=oof.withColumn("pred", yt.inverse("pred")), train_r2=ktr2,
                                type="kernel", model=kmodel, importance=[])
+    if "gp" in models and model_feats and n >= KERNEL_MIN_ROWS:
+        from ..operators.gp import gp_long
+        oof, fitted = gp_long(Lc, model_feats, key)
+        cands["gp"] = dict(oof=oof.withColumn("pred", yt.inverse("pred")), train_r2=fitted[-1].train_r2,
+                           type="kernel", model=fitted[-1].as_dict(), importance=fitted[-1].importance())
     if "mlp" in models and model_feats:
         if n < MLP_MIN_ROWS:
             skipped["mlp"] = "min_rows"
@@ -277,7 +282,7 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
     chosen = B.pick_model(scores, blend_r2)
     best = cands[chosen]
     for name in bl.members if chosen == "blend" else [chosen]:
-        if cands[name]["type"] in ("kernel", "mlp"):
+        if cands[name]["type"] in ("kernel", "mlp") and not cands[name]["importance"]:
             cands[name]["importance"] = _permuted_shares(Lc, model_feats, key, cands[name]["model"], yt)
     if chosen == "blend":
         shares = [(m, x, float(p)) for m in bl.members for x, p in cands[m]["importance"]]
