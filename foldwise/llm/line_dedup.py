@@ -4,6 +4,12 @@ Texts are cut into units; a unit's digest is that of its lower-cased words with
 single spaces between. Digests are grouped over the whole corpus; the
 occurrence that ranks first stays, every later one is removed, and its place in
 the original text is kept.
+
+A passage need not begin and end with a line: an edit or another line width
+moves every break. ``repeated_passages`` therefore cuts texts a second way, into
+units that end at words chosen by a hash of the word alone. A passage is then
+cut alike wherever it stands, but for its two outer units, and adjacent
+repeated units are joined to passages.
 """
 
 from __future__ import annotations
@@ -11,9 +17,10 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -23,6 +30,40 @@ SALTS = 32
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: What ends a unit.
 BREAKS = {"line": r"\n", "paragraph": r"\n[ \t\r]*\n\s*"}
+#: A word ends a phrase if the md5 of its text starts with one of these digits:
+#: 3 of 16 do, so a phrase has five or six words in the mean.
+ENDS = "012"
+#: A passage of 50 words and more loses a part of its two outer phrases; 30
+#: words of whole phrases are asked for.
+PASSAGE_WORDS = 30
+
+
+@lru_cache(1 << 16)
+def _ends(word: bytes) -> bool:
+    return hashlib.md5(word).hexdigest()[0] in ENDS
+
+
+def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    word = re.compile(WORD)
+    for batch in batches:
+        cols = row, unit, start, length, words, digest = [], [], [], [], [], []
+        for r, text in enumerate(batch.column(2)):
+            text = (text.as_py() or "").encode().translate(_UPPER).decode()
+            held, at, k = [], 0, 0
+            spans = [m.span() for m in word.finditer(text)]
+            for i, (a, b) in enumerate(spans):
+                if not held:
+                    at = a
+                held.append(text[a:b].encode())
+                if _ends(held[-1]) or i == len(spans) - 1:
+                    for col, v in zip(cols, (r, k, at, b - at, len(held),
+                                             hashlib.blake2b(b" ".join(held), digest_size=16).digest())):
+                        col.append(v)
+                    held, k = [], k + 1
+            if len(row) >= 50_000:
+                yield _batch(batch, *cols)
+                cols = row, unit, start, length, words, digest = [], [], [], [], [], []
+        yield _batch(batch, *cols)
 
 
 def _units(breaks: str) -> Callable:
@@ -73,12 +114,22 @@ def repeated_units(docs: DataFrame, ident: str = "doc_id", text: str = "text", u
     ``row``: a column that numbers the rows, if the caller has one; it is then
     returned too. A digest's occurrences are counted in ``SALTS`` parts, and
     the answer is joined back part by part, so no line lands in one task."""
+    return (_repeated(docs, ident, text, _units(BREAKS[unit]), min_words, row).where("removed")
+            .select(*(["_row"] if row else []), ident, "unit", "start", "length",
+                    F.col("_first.id").alias("first_id"), F.col("_first.unit").alias("first_unit"),
+                    "occurrences"))
+
+
+def _repeated(docs: DataFrame, ident: str, text: str, cut: Callable, min_words: int,
+              row: str | None = None) -> DataFrame:
+    """Every unit of ``min_words`` words and more that occurs again, the first
+    of a kind too, with removed (false for the first)."""
     ship_package(docs.sparkSession)
     number = F.col(row).cast("long") if row else F.monotonically_increasing_id()
     src = docs.select(number.alias("_row"), F.col(ident), F.col(text).cast("string").alias("_text"))
     kind = src.schema[ident].dataType.simpleString()
-    units = written(src.mapInArrow(_units(BREAKS[unit]), f"_row long, `{ident}` {kind}, unit int, start long, "
-                                                         "length long, words int, digest binary"), "units")
+    units = written(src.mapInArrow(cut, f"_row long, `{ident}` {kind}, unit int, start long, "
+                                        "length long, words int, digest binary"), "units")
     rank = F.struct(F.col(ident).isNull().alias("late"), F.col(ident).alias("id"),
                     F.col("_row").alias("row"), F.col("unit").alias("unit"))
     units = units.where(F.col("words") >= min_words).withColumns({
@@ -88,10 +139,32 @@ def repeated_units(docs: DataFrame, ident: str = "doc_id", text: str = "text", u
     whole = (parts.groupBy("digest").agg(F.min("_first").alias("_first"), F.sum("_n").alias("occurrences"))
              .where("occurrences > 1"))
     repeats = parts.select("digest", "_salt").join(whole, "digest")
-    return (units.join(repeats, ["digest", "_salt"]).where(F.col("_rank") != F.col("_first"))
-            .select(*(["_row"] if row else []), ident, "unit", "start", "length",
-                    F.col("_first.id").alias("first_id"), F.col("_first.unit").alias("first_unit"),
-                    "occurrences"))
+    return units.join(repeats, ["digest", "_salt"]).withColumn("removed", F.col("_rank") != F.col("_first"))
+
+
+def repeated_passages(docs: DataFrame, ident: str = "doc_id", text: str = "text",
+                      min_words: int = PASSAGE_WORDS) -> DataFrame:
+    """One row for every run of adjacent repeated phrases of ``min_words`` words
+    and more: ``ident``, start and length (characters of the original text),
+    words, removed_words (words of the phrases that an earlier place has) and
+    kept (no more than half of the words have an earlier place: the passage
+    stays; a short phrase that stands elsewhere by chance does not decide).
+
+    Phrases rank as units do in ``repeated_units``; repeats within one text
+    count. Null and empty texts have no phrases, repeated rows are documents of
+    their own, an empty table gives an empty table; columns other than the two
+    named are not read. Runs are joined within one text, so no group is larger
+    than a document."""
+    found = _repeated(docs, ident, text, _phrases, 1)
+    run = F.col("unit") - F.row_number().over(Window.partitionBy("_row").orderBy("unit"))
+    removed = F.sum(F.when(F.col("removed"), F.col("words")).otherwise(0))
+    return (found.select("_row", F.col(ident), "unit", "start", "length", "words", "removed").withColumn("_run", run)
+            .groupBy("_row", ident, "_run")
+            .agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("_stop"),
+                 F.sum("words").alias("words"), removed.alias("removed_words"))
+            .where(F.col("words") >= min_words)
+            .select(ident, "start", (F.col("_stop") - F.col("start")).alias("length"), "words", "removed_words",
+                    (2 * F.col("removed_words") <= F.col("words")).alias("kept")))
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,3 +215,27 @@ g AS (SELECT *, count(*) OVER (PARTITION BY w) AS occurrences, row_number() OVER
       FROM o WHERE len(w) >= 5 WINDOW r AS (PARTITION BY w ORDER BY doc_id, unit))
 SELECT doc_id, unit, start, length, first_id, first_unit, occurrences FROM g WHERE k > 1
 """
+
+_SPACE = r"[\x20\x09-\x0D]"
+#: Passages, for one document row an identifier.
+PASSAGES_SQL = f"""
+WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT doc_id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws,
+             list_transform(regexp_extract_all(t, '{_SPACE}+'), lambda g: length(g)) AS gs,
+             regexp_matches(t, '^{_SPACE}') AS blank FROM a),
+c AS (SELECT doc_id, unnest(ws) AS w, unnest(CASE WHEN blank THEN gs ELSE list_prepend(0, gs) END) AS gap,
+             unnest(range(len(ws) + 1)) AS k FROM b),
+o AS (SELECT doc_id, k, w, sum(gap + length(w)) OVER p - length(w) AS start,
+             coalesce(sum(CAST(substr(md5(w), 1, 1) IN ('0', '1', '2') AS INTEGER)) OVER
+                 (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unit
+      FROM c WHERE w IS NOT NULL WINDOW p AS (PARTITION BY doc_id ORDER BY k)),
+u AS (SELECT doc_id, unit, string_agg(w, ' ' ORDER BY k) AS s, min(start) AS start,
+             max(start + length(w)) AS stop, count(*) AS words FROM o GROUP BY doc_id, unit),
+g AS (SELECT *, count(*) OVER (PARTITION BY s) AS n,
+             row_number() OVER (PARTITION BY s ORDER BY doc_id, unit) AS r FROM u),
+e AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM g WHERE n > 1)
+SELECT doc_id, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) - min(start) AS BIGINT) AS length,
+       CAST(sum(words) AS BIGINT) AS words, CAST(sum(CASE WHEN r > 1 THEN words ELSE 0 END) AS BIGINT) AS removed_words,
+       2 * sum(CASE WHEN r > 1 THEN words ELSE 0 END) <= sum(words) AS kept
+FROM e GROUP BY doc_id, run HAVING sum(words) >= {PASSAGE_WORDS}
+"""

@@ -59,6 +59,10 @@ def op6_jaccard_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.repeated_passages(load(spark, sf, "documents"))
+
+
+def line_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.repeated_units(load(spark, sf, "documents"))
 
 
@@ -102,6 +106,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_jaccard_groups": op6_jaccard_groups,
     "op7_line_dedup": op7_line_dedup,
+    "line_repeats": line_repeats,
     "op8_language_model": op8_language_model,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
@@ -113,7 +118,8 @@ ORACLE = {
     "op2_exact_dedup": OP2_SQL,
     "op4_preference": preference.pair_sql(),
     "op5_mixing": mixing.MIX_SQL,
-    "op7_line_dedup": line_dedup.LINES_SQL,
+    "op7_line_dedup": line_dedup.PASSAGES_SQL,
+    "line_repeats": line_dedup.LINES_SQL,
     "op11_repair": repair.REPAIR_SQL,
     "op12_filter_audit": filter_audit.AUDIT_SQL,
 }
