@@ -7,8 +7,8 @@ the original text is kept.
 
 A passage need not begin and end with a line: an edit or another line width
 moves every break. ``repeated_passages`` therefore cuts texts a second way, into
-units that end at words chosen by a hash of the word alone. A passage is then
-cut alike wherever it stands, but for its two outer units, and adjacent
+units that end at words chosen by the hashes of the words around. A passage is then
+cut alike wherever it stands, but for its outer words, and adjacent
 repeated units are joined to passages.
 """
 
@@ -17,8 +17,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,36 +30,59 @@ SALTS = 32
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: What ends a unit.
 BREAKS = {"line": r"\n", "paragraph": r"\n[ \t\r]*\n\s*"}
-#: A word ends a phrase if the md5 of its text starts with one of these digits:
-#: 3 of 16 do, so a phrase has five or six words in the mean.
-ENDS = "012"
-#: A passage of 50 words and more loses a part of its two outer phrases; 30
-#: words of whole phrases are asked for.
-PASSAGE_WORDS = 30
+#: A word ends a phrase if no md5 of so many words before and after it is less:
+#: a phrase has more than REACH words then and 2 * REACH + 1 in the mean, but for
+#: the ends of a text and words that come again at once.
+REACH = 4
+#: A passage of 50 words and more has whole phrases but for about 2 * REACH + 1
+#: words at each end, more by chance; so many words of whole phrases are asked for.
+PASSAGE_WORDS = 25
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
 
 
-@lru_cache(1 << 16)
-def _ends(word: bytes) -> bool:
-    return hashlib.md5(word).hexdigest()[0] in ENDS
+class _Hashes(dict):
+    """First 32 bits of a word's md5, kept for the words met last."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = h = int.from_bytes(hashlib.md5(word).digest()[:4], "big")
+        return h
+
+
+def _ends(h: np.ndarray) -> np.ndarray:
+    """Numbers of the words that end a phrase, the last of the text too."""
+    ends = np.ones(len(h), bool)
+    for i in range(1, REACH + 1):
+        ends[i:] &= h[i:] <= h[:-i]
+        ends[:-i] &= h[:-i] <= h[i:]
+    ends[-1] = True
+    return np.flatnonzero(ends)
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    word = re.compile(WORD)
+    hashes = _Hashes()
     for batch in batches:
         cols = row, unit, start, length, words, digest = [], [], [], [], [], []
         for r, text in enumerate(batch.column(2)):
-            text = (text.as_py() or "").encode().translate(_UPPER).decode()
-            held, at, k = [], 0, 0
-            spans = [m.span() for m in word.finditer(text)]
-            for i, (a, b) in enumerate(spans):
-                if not held:
-                    at = a
-                held.append(text[a:b].encode())
-                if _ends(held[-1]) or i == len(spans) - 1:
-                    for col, v in zip(cols, (r, k, at, b - at, len(held),
-                                             hashlib.blake2b(b" ".join(held), digest_size=16).digest())):
-                        col.append(v)
-                    held, k = [], k + 1
+            text = (text.as_py() or "").encode().translate(_UPPER)
+            found = text.split()
+            if not found:
+                continue
+            raw = np.frombuffer(text, np.uint8)
+            edge = np.flatnonzero(np.diff(_BLANK[raw], prepend=True, append=True))
+            place = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])      # characters before a byte
+            last = _ends(np.fromiter((hashes[w] for w in found), np.int64, len(found)))
+            first = np.concatenate([[0], last[:-1] + 1])
+            begin, stop = place[edge[2 * first]], place[edge[2 * last + 1]]
+            row += [r] * len(last)
+            unit += range(len(last))
+            start += begin.tolist()
+            length += (stop - begin).tolist()
+            words += (last - first + 1).tolist()
+            digest += [hashlib.blake2b(b" ".join(found[a:b + 1]), digest_size=16).digest()
+                       for a, b in zip(first.tolist(), last.tolist())]
             if len(row) >= 50_000:
                 yield _batch(batch, *cols)
                 cols = row, unit, start, length, words, digest = [], [], [], [], [], []
@@ -226,11 +249,14 @@ b AS (SELECT doc_id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ
 c AS (SELECT doc_id, unnest(ws) AS w, unnest(CASE WHEN blank THEN gs ELSE list_prepend(0, gs) END) AS gap,
              unnest(range(len(ws) + 1)) AS k FROM b),
 o AS (SELECT doc_id, k, w, sum(gap + length(w)) OVER p - length(w) AS start,
-             coalesce(sum(CAST(substr(md5(w), 1, 1) IN ('0', '1', '2') AS INTEGER)) OVER
-                 (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unit
-      FROM c WHERE w IS NOT NULL WINDOW p AS (PARTITION BY doc_id ORDER BY k)),
+             coalesce(h <= min(h) OVER (p ROWS BETWEEN {REACH} PRECEDING AND 1 PRECEDING), true)
+             AND coalesce(h <= min(h) OVER (p ROWS BETWEEN 1 FOLLOWING AND {REACH} FOLLOWING), true) AS ends
+      FROM (SELECT *, substr(md5(w), 1, 8) AS h FROM c WHERE w IS NOT NULL)
+      WINDOW p AS (PARTITION BY doc_id ORDER BY k)),
+n AS (SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY k
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unit FROM o),
 u AS (SELECT doc_id, unit, string_agg(w, ' ' ORDER BY k) AS s, min(start) AS start,
-             max(start + length(w)) AS stop, count(*) AS words FROM o GROUP BY doc_id, unit),
+             max(start + length(w)) AS stop, count(*) AS words FROM n GROUP BY doc_id, unit),
 g AS (SELECT *, count(*) OVER (PARTITION BY s) AS n,
              row_number() OVER (PARTITION BY s ORDER BY doc_id, unit) AS r FROM u),
 e AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM g WHERE n > 1)

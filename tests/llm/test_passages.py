@@ -3,8 +3,9 @@
 import collections
 import hashlib
 import random
+import re
 
-from foldwise.llm.line_dedup import PASSAGE_WORDS, repeated_passages
+from foldwise.llm.line_dedup import PASSAGE_WORDS, REACH, repeated_passages
 
 SCHEMA = "doc_id long, text string, _row int, unit string, removed int, words string"
 
@@ -27,12 +28,14 @@ def _table():
 def _phrases(text):
     low = (text or "").encode().lower().decode()
     at, held, out = 0, [], []
-    split = [w for w in __import__("re").split(r"[\x20\x09-\x0d]+", low) if w]
+    split = [w for w in re.split(r"[\x20\x09-\x0d]+", low) if w]
+    h = [hashlib.md5(w.encode()).hexdigest()[:8] for w in split]
     for k, w in enumerate(split):
         a = low.index(w, at)
         at = a + len(w)
         held.append((w, a, at))
-        if hashlib.md5(w.encode()).hexdigest()[0] in "012" or k == len(split) - 1:
+        least = all(h[k] <= x for x in h[max(0, k - REACH):k]) and all(h[k] <= x for x in h[k + 1:k + 1 + REACH])
+        if least or k == len(split) - 1:
             out.append((tuple(x for x, _, _ in held), held[0][1], at))
             held = []
     return out
