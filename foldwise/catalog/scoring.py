@@ -3,9 +3,6 @@ P8, D10)."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +11,7 @@ from ..operators import stats as A
 from ..operators.cv import assign_folds
 from ..operators.linear import ridge_cv, ridge_fit
 from ..plans.fitted import FittedPlan, preview, score_summary
-from ..session import ensure_checkpoint_dir, load
+from ..session import load, shared_path
 from . import register
 from ..functions.expr import round_sig
 from .fixtures import NET_CHARGE_SQL, net_charge, sig_sql
@@ -119,9 +116,7 @@ def plan_save_load(spark: SparkSession, sf: str) -> DataFrame:
     """Save the fitted plan into the checkpoint folder, load it back and
     score with both; returns the largest absolute difference (rows check)."""
     plan = fit_net_charge_plan(spark, sf)
-    base = ensure_checkpoint_dir(spark)
-    path = tempfile.mkdtemp(prefix="plan-", dir=base) if base.startswith("/") else \
-        os.path.join(base, "plan-save-load")
+    path = shared_path(spark, "plan")
     plan.save(spark, path)
     back = FittedPlan.load(spark, path)
     a = plan.score(net_charge(spark, sf)).select("key", F.col("y").alias("a"))

@@ -16,7 +16,6 @@ Only small things reach the driver: per-column statistics, level lists
 from __future__ import annotations
 
 import os
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -37,8 +36,9 @@ from ..operators.encode import (date_part_exprs, detect_composite_key, onehot_ex
 from ..operators.mlp import EPOCHS_QUICK, EPOCHS_SEARCH
 from ..operators.post import (PostProcess, YTransform, choose_ytransform_by_skew, feature_shares, fit_postprocess,
                               shift_importance)
-from ..session import cut_lineage, ensure_checkpoint_dir
-from .fitted import FittedPlan
+from ..session import cut_lineage, shared_path
+from ..sources.csv import read_table
+from .fitted import FittedPlan, predicted_path, write_scored
 from .models import _member
 
 # ---- fixed values ----
@@ -71,9 +71,7 @@ def train(df: DataFrame, target: str | None = None, mode: str = "quick",
           mlp_epochs: int | None = None, tree_rounds: int | None = None) -> TrainResult:
     spark = df.sparkSession
     if work_dir is None:     # model folders live in the shared checkpoint folder
-        base = ensure_checkpoint_dir(spark)
-        work_dir = (tempfile.mkdtemp(prefix="train-", dir=base) if base.startswith("/")
-                    else os.path.join(base, f"train-{os.getpid()}-{id(df)}"))
+        work_dir = shared_path(spark, "train")
     raw_cols = [c.strip() for c in df.columns]
     df = S.normalize_missing(df.toDF(*raw_cols))
     target = S.resolve_target(df, target)
@@ -434,3 +432,11 @@ def _trees_long(L: DataFrame, feats, key: str, kinds, yt, n: int, rounds: int |
 def predict(plan: FittedPlan, df: DataFrame) -> DataFrame:
     """The reference's ``predict``: score a table with a fitted plan."""
     return plan.score(df)
+
+
+def predict_file(plan: FittedPlan, spark, path: str, fmt: str = "csv") -> str:
+    """Read a table, score it and write it beside the input as
+    ``<stem>_predicted``; returns that path. CSV goes out as UTF-8 with BOM."""
+    out = predicted_path(path)
+    write_scored(predict(plan, read_table(spark, path, fmt)), out, fmt)
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +62,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own below the shared folder; nothing is made there, as the
+    folder need not be on a disk that the driver sees."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss;
     never ``localCheckpoint``)."""
