@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .base import WORD, fresh, written
+from .base import WORD, fresh, partitions, written
 
 SALTS = 32
+#: Units of a chunk of texts, and keys that one bucket is laid out for.
+CHUNK, BUCKET = 200_000, 1_000_000
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: What ends a unit.
 BREAKS = {"line": r"\n", "paragraph": r"\n[ \t\r]*\n\s*"}
@@ -61,66 +63,163 @@ def _ends(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(ends)
 
 
-def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _phrases() -> Callable:
     hashes = _Hashes()
-    for batch in batches:
-        cols = row, unit, start, length, words, digest = [], [], [], [], [], []
-        for r, text in enumerate(batch.column(2)):
-            text = (text.as_py() or "").encode().translate(_UPPER)
-            found = text.split()
-            if not found:
-                continue
-            raw = np.frombuffer(text, np.uint8)
-            edge = np.flatnonzero(np.diff(_BLANK[raw], prepend=True, append=True))
-            place = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])      # characters before a byte
-            last = _ends(np.fromiter((hashes[w] for w in found), np.int64, len(found)))
-            first = np.concatenate([[0], last[:-1] + 1])
-            begin, stop = place[edge[2 * first]], place[edge[2 * last + 1]]
-            row += [r] * len(last)
-            unit += range(len(last))
-            start += begin.tolist()
-            length += (stop - begin).tolist()
-            words += (last - first + 1).tolist()
-            digest += [hashlib.blake2b(b" ".join(found[a:b + 1]), digest_size=16).digest()
-                       for a, b in zip(first.tolist(), last.tolist())]
-            if len(row) >= 50_000:
-                yield _batch(batch, *cols)
-                cols = row, unit, start, length, words, digest = [], [], [], [], [], []
-        yield _batch(batch, *cols)
 
+    def find(text: str) -> tuple | None:
+        text = text.encode().translate(_UPPER)
+        found = text.split()
+        if not found:
+            return None
+        raw = np.frombuffer(text, np.uint8)
+        edge = np.flatnonzero(np.diff(_BLANK[raw], prepend=True, append=True))
+        place = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])      # characters before a byte
+        last = _ends(np.fromiter((hashes[w] for w in found), np.int64, len(found)))
+        first = np.concatenate([[0], last[:-1] + 1])
+        begin, stop = place[edge[2 * first]], place[edge[2 * last + 1]]
+        return begin, stop - begin, last - first + 1, b"".join(
+            [hashlib.blake2b(b" ".join(found[a:b + 1]), digest_size=16).digest()
+             for a, b in zip(first.tolist(), last.tolist())])
+    return find
 
-def _units(breaks: str) -> Callable:
-    cut = re.compile(breaks)
 
+def _units(breaks: str) -> Callable:
+    def start() -> Callable:
+        cut = re.compile(breaks)
+
+        def find(text: str) -> tuple:
+            start, length, words, digest, at = [], [], [], [], 0
+            ends = [(m.start(), m.end()) for m in cut.finditer(text)]
+            for stop, after in [*ends, (len(text), len(text))]:
+                body = text[at:stop].encode().translate(_UPPER).split()
+                start.append(at)
+                length.append(stop - at)
+                words.append(len(body))
+                digest.append(hashlib.blake2b(b" ".join(body), digest_size=16).digest())
+                at = after
+            return start, length, words, b"".join(digest)
+        return find
+    return start
+
+
+def _packed(start: Callable) -> Callable:
+    """One row a text: its units' places and digests as packed numbers. Texts
+    of about ``CHUNK`` units make a chunk, named after its first row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = start()
         for batch in batches:
-            row, unit, start, length, words, digest = [], [], [], [], [], []
+            held, count = [], 0
             for r, text in enumerate(batch.column(2)):
-                text, at, k = text.as_py() or "", 0, 0
-                ends = [(m.start(), m.end()) for m in cut.finditer(text)]
-                for stop, after in [*ends, (len(text), len(text))]:
-                    body = text[at:stop].encode().translate(_UPPER).split()
-                    row.append(r)
-                    unit.append(k)
-                    start.append(at)
-                    length.append(stop - at)
-                    words.append(len(body))
-                    digest.append(hashlib.blake2b(b" ".join(body), digest_size=16).digest())
-                    at, k = after, k + 1
-                if len(row) >= 50_000:
-                    yield _batch(batch, row, unit, start, length, words, digest)
-                    row, unit, start, length, words, digest = [], [], [], [], [], []
-            yield _batch(batch, row, unit, start, length, words, digest)
+                found = find(text.as_py() or "")
+                if found is None:
+                    continue
+                held.append((r, *[np.asarray(x, np.uint32).tobytes() for x in found[:3]], found[3]))
+                count += len(found[0])
+                if count >= CHUNK:
+                    yield _batch(batch, held)
+                    held, count = [], 0
+            if held:
+                yield _batch(batch, held)
     return run
 
 
-def _batch(batch, row, unit, start, length, words, digest) -> pa.RecordBatch:
-    at = pa.array(row, pa.int64())
+def _batch(batch: pa.RecordBatch, held: list) -> pa.RecordBatch:
+    at, *blobs = zip(*held)
+    row = batch.column(0).take(pa.array(at, pa.int64()))
     return pa.RecordBatch.from_arrays(
-        [batch.column(0).take(at), batch.column(1).take(at), pa.array(unit, pa.int32()),
-         pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(words, pa.int32()),
-         pa.array(digest, pa.binary())],
-        ["_row", batch.schema.names[1], "unit", "start", "length", "words", "digest"])
+        [pa.array([row[0].as_py()] * len(at), pa.int64()), row, batch.column(1).take(pa.array(at, pa.int64())),
+         *[pa.array(x, pa.binary()) for x in blobs]],
+        ["_chunk", "_row", batch.schema.names[1], "start", "length", "words", "digest"])
+
+
+def _numbers(column, kind=np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), kind)
+
+
+def _keys(column) -> np.ndarray:
+    """The first half of each digest."""
+    return _numbers(column, np.uint64)[::2]
+
+
+def _asked(bits: int, min_words: int) -> Callable:
+    """The distinct keys of a chunk, dealt to buckets by their leading bits;
+    a key that the chunk has more than once stands there twice."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+        for batch in batches:
+            chunk = batch.column(0).to_numpy()
+            new = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else []
+            for i, j in zip(new, [*new[1:], len(chunk)]):
+                part = batch.slice(i, j - i)
+                keys = np.sort(_keys(part.column(2))[_numbers(part.column(1)) >= min_words])
+                third = np.zeros(len(keys), bool)
+                third[2:] = keys[2:] == keys[:-2]
+                keys = keys[~third]
+                cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+                full = np.flatnonzero(np.diff(cut))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk[i])),
+                     pa.array([keys[cut[b]:cut[b + 1]].tobytes() for b in full], pa.binary())],
+                    ["bucket", "chunk", "keys"])
+    return run
+
+
+def _again(asked: pa.Table) -> pa.Table:
+    """Of one bucket, each chunk's keys that occur twice or more in all."""
+    keys = np.sort(_numbers(asked.column("keys"), np.uint64))
+    again = np.unique(keys[1:][keys[1:] == keys[:-1]])
+    chunk, found = [], []
+    for c, own in zip(asked.column("chunk"), asked.column("keys")):
+        own = np.frombuffer(own.as_py(), np.uint64)
+        if len(own := own[_among(own, again)]):
+            chunk.append(c.as_py())
+            found.append(own.tobytes())
+    return pa.table({"chunk": pa.array(chunk, pa.int64()), "keys": pa.array(found, pa.binary())})
+
+
+def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each key is among the sorted ``some``."""
+    if not len(some):
+        return np.zeros(len(keys), bool)
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
+
+
+def _candidates(min_words: int) -> Callable:
+    """Units of a chunk's texts whose keys occur again, a row each."""
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        again = np.sort(_numbers(answers.column("keys"), np.uint64))
+        words, blob = _numbers(texts.column("words")), b"".join(x.as_py() for x in texts.column("digest"))
+        n = np.array([len(x.as_py()) // 4 for x in texts.column("words")], np.int64)
+        at = np.flatnonzero(_among(_keys(texts.column("digest")), again) & (words >= min_words))
+        text = np.repeat(np.arange(len(n)), n)[at]
+        long = lambda name: pa.array(_numbers(texts.column(name))[at].astype(np.int64))
+        return pa.table({
+            "_row": texts.column("_row").take(pa.array(text)), texts.column_names[2]: texts.column(2).take(pa.array(text)),
+            "unit": pa.array((at - (np.cumsum(n) - n)[text]).astype(np.int32)), "start": long("start"),
+            "length": long("length"), "words": pa.array(words[at].astype(np.int32)),
+            "digest": pa.array([blob[16 * k:16 * k + 16] for k in at.tolist()], pa.binary())})
+    return run
+
+
+def _units_again(src: DataFrame, cut: Callable, min_words: int) -> DataFrame:
+    """One row for every unit of ``min_words`` words and more whose key, half
+    its digest, occurs again: all repeated units, and few others.
+
+    Texts are cut once, into a packed row each. Chunks of texts send their
+    distinct keys, eight bytes each and a common one once a chunk, to the keys'
+    buckets; what comes again there goes back to the chunk."""
+    spark, ident = src.sparkSession, src.columns[1]
+    kind = src.schema[ident].dataType.simpleString()
+    texts = written(src.mapInArrow(_packed(cut), f"_chunk long, _row long, `{ident}` {kind}, start binary, "
+                                                 "length binary, words binary, digest binary"), "units")
+    total = texts.agg(F.sum(F.octet_length("words") / 4)).collect()[0][0] or 0
+    bits = max(6, (partitions(spark) - 1).bit_length(), int(np.ceil(np.log2(total / BUCKET + 1))))
+    asked = texts.select("_chunk", "words", "digest").mapInArrow(
+        _asked(min(bits, 30), min_words), "bucket int, chunk long, keys binary")
+    again = asked.groupBy("bucket").applyInArrow(_again, "chunk long, keys binary")
+    found = texts.groupBy("_chunk").cogroup(again.groupBy("chunk")).applyInArrow(
+        _candidates(min_words), f"_row long, `{ident}` {kind}, unit int, start long, length long, words int, digest binary")
+    return written(found, "again")
 
 
 def repeated_units(docs: DataFrame, ident: str = "doc_id", text: str = "text", unit: str = "line",
@@ -150,19 +249,16 @@ def _repeated(docs: DataFrame, ident: str, text: str, cut: Callable, min_words:
     ship_package(docs.sparkSession)
     number = F.col(row).cast("long") if row else F.monotonically_increasing_id()
     src = docs.select(number.alias("_row"), F.col(ident), F.col(text).cast("string").alias("_text"))
-    kind = src.schema[ident].dataType.simpleString()
-    units = written(src.mapInArrow(cut, f"_row long, `{ident}` {kind}, unit int, start long, "
-                                        "length long, words int, digest binary"), "units")
+    units = _units_again(src, cut, min_words)
     rank = F.struct(F.col(ident).isNull().alias("late"), F.col(ident).alias("id"),
                     F.col("_row").alias("row"), F.col("unit").alias("unit"))
-    units = units.where(F.col("words") >= min_words).withColumns({
-        "_rank": rank, "_salt": F.expr(f"cast(pmod(xxhash64(_row, unit), {SALTS}) as int)")})
-    parts = units.groupBy("digest", "_salt").agg(F.min("_rank").alias("_first"),
+    units = units.withColumn("_salt", F.expr(f"cast(pmod(xxhash64(_row, unit), {SALTS}) as int)"))
+    parts = units.groupBy("digest", "_salt").agg(F.min(rank).alias("_first"),
                                                  F.count(F.lit(1)).alias("_n"))
     whole = (parts.groupBy("digest").agg(F.min("_first").alias("_first"), F.sum("_n").alias("occurrences"))
              .where("occurrences > 1"))
     repeats = parts.select("digest", "_salt").join(whole, "digest")
-    return units.join(repeats, ["digest", "_salt"]).withColumn("removed", F.col("_rank") != F.col("_first"))
+    return units.join(repeats, ["digest", "_salt"]).withColumn("removed", rank != F.col("_first"))
 
 
 def repeated_passages(docs: DataFrame, ident: str = "doc_id", text: str = "text",

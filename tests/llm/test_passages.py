@@ -77,3 +77,19 @@ def test_no_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert repeated_passages(none).count() == 0
     assert repeated_passages(spark.createDataFrame([(1, None, 1, "", 0, "")], SCHEMA)).count() == 0
+
+
+def test_only_repeated_units_become_rows(spark):
+    from pyspark.sql import functions as F
+
+    from foldwise.llm.line_dedup import _phrases as cut
+    from foldwise.llm.line_dedup import _units_again
+    texts = [" ".join(f"w{k}x{i}" for i in range(300)) for k in range(40)]
+    rows = [(k, 2**53 + k if k else None, t) for k, t in enumerate([*texts, texts[7]])]
+    src = spark.createDataFrame(rows, "_row long, doc_id long, _text string").repartition(5)
+    found = _units_again(src, cut, 1)
+    assert {r._row for r in found.select("_row").distinct().collect()} == {7, 40}
+    assert found.groupBy("digest").count().where("count <> 2").count() == 0
+    ids = {r.doc_id for r in found.select("doc_id").distinct().collect()}
+    assert ids == {2**53 + 7, 2**53 + 40}
+    assert found.agg(F.sum("words")).collect()[0][0] == 600
