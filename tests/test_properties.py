@@ -336,3 +336,22 @@ def test_train_takes_ordinary_names(spark):
     r = train(df, "y v", models=("ridge", "gbt"))
     assert predict(r.plan, df).select("y v").where("`y v` is not null").count() == 90
     assert r.plan.required_columns() == ["o'city", "a.b", "id no."]
+
+
+def test_seed_positions_with_hot_values(spark):
+    from foldwise.operators.profile import edges_below, select_position
+    base = spark.range(9000).select(
+        F.col("id").cast("string").alias("k"),
+        F.when(F.col("id") % 3 == 0, F.lit(5.0)).otherwise(F.rand(7) * 10).alias("v")).cache()
+    h = F.md5(F.concat(F.lit("42|"), F.col("k")))
+    rank = {r.r: r.k for r in base.select("k", (F.row_number().over(Window.orderBy("v", h, "k")) - 1).alias("r")).collect()}
+    for pos in (0, 899, 4500, 8998, 8999):
+        # quantiles drawn in tightly, so that positions beside them are met too
+        for slack in (0.01, 0.0):
+            got = select_position(base, "v", "k", pos, 9000, max_bucket_rows=50, slack=slack)
+            assert [r.k for r in got.collect()] == [rank[pos]]
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            assert "lambdafunction" not in plan          # a row is not held against every edge
+    edges = [0.5, 2.0, 2.5, 7.0, 9.0]
+    off = base.where(edges_below(edges, "v") != sum((F.col("v") > e).cast("int") for e in edges))
+    assert off.count() == 0
