@@ -158,3 +158,50 @@ def test_nothing_to_split_on(spark):
     got = B.fit_models(t, ["a", "b"], ["y"], "key", "fold", [B.Job(0, B.Params(rounds=3))])[0]
     want = np.mean([r[2] for r in rows if r[1] != 0])
     np.testing.assert_allclose(got.predict(np.array([[1.0, np.nan], [5.0, 2.0]])), want)
+
+
+def test_rows_of_asked_nodes_are_those_that_end_there():
+    import numpy as np
+
+    from foldwise.operators.boost import Tree
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 255, (4, 500)).astype(np.uint16)
+    tree = Tree()
+    for node, feature, cut in ((0, 1, 120), (2, 0, 60), (1, 3, 200), (4, 2, 90)):
+        tree.split(node, feature, cut)
+    rows = np.flatnonzero(rng.random(500) < 0.7)
+    at = tree.nodes(bins)
+    assert (tree.nodes(bins, rows) == at[rows]).all()
+    leaves = [k for k, f in enumerate(tree.feature) if f < 0]
+    for asked in ([0],) if tree.feature[0] < 0 else (leaves, leaves[:1], leaves[-2:][::-1]):
+        for node, found in zip(asked, tree.rows_at(bins, rows, asked), strict=True):
+            assert (found == rows[at[rows] == node]).all()
+
+
+def test_state_is_made_only_for_rows_of_asked_nodes(monkeypatch):
+    import numpy as np
+
+    from foldwise.operators import boost
+    rng = np.random.default_rng(4)
+    n, d = 300, 3
+    block = boost._Block(dict(
+        n=n, h=rng.integers(-2**63, 2**63 - 1, n).tobytes(), fold=np.zeros(n, np.int32).tobytes(),
+        stop=np.zeros(n, np.int64).tobytes(), y=rng.normal(size=n).tobytes(),
+        bins=rng.integers(0, 16, (1, d, n)).astype(np.uint16).tobytes(), pred=rng.normal(size=(1, n)).tobytes()), d, 1, 1)
+    tree, last = boost.Tree(), boost.Tree()
+    a, b = tree.split(0, 1, 3)
+    last.split(0, 0, 7)
+    last.value = [0.0, 0.25, -0.5]
+    q = dict(number=0, slot=0, size=16, view=0, fold=1, label=0, params=boost.Params(subsample=1.0), tree_number=1,
+             start=0.5, rate=0.1, recent=[last], tree=tree, asked=[a], columns=[0, 2])
+    seen, state = [], boost._Block.state
+    monkeypatch.setattr(boost._Block, "state", lambda self, q, rows=None: seen.append(
+        self.n if rows is None else len(rows)) or state(self, q, rows))
+    held = {}
+    boost._add(held, block, q, False)
+    inside = block.bins[0][1] <= 3
+    assert seen == [inside.sum()]
+    residual = 0.5 + block.pred[0] + 0.1 * last.values(block.bins[0]) - block.y[0]
+    for k, j in enumerate((0, 2)):
+        want = np.bincount(block.bins[0][j][inside], residual[inside], 16)
+        assert np.allclose(held[0][2][0, k], want) and held[0][3][0, k].sum() == inside.sum()
