@@ -347,8 +347,8 @@ def test_seed_positions_with_hot_values(spark):
     rank = {r.r: r.k for r in base.select("k", (F.row_number().over(Window.orderBy("v", h, "k")) - 1).alias("r")).collect()}
     for pos in (0, 899, 4500, 8998, 8999):
         # quantiles drawn in tightly, so that positions beside them are met too
-        for slack in (0.01, 0.0):
-            got = select_position(base, "v", "k", pos, 9000, max_bucket_rows=50, slack=slack)
+        for buckets in (50, 10**9):
+            got = select_position(base, "v", "k", pos, 9000, max_bucket_rows=50, buckets=buckets)
             assert [r.k for r in got.collect()] == [rank[pos]]
             plan = got._jdf.queryExecution().optimizedPlan().toString()
             assert "lambdafunction" not in plan          # a row is not held against every edge
