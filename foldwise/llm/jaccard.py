@@ -9,7 +9,9 @@ bounds its overlap with every member, and only groups whose bound allows the
 wanted similarity are opened: there the whole sets are compared. First classes
 meet their own group; what is found similar becomes one component. Components
 are the groups of the second pass, so that a large group of near copies is met
-once by each of its tokens, not by each pair of its members.
+once by each of its tokens, not by each pair of its members. Components are
+paired by tokens that can be the first shared one of similar sets; a token that
+comes late in many sets makes no pairs of them.
 """
 
 from __future__ import annotations
@@ -92,17 +94,19 @@ def _scan(size: int) -> Callable:
 
 def _post(size: int, percent: int, level: np.ndarray, bits: int) -> Callable:
     """Prefix tokens of every class met in a block of texts, dealt to buckets by
-    their leading bits: (bucket, the next 32 bits of each token, its class)."""
+    their leading bits: (bucket, the next 32 bits of each token, its class, its
+    reach there)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = column_bytes(batch.column(0))
             for i, j in blocks(offs):
-                seen, tokens, owner = set(), [], []
+                seen, tokens, owner, reach = set(), [], [], []
                 for s in shingle_sets(raw, offs, i, j, size):
                     if len(s) and (c := set_hash(s)) not in seen:
                         seen.add(c)
-                        p = prefix(s, level, percent)
+                        p, far = prefix(s, level, percent)
                         tokens.append(p)
+                        reach.append(far.astype(np.int32))
                         owner.append(np.full(len(p), c, np.int64))
                 if not tokens:
                     continue
@@ -111,13 +115,14 @@ def _post(size: int, percent: int, level: np.ndarray, bits: int) -> Callable:
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
                 rest = ((t >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
-                o = o[order]
+                o, far = o[order], np.concatenate(reach)[order]
                 full = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(full.astype(np.int32)),
                      pa.array([rest[cut[b]:cut[b + 1]].tobytes() for b in full], pa.binary()),
-                     pa.array([o[cut[b]:cut[b + 1]].tobytes() for b in full], pa.binary())],
-                    ["bucket", "tokens", "owners"])
+                     pa.array([o[cut[b]:cut[b + 1]].tobytes() for b in full], pa.binary()),
+                     pa.array([far[cut[b]:cut[b + 1]].tobytes() for b in full], pa.binary())],
+                    ["bucket", "tokens", "owners", "reach"])
     return run
 
 
@@ -125,16 +130,17 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket, the postings of tokens that two classes or more have."""
     t = np.frombuffer(b"".join(pdf["tokens"]), np.uint32)
     o = np.frombuffer(b"".join(pdf["owners"]), np.int64)
-    order = np.lexsort((o, t))
-    t, o = t[order], o[order]
+    far = np.frombuffer(b"".join(pdf["reach"]), np.int32)
+    order = np.lexsort((-far, o, t))
+    t, o, far = t[order], o[order], far[order]
     new = np.ones(len(t), bool)
     new[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
-    t, o = t[new], o[new]
+    t, o, far = t[new], o[new], far[new]
     same = np.zeros(len(t) + 1, bool)
     same[1:-1] = t[1:] == t[:-1]
     keep = same[1:] | same[:-1]
     return pd.DataFrame({"tok": (np.int64(pdf["bucket"].iloc[0]) << 32) + t[keep].astype(np.int64),
-                         "cls": o[keep]})
+                         "cls": o[keep], "reach": far[keep]})
 
 
 def _sets(size: int) -> Callable:
@@ -274,8 +280,9 @@ class _Join:
         bits = max(bits, (int(self.spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
         bits = min(bits, 30)
         post = self.docs.select("_text").mapInArrow(_post(self.size, self.percent, self.level, bits),
-                                                    "bucket int, tokens binary, owners binary")
-        self.shared = written(post.groupBy("bucket").applyInPandas(_shared, "tok long, cls long"), "shared")
+                                                    "bucket int, tokens binary, owners binary, reach binary")
+        self.shared = written(post.groupBy("bucket").applyInPandas(_shared, "tok long, cls long, reach int"),
+                              "shared")
 
     def groups(self) -> None:
         """Members (cls, n, g): a class joins the group of the smallest hash of
@@ -314,18 +321,29 @@ class _Join:
     def components_that_meet(self, comp: DataFrame) -> DataFrame:
         """(own, other, single): pairs of components that may hold a link, by
         the overlap of their token unions; ``own`` has no more classes than
-        ``other``, and ``single`` says that it has one."""
+        ``other``, and ``single`` says that it has one. Pairs come
+        from tokens that can be the first of a similar pair's, for the smaller
+        set within its own size; then all their shared tokens are counted."""
         held = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("c"))
         base = self.shared.join(self.classes.select("cls", "n"), "cls").join(comp, "cls")
         self.tokens = written(base, "tokens")
-        union = self.tokens.groupBy("tok", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        union = self.tokens.groupBy("tok", "comp").agg(
+            F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("reach").alias("reach"))
         many = union.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("tok")
         self.union = written(union.join(many, "tok").join(held, "comp"), "unions")
-        a, b = self.union.toDF("own", "tok", "alo", "ahi", "ac"), self.union.toDF("other", "tok", "blo", "bhi", "bc")
+        a = self.union.select(F.col("comp").alias("own"), "tok", F.col("lo").alias("alo"), F.col("hi").alias("ahi"),
+                              F.col("c").alias("ac"), F.col("reach").alias("areach"))
+        b = self.union.select(F.col("comp").alias("other"), F.col("tok").alias("tok_"), F.col("lo").alias("blo"),
+                              F.col("hi").alias("bhi"), F.col("c").alias("bc"), F.col("reach").alias("breach"))
         near = F.col("tok") == F.col("tok_")
         for lo, hi in (("alo", "bhi"), ("blo", "ahi")):      # sizes that can be similar
             near &= F.col(hi) >= F.ceil(F.col(lo) * (self.percent / 100) - 1e-9)
-        met = a.join(b.withColumnRenamed("tok", "tok_"), near & F.expr("ac < bc or (ac = bc and own < other)"))
+        x, y = (F.struct(F.col(n).alias("c"), F.col(i).alias("id")) for n, i in (("ac", "own"), ("bc", "other")))
+        pairs = (a.where("areach >= alo").join(b, near & F.expr("own <> other and areach >= blo and breach >= alo"))
+                 .select(F.least(x, y)["id"].alias("own_"), F.greatest(x, y)["id"].alias("other_")).distinct())
+        pairs = written(pairs, "pairs")
+        met = (pairs.join(a, F.col("own_") == F.col("own"))
+               .join(b, near & (F.col("other_") == F.col("other"))))
         met = met.groupBy("own", "other", "ac").agg(
             F.count(F.lit(1)).alias("m"), *[(F.min if c.endswith("lo") else F.max)(c).alias(c)
                                             for c in ("alo", "ahi", "blo", "bhi")])

@@ -43,14 +43,16 @@ def set_hash(tokens: np.ndarray) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
-def prefix(tokens: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
-    """The first tokens of a set in the global order (by level, then hash):
-    any set at least ``percent`` similar shares one of them, and has it among
-    its own first tokens."""
+def prefix(tokens: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first tokens of a set in the global order (by level, then hash), and
+    for each the size of the largest set with which it can be the first shared
+    one of ``percent`` similar sets: beyond that too few tokens are left here.
+    The first token that two similar sets share is in both answers, and the
+    reach of each is the other's size at least."""
     n = len(tokens)
-    p = n - (percent * n + 99) // 100 + 1
-    if p >= n:
-        return tokens
+    p = min(n, n - (percent * n + 99) // 100 + 1)
     key = (level[(tokens & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (
         tokens >> np.uint64(8))
-    return tokens[np.argpartition(key, p - 1)[:p]]
+    at = np.argpartition(key, p - 1)[:p] if p < n else np.arange(n)
+    at = at[np.argsort(key[at])]
+    return tokens[at], (n - np.arange(p)) * (100 + percent) // percent - n

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from foldwise.llm import (ann, exact_dedup, gru, jaccard, line_dedup, lm, mixing, packing, preference,
-                          quality, queries, token_counts)
+                          quality, queries, shingles, token_counts)
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, _row long, _id long, "
           "n long, size long, _text string, _new double, _copy int")
@@ -300,6 +300,49 @@ def test_jaccard_many_near_copies(spark):
     assert got == sorted(_components(texts, list(range(len(texts)))))
 
 
+def test_prefix_of_similar_sets_share_a_token_within_reach():
+    rng = np.random.default_rng(3)
+    level = rng.integers(0, 3, shingles.CELLS).astype(np.uint8)
+    words = rng.integers(0, 2**64, 90, dtype=np.uint64)
+    met = 0
+    for p in (30, 60, 75, 90):
+        sets = []
+        for _ in range(120):
+            own = words[rng.permutation(90)[:rng.integers(1, 90)]]
+            sets += [np.unique(own), np.unique(own[:max(1, int(len(own) * rng.uniform(0.6, 1)))])]
+        first = [shingles.prefix(s, level, p) for s in sets]
+        for x, (px, far) in zip(sets, first):
+            reach = dict(zip(px.tolist(), far.tolist()))
+            for y, (py, other) in zip(sets, first):
+                both = len(np.intersect1d(x, y))
+                if 100 * both >= p * (len(x) + len(y) - both):
+                    met += 1
+                    assert any(reach.get(t, 0) >= len(y) and f >= len(x) for t, f in zip(py.tolist(), other.tolist()))
+    assert met > 500
+
+
+def test_jaccard_tokens_late_in_many_sets_make_no_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"t{k}" for k in range(120)]
+    texts = []
+    for k in range(400):                     # parts of one text, each too far from the others
+        w = list(base)
+        for at in range(rng.randrange(15), 120, 24):
+            w[at] = f"own{k}_{at}"
+        texts.append(" ".join(w))
+    found, keep = {}, jaccard.written
+
+    def written(df, name):
+        found.setdefault(name, out := keep(df, name))
+        return out
+    monkeypatch.setattr(jaccard, "written", written)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    got = sorted(map(tuple, jaccard.similarity_components(df).collect()))
+    assert got == sorted(_components(texts, list(range(len(texts)))))
+    together = found["unions"].groupBy("tok").count().selectExpr("sum(count * (count - 1) / 2)").first()[0]
+    assert together > 100 * len(texts) and found["pairs"].count() < 10 * len(texts)
+
+
 def test_jaccard_needs_least_inside_a_range_of_sizes(spark):
     texts = []
     for k in range(20):     # 26 shingles against 26..28: both ends need 4 shared tokens, size 27 needs 3
