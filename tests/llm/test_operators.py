@@ -498,3 +498,32 @@ def test_pipeline_stages(spark, docs):
                 assert out.count() == 0
         got = kept
     assert got.count() > 0
+
+
+def test_recurrent_window_gradients():
+    shape = gru.Shape(words=8, per_class=4, suffixes=3, hidden=4)
+    rng = np.random.default_rng(2)
+    symbols = rng.integers(0, shape.symbols, 30)
+    begin, size = np.array([12, 0, 23]), np.array([11, 9, 4])
+    flat = gru.start(shape, np.ones(shape.classes), np.ones(shape.words)) * 2
+    pull = rng.normal(size=(24, 4)).astype(np.float32)
+
+    def run(flat):
+        w, h = gru._Window(shape, symbols, begin, size, 0, 30), np.zeros((3, 4), np.float32)
+        w.forward(shape.split(flat), h)
+        return w, h
+    w, h = run(flat)
+    assert w.live == [3] * 4 + [2] * 5 + [1] * 2 and np.allclose(h[2], w.hs[w.ends[3] - 1]) and np.allclose(h[0], w.hs[-1])
+    before = np.zeros_like(w.hs)
+    for lo, m, hi in zip([0, *w.ends], w.live[1:], w.ends[1:]):
+        before[hi - m:hi] = w.hs[lo:lo + m]
+    grad, gates = w.backward(shape.split(flat), before, pull[:len(w.hs)].copy())
+    found = {"U": grad, "E": np.zeros_like(shape.split(flat)["E"])}
+    np.add.at(found["E"], w.inputs, gates)
+    for name, at in (("U", (1, 2)), ("U", (3, 9)), ("E", (w.inputs[0], 1)), ("E", (w.inputs[9], 10))):
+        value = []
+        for e in (1e-2, -1e-2):
+            moved = flat.copy()
+            shape.split(moved)[name][at] += e
+            value.append(float((run(moved)[0].hs.astype(float) * pull[:len(w.hs)]).sum()))
+        assert (value[0] - value[1]) / 2e-2 == pytest.approx(found[name][at], rel=2e-2, abs=2e-3)
