@@ -4,16 +4,19 @@ lower-casing and word patterns as Spark expressions."""
 from __future__ import annotations
 
 import uuid
+from contextlib import AbstractContextManager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, setting
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word: a run of characters that are neither a space nor \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Whole texts that a Python worker is sent at a time: both sides hold a batch.
+TEXT_ROWS = 2000
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -26,6 +29,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """For jobs run within: at most ``TEXT_ROWS`` rows an Arrow batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    have = int(spark.conf.get(name))
+    return setting(spark, name, str(min(have, TEXT_ROWS) if have > 0 else TEXT_ROWS))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .base import written
+from .base import text_batches, written
 from .components import components
 from .shingles import CELLS, prefix, set_hash, shingle_sets
 from .text import blocks, column_bytes
@@ -260,8 +260,9 @@ class _Join:
 
     def scan(self) -> None:
         kind = self.docs.schema["_id"].dataType.simpleString()
-        rows = written(self.docs.mapInArrow(_scan(self.size), f"_id {kind}, n long, cls long, token long, df long"),
-                       "scan")
+        with text_batches(self.spark):
+            rows = written(self.docs.mapInArrow(_scan(self.size),
+                                                f"_id {kind}, n long, cls long, token long, df long"), "scan")
         self.rows = rows.where("n is not null").select("_id", "n", "cls").withColumn(
             "_salt", F.expr(f"cast(pmod(xxhash64(_id), {SALTS}) as int)"))
         self.parts = self.rows.where("cls is not null").groupBy("cls", "_salt").agg(
@@ -281,8 +282,9 @@ class _Join:
         bits = min(bits, 30)
         post = self.docs.select("_text").mapInArrow(_post(self.size, self.percent, self.level, bits),
                                                     "bucket int, tokens binary, owners binary, reach binary")
-        self.shared = written(post.groupBy("bucket").applyInPandas(_shared, "tok long, cls long, reach int"),
-                              "shared")
+        with text_batches(self.spark):
+            self.shared = written(post.groupBy("bucket").applyInPandas(_shared, "tok long, cls long, reach int"),
+                                  "shared")
 
     def groups(self) -> None:
         """Members (cls, n, g): a class joins the group of the smallest hash of

@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .base import written
+from .base import text_batches, written
 from .text import LOWER, SPACE, blocks, column_bytes, span_hashes, word_spans
 
 SALTS = 64
+#: Bytes of texts encoded at a time.
+ENCODED = 1 << 20
 _KIND = np.full(256, 3, np.uint8)
 _KIND[[*range(65, 91), *range(97, 123)]] = 1
 _KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = 2
@@ -136,11 +138,12 @@ class PlainEncoder:
 
 def _pieces(path: str, capacity: int, end: int, words: bool, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()      # what this worker's earlier tasks left
         coder = (WordEncoder if words else PlainEncoder)(path)
         tail = np.array([end], np.uint32).tobytes()
         for batch in batches:
             raw, offs = column_bytes(batch.column(1))
-            for i, j in blocks(offs):
+            for i, j in blocks(offs, ENCODED):
                 ids, bounds = coder.encode(raw, offs, i, j)
                 row, piece, start, length, crc, kept = [], [], [], [], [], []
                 for r in range(j - i):
@@ -434,8 +437,9 @@ def pack(docs: DataFrame, tokenizer: str, ident: str = "doc_id", text: str = "te
     kind = src.schema[ident].dataType.simpleString()
     schema = f"`{ident}` {kind}, piece int, start long, length long, ids_crc32 long"
     schema += ", ids array<long>" if with_ids else ""
-    pieces = written(src.mapInArrow(_pieces(tokenizer, capacity, end, words, with_ids), schema)
-                     .withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    with text_batches(spark):
+        pieces = written(src.mapInArrow(_pieces(tokenizer, capacity, end, words, with_ids), schema)
+                         .withColumn("_row", F.monotonically_increasing_id()), "pieces")
     short = pieces.where(F.col("length") < capacity).withColumn(
         "_salt", F.expr(f"cast(pmod(xxhash64(_row, 3L), {SALTS}) as int)"))
     counts = written(short.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), "counts")
