@@ -36,3 +36,7 @@ def _epochs(monkeypatch, spark, tables, name):
 
 def test_mlp_oof(monkeypatch, spark, tables):
     assert _epochs(monkeypatch, spark, tables, "mlp_oof") == 600
+
+
+def test_mlp_search(monkeypatch, spark, tables):
+    assert _epochs(monkeypatch, spark, tables, "mlp_search") == 1500
