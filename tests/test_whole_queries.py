@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 from foldwise.operators import mlp as M
+from foldwise.operators import trees as R
 
 
 class Asked(Exception):
@@ -40,3 +41,33 @@ def test_mlp_oof(monkeypatch, spark, tables):
 
 def test_mlp_search(monkeypatch, spark, tables):
     assert _epochs(monkeypatch, spark, tables, "mlp_search") == 1500
+
+
+def _asked(monkeypatch, spark, tables, name, operator, which):
+    """What ``name`` asks of a tree operator: its arguments by ``which``."""
+    def stop(*args, **kw):
+        raise Asked(which(args, kw))
+    monkeypatch.setattr(R, operator, stop)
+    with pytest.raises(Asked) as got:
+        E.queries()[name](spark, tables)
+    return got.value.args[0]
+
+
+def test_forest_oof(monkeypatch, spark, tables):
+    jobs = _asked(monkeypatch, spark, tables, "forest_oof", "fit_jobs", lambda args, kw: args[5])
+    assert [(kind, p["n_estimators"]) for _, p, kind, _ in jobs] == [("rf", 300)] * 5 + [("xt", 300)] * 5
+
+
+def test_engineered_features(monkeypatch, spark, tables):
+    p = _asked(monkeypatch, spark, tables, "engineered_features", "fit_all", lambda args, kw: args[3])
+    assert p == R.FE_PARAMS and p["n_estimators"] == 200
+
+
+def test_screen_features(monkeypatch, spark, tables):
+    p = _asked(monkeypatch, spark, tables, "screen_features", "fit_all", lambda args, kw: args[3])
+    assert p == R.SCREEN_PARAMS and p["n_estimators"] == 200
+
+
+def test_halving(monkeypatch, spark, tables):
+    cands = _asked(monkeypatch, spark, tables, "halving", "halving", lambda args, kw: args[6])
+    assert cands == R.search_candidates() and {c["n_estimators"] for c in cands} == {3000}
