@@ -71,3 +71,18 @@ def test_screen_features(monkeypatch, spark, tables):
 def test_halving(monkeypatch, spark, tables):
     cands = _asked(monkeypatch, spark, tables, "halving", "halving", lambda args, kw: args[6])
     assert cands == R.search_candidates() and {c["n_estimators"] for c in cands} == {3000}
+
+
+@pytest.mark.parametrize("name", ["train_quick", "train_predict", "train_thorough"])
+def test_train(monkeypatch, spark, tables, name):
+    from foldwise.catalog import training
+
+    def stop(df, **kw):
+        raise Asked(kw)
+    monkeypatch.setattr(training, "train", stop)
+    monkeypatch.setattr(training, "load", lambda spark, sf, t: spark.createDataFrame(
+        [(1, 2, 3.0)], "s_nationkey int, s_suppkey int, s_acctbal double") if t == "supplier" else
+        spark.read.parquet(f"{tables}/lineitem.parquet"))
+    with pytest.raises(Asked) as got:
+        E.queries()[name](spark, tables)
+    assert "tree_rounds" not in got.value.args[0] and "mlp_epochs" not in got.value.args[0]
