@@ -62,3 +62,16 @@ def test_rows_are_spread_over_tasks():
     assert [g.number for g in turns[0]] == [40]
     assert sorted(g.number for t in turns for g in t) == list(range(41))
     assert all(len({g.view for g in t}) == 1 for t in turns) and 8 <= len(turns) - 1 <= 10
+
+
+def test_written_blocks_are_read_a_few_at_a_time(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+    made = spark.createDataFrame([(i, np.random.default_rng(i).bytes(1_000_000)) for i in range(40)],
+                                 "id int, v binary").coalesce(1)
+    back = B._written(made)
+    files = glob.glob(back.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0] + "/*.parquet")
+    groups = [m.row_group(i) for m in (pq.ParquetFile(f).metadata for f in files) for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 40 and max(g.num_rows for g in groups) <= 10
+    assert back.selectExpr("sum(length(v)) as n").first()["n"] == 40 * 1_000_000
